@@ -11,6 +11,7 @@ from churnlens.functions.dates import fractional_days
 from churnlens.functions.rounding import money_avg
 from churnlens.operators.ranking import exact_quantiles, first_row_per_key, quantile_bin
 from churnlens.operators.rates import rate_by
+from churnlens.session import materialize
 
 # Total order used to pick a person's first item row: purchase time, then
 # order id, then item number, product, seller and price (no ties left).
@@ -56,7 +57,8 @@ def _flag_label(flag: str = "is_repeat"):
 def delivery_comparison(fo: DataFrame, value: str = "delivery_days", flag: str = "is_repeat",
                         digits: int = 2) -> DataFrame:
     """By repeat flag: mean, median, std, count of delivery days."""
-    src = fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
+    src = materialize(fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
+                      .select(flag, value))
     stats = src.groupBy(flag).agg(F.bround(F.avg(value), digits).alias("mean"),
                                   F.bround(F.stddev_samp(value), digits).alias("std"),
                                   F.count(value).alias("count"))
@@ -82,7 +84,8 @@ def boxplot_stats(fo: DataFrame, value: str = "delivery_days", flag: str = "is_r
                   whisker: float = 1.5, digits: int = 2) -> DataFrame:
     """Per group: q1, median, q3 and the whiskers (furthest observations
     within ``whisker`` × IQR of the box)."""
-    src = fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
+    src = materialize(fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
+                      .select(flag, value))
     q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=[flag], prefix="_q") \
         .select(flag, F.col("_q0").alias("q1"), F.col("_q1").alias("median"),
                 F.col("_q2").alias("q3"))

@@ -42,15 +42,21 @@ def master_table(orders: DataFrame, customers: DataFrame, items: DataFrame,
     split by AQE's skew-join handling.
     """
     cust = customers.select("customer_id", *CUSTOMER_COLS)
-    item = items.select("order_id", *ITEM_COLS)
     prod = products.select("product_id", "product_category_name")
     trans = translation.select("product_category_name", "product_category_name_english")
+    # Items get their category first (product-keyed joins), so that every
+    # join against the orders is keyed by order_id: the review summary and
+    # the enriched items then share one hash partitioning with the orders,
+    # and the result stays partitioned by order_id for the order collapse.
+    # (Left joins re-associate here: the category joins only test item
+    # columns, which are null for an order without items either way.)
+    item = (items.select("order_id", *ITEM_COLS)
+            .join(prod, "product_id", "left")
+            .join(trans, "product_category_name", "left"))
     m = (orders.select(*ORDER_COLS)
          .join(cust, "customer_id", "left")
          .join(review_summary(reviews), "order_id", "left")
-         .join(item, "order_id", "left")
-         .join(prod, "product_id", "left")
-         .join(trans, "product_category_name", "left"))
+         .join(item, "order_id", "left"))
     return m.select(*MASTER_COLS)
 
 

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import ensure_checkpoint_dir
+from churnlens.session import ensure_checkpoint_dir, materialize
 
 _POS_BITS = 33  # monotonically_increasing_id keeps the in-partition index here
 
@@ -46,15 +46,18 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def global_rank(df: DataFrame, order_cols: Sequence, rank_col: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, materialized: bool = False) -> DataFrame:
     """Add ``rank_col`` = 1-based row number over ``order_cols`` (ascending,
     nulls last).  ``order_cols`` must define a total order (end with a
     unique tiebreak); ties would be numbered arbitrarily but consistently.
 
-    Runs two jobs (range sampling and the checkpoint write); returns a
-    DataFrame over the checkpointed data, partitioned by range.
+    The input is read twice (range sampling, then the sort), so unless
+    ``materialized`` says it already is a checkpoint it is written once
+    first.  Returns a DataFrame over the checkpointed ranked data.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    if not materialized:
+        df = materialize(df)
     keys = _sort_key(order_cols)
     ranged = (df.repartitionByRange(_num_partitions(df, num_partitions), *keys)
               .sortWithinPartitions(*keys)
@@ -106,12 +109,18 @@ def ntile_score(df: DataFrame, value_col: str, tiebreak: Sequence[str] | str,
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), prefix: str = "q",
                     num_partitions: int | None = None) -> DataFrame:
+    """See :func:`exact_quantiles_multi`; one value column."""
+    return _quantiles(df, value_col, probs, list(by), prefix, num_partitions)
+
+
+def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+               by: list, prefix: str, num_partitions: int | None) -> DataFrame:
     """Linear-interpolated quantiles (``quantile_cont``/pandas semantics),
     one row per group of ``by`` with columns ``{prefix}0..{prefix}{k-1}``
     and ``n`` (non-null count).  Null values and null groups are ignored
-    (pandas ``groupby`` drops null keys).
+    (pandas ``groupby`` drops null keys).  Only the narrow (group, value)
+    projection is materialized and ranked.
     """
-    by = list(by)
     base = df.select(*by, F.col(value_col).cast("double").alias("_v")) \
         .filter(F.col("_v").isNotNull())
     for b in by:
@@ -142,46 +151,55 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     return vals.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
 
 
+def quantile_bins(df: DataFrame, specs: dict[str, str], probs: Sequence[float],
+                  on_duplicate: str = "error", num_partitions: int | None = None) -> DataFrame:
+    """Right-closed quantile bins (``pandas.qcut`` semantics) for several
+    columns (``specs``: output column → value column) with ONE ranking
+    pass over the stacked (variable, value) pairs.  Bin 1 holds values ≤
+    the first edge (the minimum included), bin k+1 values above the last.
+    Repeated edges fail the job (``on_duplicate='error'``) or are collapsed
+    (``'drop'``).  Null values get a null bin.
+    """
+    if on_duplicate not in ("error", "drop"):
+        raise ValueError("on_duplicate must be 'error' or 'drop'")
+    df = materialize(df)  # read twice: edges, then binning
+    outs = list(specs)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_var"), F.col(specs[o]).cast("double").alias("_x"))
+        for i, o in enumerate(outs)])).alias("_s")).select("_s.*")
+    per_var = _quantiles(long, "_x", probs, ["_var"], "_e", num_partitions)
+    k = len(probs)
+    # one row: edge j of variable i becomes column _e{i}_{j}
+    edges = per_var.agg(*[F.max(F.when(F.col("_var") == i, F.col(f"_e{j}"))).alias(f"_e{i}_{j}")
+                          for i in range(len(outs)) for j in range(k)])
+    bin_cols = {}
+    for i, o in enumerate(outs):
+        names = [f"_e{i}_{j}" for j in range(k)]
+        x = F.col(specs[o]).cast("double")
+        b = F.lit(1)
+        for j, nme in enumerate(names):
+            step = x > F.col(nme)
+            if on_duplicate == "drop" and j:
+                step = step & (F.col(nme) != F.col(names[j - 1]))
+            b = b + F.when(step, 1).otherwise(0)
+        if on_duplicate == "error" and k > 1:
+            dup = None
+            for a, c in zip(names, names[1:]):
+                cond = F.col(a) == F.col(c)
+                dup = cond if dup is None else dup | cond
+            # added to the bin, so the check cannot be pruned away
+            b = b + F.when(dup, F.raise_error(F.lit(
+                f"quantile bins of {specs[o]}: bin edges must be unique"))).otherwise(F.lit(0))
+        bin_cols[o] = F.when(x.isNotNull(), b).cast("int")
+    # `edges` is a single row: bounded broadcast
+    return (df.crossJoin(F.broadcast(edges)).withColumns(bin_cols).drop(*edges.columns))
+
+
 def quantile_bin(df: DataFrame, value_col: str, probs: Sequence[float] = (0.2, 0.4, 0.6, 0.8),
                  out: str = "bin", on_duplicate: str = "error",
                  num_partitions: int | None = None) -> DataFrame:
-    """Right-closed quantile bins (``pandas.qcut`` semantics): bin 1 holds
-    values ≤ the first edge (the minimum included), bin k+1 values above
-    the last.  Repeated edges fail the job (``on_duplicate='error'``) or are
-    collapsed (``'drop'``).  Null values get a null bin.
-    """
-    edges = exact_quantiles(df, value_col, probs, prefix="_e", num_partitions=num_partitions)
-    names = [f"_e{i}" for i in range(len(probs))]
-    if on_duplicate == "error":
-        dup = None
-        for a, b in zip(names, names[1:]):
-            cond = F.col(a) == F.col(b)
-            dup = cond if dup is None else dup | cond
-        if dup is not None:
-            edges = edges.withColumn(
-                "_chk", F.when(dup, F.raise_error(F.lit(
-                    f"quantile_bin({value_col}): bin edges must be unique"))).otherwise(F.lit(0)))
-    elif on_duplicate != "drop":
-        raise ValueError("on_duplicate must be 'error' or 'drop'")
-    x = F.col(value_col).cast("double")
-    if on_duplicate == "drop":
-        # a repeated edge produces no extra (empty) bin
-        bin_expr = F.lit(1)
-        for i, nme in enumerate(names):
-            step = F.col(nme) != F.col(names[i - 1]) if i else F.lit(True)
-            bin_expr = bin_expr + F.when((x > F.col(nme)) & step, 1).otherwise(0)
-    else:
-        bin_expr = F.lit(1)
-        for nme in names:
-            bin_expr = bin_expr + F.when(x > F.col(nme), 1).otherwise(0)
-    keep = list(names)
-    if on_duplicate == "error" and len(names) > 1:
-        keep.append("_chk")
-        bin_expr = bin_expr + F.col("_chk")  # referenced, so the check is not pruned
-    # `edges` is one row (no grouping): bounded broadcast
-    return (df.crossJoin(F.broadcast(edges.select(*keep)))
-            .withColumn(out, F.when(x.isNotNull(), bin_expr).cast("int"))
-            .drop(*keep))
+    """Single-column :func:`quantile_bins`."""
+    return quantile_bins(df, {out: value_col}, probs, on_duplicate, num_partitions)
 
 
 def first_row_per_key(df: DataFrame, key: Sequence[str] | str, order_cols: Sequence) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from churnlens.functions.dates import add_days, elapsed_days
 from churnlens.functions.rounding import int_avg, money_avg, money_share, ratio_round
 from churnlens.functions.rules import frequency_score, segment_of
-from churnlens.operators.ranking import exact_quantiles, ntile_score, quantile_bin
+from churnlens.operators.ranking import exact_quantiles, ntile_score, quantile_bins
+from churnlens.session import materialize
 
 
 def snapshot_after_last(df: DataFrame, ts_col: str, days: int = 1,
@@ -38,7 +39,11 @@ def rfm_base(orders: DataFrame, person_col: str = "customer_unique_id",
                                       F.count_distinct(order_col).alias("frequency"),
                                       F.sum(value_col).alias("monetary"))
     if snapshot is None:
-        snapshot = snapshot_after_last(orders, ts_col, calendar=(mode == "calendar"))
+        # the snapshot needs a pass over all persons before recency can be
+        # computed: keep the per-person rows once instead of re-running the
+        # upstream plan for the second pass
+        per = materialize(per)
+        snapshot = snapshot_after_last(per, "last_purchase", calendar=(mode == "calendar"))
     if mode == "elapsed":
         rec = elapsed_days("last_purchase", "snapshot")
     elif mode == "calendar":
@@ -62,8 +67,7 @@ def scores_qcut(rfm: DataFrame, probs=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """Notebook-style scores: quantile bins (ties stay together), R
     inverted, F from manual buckets, and the three-digit code."""
     top = len(probs) + 1
-    r = quantile_bin(rfm, "recency", probs, out="_rbin")
-    m = quantile_bin(r, "monetary", probs, out="M_score")
+    m = quantile_bins(rfm, {"_rbin": "recency", "M_score": "monetary"}, probs)
     return (m.withColumn("R_score", (F.lit(top + 1) - F.col("_rbin")).cast("int")).drop("_rbin")
             .withColumn("F_score", frequency_score("frequency"))
             .withColumn("RFM_score", F.concat(F.col("R_score").cast("string"),
@@ -152,7 +156,7 @@ def describe_columns(df: DataFrame, cols: Mapping[str, str], digits: int = 2,
 def describe_long(long: DataFrame, by: str | None, value: str, digits: int = 2,
                   probs=(0.25, 0.5, 0.75)) -> DataFrame:
     keys = [by] if by else []
-    src = long.filter(F.col(value).isNotNull())
+    src = materialize(long.filter(F.col(value).isNotNull()))  # stats + quantiles
     stats = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"),
                                    F.bround(F.avg(value), digits).alias("mean"),
                                    F.bround(F.stddev_samp(value), digits).alias("std"),

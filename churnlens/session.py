@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -62,3 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError(
         "spark.checkpoint.dir is not set; point it at a shared folder "
         "(e.g. an object-store or HDFS path) before running ranking operators")
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return a frame
+    over that copy (lineage cut).  Used by operators that must read their
+    input more than once (ranking passes, snapshot + per-person rows), so
+    the upstream plan runs once and a lost executor re-reads the copy
+    instead of re-running the upstream."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

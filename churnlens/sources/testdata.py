@@ -41,6 +41,13 @@ CATEGORY_LABELS = (
 ESTIMATE_DAYS_PER_PRIORITY = 5
 
 
+def _status(code):
+    """Status code → label, nested so that ``label = 'x'`` folds back into
+    ``code = 'y'`` and reaches the Parquet scan as a pushed filter."""
+    return F.when(code == "F", "delivered").otherwise(
+        F.when(code == "O", "shipped").otherwise("processing"))
+
+
 def sf_of(sf_dir: str) -> str | None:
     """Scale-factor label of a test-data folder (``.../sf0.01`` → ``"0.01"``)."""
     m = re.search(r"sf([0-9.]+)/*$", sf_dir.rstrip("/"))
@@ -86,9 +93,7 @@ class TestTables:
         return (o.join(ship, o.o_orderkey == ship.l_orderkey, "left")
                 .select(F.col("o_orderkey").alias("order_id"),
                         F.col("o_orderkey").cast("string").alias("customer_id"),
-                        F.when(F.col("o_orderstatus") == "F", "delivered")
-                         .when(F.col("o_orderstatus") == "O", "shipped")
-                         .otherwise("processing").alias("order_status"),
+                        _status(F.col("o_orderstatus")).alias("order_status"),
                         ts.alias("order_purchase_timestamp"),
                         ts.alias("order_approved_at"),
                         F.when(F.col("first_ship") >= ts, F.col("first_ship"))
@@ -127,9 +132,12 @@ class TestTables:
             F.col("p_retailprice").alias("product_weight_g"))
 
     def category_translation(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            list(CATEGORY_LABELS),
-            "product_category_name string, product_category_name_english string")
+        # a literal VALUES relation: its size is known to the planner, and it
+        # is a fixed five-row table, so broadcasting it is bounded
+        rows = ", ".join(f"('{a}', '{b}')" for a, b in CATEGORY_LABELS)
+        return F.broadcast(self.spark.sql(
+            f"SELECT * FROM VALUES {rows} "
+            "AS t(product_category_name, product_category_name_english)"))
 
     def sellers(self) -> DataFrame:
         s = self.raw("supplier").select("s_suppkey", "s_nationkey")
