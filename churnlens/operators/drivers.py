@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.dates import fractional_days
 from churnlens.functions.rounding import money_avg
-from churnlens.operators.ranking import exact_quantiles, first_row_per_key, quantile_bin
+from churnlens.operators.ranking import exact_quantiles, first_of, quantile_bin
 from churnlens.operators.rates import rate_by
 from churnlens.session import materialize
 
@@ -24,27 +24,43 @@ SPEND_LABELS = ("Very Low (bottom 20%)", "Low", "Medium", "High", "Very High (to
 FLAG_LABELS = {False: "One-time customers", True: "Repeat customers"}
 
 
-def first_orders(delivered: DataFrame, rfm: DataFrame, person_col: str = "customer_unique_id",
+FIRST_ORDER_FIELDS = ("order_purchase_timestamp", "order_delivered_customer_date",
+                      "order_estimated_delivery_date", "review_score", "price",
+                      "product_category_name_english")
+
+
+def first_orders(delivered: DataFrame, person_col: str = "customer_unique_id",
                  order_cols: Sequence[str] = FIRST_ROW_ORDER, min_orders: int = 2,
-                 drop_undelivered: bool = True) -> DataFrame:
+                 drop_undelivered: bool = True, order_col: str = "order_id",
+                 ts_col: str = "order_purchase_timestamp", value_col: str = "price") -> DataFrame:
     """One row per person: the first item row of the first order, its
     delivery time in days, delivery vs estimate (negative = early), and the
-    person's repeat flag, frequency and monetary value.
-
-    ``price`` is that item's price, not the order total (as analysed)."""
-    first = first_row_per_key(delivered.filter(F.col(person_col).isNotNull()), person_col,
-                              order_cols)
-    first = first.select(
-        person_col, "order_purchase_timestamp", "order_delivered_customer_date",
-        "order_estimated_delivery_date", "review_score", "price",
-        "product_category_name_english",
-        fractional_days("order_purchase_timestamp", "order_delivered_customer_date")
-        .alias("delivery_days"),
-        fractional_days("order_estimated_delivery_date", "order_delivered_customer_date")
-        .alias("days_vs_estimate"))
-    flags = rfm.select(person_col, (F.col("frequency") >= min_orders).alias("is_repeat"),
-                       "frequency", "monetary")
-    out = first.join(flags, person_col, "left")
+    person's repeat flag, frequency (distinct orders) and monetary value.
+
+    One aggregation by person computes all of it (``min_by`` for the first
+    row, distinct orders and spend), so the item rows are read once and a
+    person with very many rows is reduced map-side.  ``price`` is that
+    item's price, not the order total (as analysed).  Orders without a
+    purchase time count for neither frequency nor spend (they have no row
+    in the order table the analysis derives them from).
+    """
+    src = delivered.filter(F.col(person_col).isNotNull())
+    dated = F.col(ts_col).isNotNull() & F.col(order_col).isNotNull()
+    row = F.struct(*[F.col(c) for c in FIRST_ORDER_FIELDS])
+    per = src.groupBy(person_col).agg(
+        first_of(row, order_cols).alias("_first"),
+        F.count_distinct(F.when(dated, F.col(order_col))).alias("_freq"),
+        F.sum(F.when(dated, F.col(value_col))).alias("_spend"))
+    known = F.col("_freq") > 0
+    out = per.select(
+        person_col, *[F.col(f"_first.{c}").alias(c) for c in FIRST_ORDER_FIELDS],
+        fractional_days(F.col("_first.order_purchase_timestamp"),
+                        F.col("_first.order_delivered_customer_date")).alias("delivery_days"),
+        fractional_days(F.col("_first.order_estimated_delivery_date"),
+                        F.col("_first.order_delivered_customer_date")).alias("days_vs_estimate"),
+        F.when(known, F.col("_freq") >= min_orders).alias("is_repeat"),
+        F.when(known, F.col("_freq")).alias("frequency"),
+        F.when(known, F.col("_spend")).alias("monetary"))
     if drop_undelivered:
         out = out.filter(F.col("delivery_days").isNotNull())
     return out
@@ -62,7 +78,7 @@ def delivery_comparison(fo: DataFrame, value: str = "delivery_days", flag: str =
     stats = src.groupBy(flag).agg(F.bround(F.avg(value), digits).alias("mean"),
                                   F.bround(F.stddev_samp(value), digits).alias("std"),
                                   F.count(value).alias("count"))
-    med = exact_quantiles(src, value, [0.5], by=[flag], prefix="_m") \
+    med = exact_quantiles(src, value, [0.5], by=[flag], prefix="_m", materialized=True) \
         .select(flag, F.bround("_m0", digits).alias("median"))
     return stats.join(med, flag, "left").select(
         _flag_label(flag).alias("customer_type"), flag, "mean", "median", "std", "count")
@@ -86,7 +102,8 @@ def boxplot_stats(fo: DataFrame, value: str = "delivery_days", flag: str = "is_r
     within ``whisker`` × IQR of the box)."""
     src = materialize(fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
                       .select(flag, value))
-    q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=[flag], prefix="_q") \
+    q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=[flag], prefix="_q",
+                        materialized=True) \
         .select(flag, F.col("_q0").alias("q1"), F.col("_q1").alias("median"),
                 F.col("_q2").alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \

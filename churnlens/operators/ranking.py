@@ -108,18 +108,19 @@ def ntile_score(df: DataFrame, value_col: str, tiebreak: Sequence[str] | str,
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), prefix: str = "q",
-                    num_partitions: int | None = None) -> DataFrame:
-    """See :func:`exact_quantiles_multi`; one value column."""
-    return _quantiles(df, value_col, probs, list(by), prefix, num_partitions)
+                    num_partitions: int | None = None, materialized: bool = False) -> DataFrame:
+    return _quantiles(df, value_col, probs, list(by), prefix, num_partitions, materialized)
 
 
 def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-               by: list, prefix: str, num_partitions: int | None) -> DataFrame:
+               by: list, prefix: str, num_partitions: int | None,
+               materialized: bool = False) -> DataFrame:
     """Linear-interpolated quantiles (``quantile_cont``/pandas semantics),
     one row per group of ``by`` with columns ``{prefix}0..{prefix}{k-1}``
     and ``n`` (non-null count).  Null values and null groups are ignored
     (pandas ``groupby`` drops null keys).  Only the narrow (group, value)
-    projection is materialized and ranked.
+    projection is materialized and ranked (``materialized=True``: ``df`` is
+    already a cheap projection of a checkpoint, so it is ranked directly).
     """
     base = df.select(*by, F.col(value_col).cast("double").alias("_v")) \
         .filter(F.col("_v").isNotNull())
@@ -127,7 +128,7 @@ def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         base = base.filter(F.col(b).isNotNull())
     # a unique tiebreak is not needed: tied values are equal, only the value
     # at a rank is read
-    ranked = global_rank(base, [*by, "_v"], "_rk", num_partitions)
+    ranked = global_rank(base, [*by, "_v"], "_rk", num_partitions, materialized=materialized)
     groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                      F.min("_rk").alias("_first"))
     wanted = []
@@ -167,7 +168,7 @@ def quantile_bins(df: DataFrame, specs: dict[str, str], probs: Sequence[float],
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_var"), F.col(specs[o]).cast("double").alias("_x"))
         for i, o in enumerate(outs)])).alias("_s")).select("_s.*")
-    per_var = _quantiles(long, "_x", probs, ["_var"], "_e", num_partitions)
+    per_var = _quantiles(long, "_x", probs, ["_var"], "_e", num_partitions, materialized=True)
     k = len(probs)
     # one row: edge j of variable i becomes column _e{i}_{j}
     edges = per_var.agg(*[F.max(F.when(F.col("_var") == i, F.col(f"_e{j}"))).alias(f"_e{i}_{j}")
@@ -211,3 +212,20 @@ def first_row_per_key(df: DataFrame, key: Sequence[str] | str, order_cols: Seque
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*_sort_key(order_cols))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def order_key(order_cols: Sequence) -> Column:
+    """A struct that compares like ``ORDER BY c1, c2, ... ASC NULLS LAST``
+    (each column is preceded by its is-null flag, so nulls sort last)."""
+    fields = []
+    for i, c in enumerate(order_cols):
+        col = _col(c)
+        fields += [col.isNull().alias(f"n{i}"), col.alias(f"v{i}")]
+    return F.struct(*fields)
+
+
+def first_of(row: Column, order_cols: Sequence) -> Column:
+    """Aggregate: the ``row`` struct of the first input row under
+    ``order_cols``.  Hash-aggregated with partial aggregation, so a key with
+    very many rows keeps one candidate per map task and needs no sort."""
+    return F.min_by(row, order_key(order_cols))

@@ -162,7 +162,7 @@ def describe_long(long: DataFrame, by: str | None, value: str, digits: int = 2,
                                    F.bround(F.stddev_samp(value), digits).alias("std"),
                                    F.bround(F.min(value), digits).alias("min"),
                                    F.bround(F.max(value), digits).alias("max"))
-    qs = exact_quantiles(src, value, probs, by=keys, prefix="_q")
+    qs = exact_quantiles(src, value, probs, by=keys, prefix="_q", materialized=True)
     names = [f"p{int(round(p * 100))}" for p in probs]
     qs = qs.select(*keys, *[F.bround(F.col(f"_q{i}"), digits).alias(n)
                             for i, n in enumerate(names)])

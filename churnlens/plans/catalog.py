@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.rounding import money_avg
 from churnlens.operators import cohort, drivers, master, profile, rates, rfm
-from churnlens.operators.ranking import first_row_per_key
+from churnlens.operators.ranking import first_of
 from churnlens.plans.params import thresholds_for
 from churnlens.sources.testdata import TestTables
 
@@ -57,8 +57,11 @@ class Analysis:
 
     @cached_property
     def rfm(self) -> DataFrame:
-        return rfm.rfm_base(self.orders_per_customer, PERSON, TS, "order_id", "order_value",
-                            mode="elapsed")
+        # straight from the item rows: distinct orders, spend and last
+        # purchase per person equal those of the order-level collapse, one
+        # shuffle fewer
+        dated = self.delivered.filter(F.col(TS).isNotNull() & F.col("order_id").isNotNull())
+        return rfm.rfm_base(dated, PERSON, TS, "order_id", "price", mode="elapsed")
 
     @cached_property
     def rfm_qcut(self) -> DataFrame:
@@ -67,7 +70,7 @@ class Analysis:
     # -- stage 3: first orders ------------------------------------------------
     @cached_property
     def first_orders(self) -> DataFrame:
-        return drivers.first_orders(self.delivered, self.rfm, PERSON)
+        return drivers.first_orders(self.delivered, PERSON)
 
     def customers_all(self) -> DataFrame:
         return self.t.customers()
@@ -389,9 +392,11 @@ def q_category_retention_sql(spark, sf_dir):
             .join(t.products().select("product_id", "product_category_name"), "product_id")
             .join(t.category_translation(), "product_category_name")
             .withColumnRenamed("product_category_name_english", "category"))
-    first = first_row_per_key(base, PERSON, drivers.FIRST_ROW_ORDER).select(PERSON, "category")
-    counts = rates.orders_per_person(base, PERSON, "order_id", out="total_orders")
-    flagged = first.join(counts, PERSON).withColumn("is_repeat", F.col("total_orders") >= 2)
+    # first categorised item and distinct categorised orders in one pass
+    flagged = base.groupBy(PERSON).agg(
+        first_of(F.col("category"), drivers.FIRST_ROW_ORDER).alias("category"),
+        F.count_distinct("order_id").alias("total_orders")) \
+        .withColumn("is_repeat", F.col("total_orders") >= 2)
     return rates.rate_by(flagged, "category", "is_repeat", PERSON, min_n=p.category_min_customers,
                          mode="half_up", drop_null_dims=False)
 

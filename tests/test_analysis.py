@@ -155,9 +155,7 @@ def test_segment_invariants(spark):
 
 def test_first_orders_picks_first_item(spark, m):
     d = master.delivered(m)
-    opc = master.collapse_orders(d)
-    base = rfm.rfm_base(opc)
-    fo = {r.customer_unique_id: r for r in drivers.first_orders(d, base).collect()}
+    fo = {r.customer_unique_id: r for r in drivers.first_orders(d).collect()}
     assert fo["alice"].price == Decimal("10.00")  # item 1 of the first order, not the total
     assert fo["alice"].is_repeat and not fo["dan"].is_repeat
     assert fo["alice"].delivery_days == 10.0 and fo["alice"].days_vs_estimate == -5.0
