@@ -429,6 +429,18 @@ def q_events_cohort_activity(spark, sf_dir):
     return cohort.cohort_activity(pm)
 
 
+def q_events_cohort_activity_stream(spark, sf_dir):
+    """The events table read as a file stream, pairs maintained by a
+    streaming query (availableNow), cohorts computed from the pair table."""
+    from churnlens.sources.testdata import RAW_SCHEMAS
+    from churnlens.streaming import activity_from_pairs, run_pairs_available_now
+    stream = (spark.readStream.schema(RAW_SCHEMAS["events"])
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+              .filter(F.col("event_type") == "purchase"))
+    path = run_pairs_available_now(spark, stream, "user_id", "ts")
+    return activity_from_pairs(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_profile": q_table_profile,
     "null_profile": q_null_profile,
@@ -482,5 +494,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spend_extremes": q_spend_extremes,
     "events_repeat_rate": q_events_repeat_rate,
     "events_cohort_activity": q_events_cohort_activity,
+    "events_cohort_activity_stream": q_events_cohort_activity_stream,
 }
 

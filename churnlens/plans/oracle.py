@@ -559,6 +559,7 @@ def build(P=BY_SF["0.01"]) -> dict[str, str]:
                   WHERE user_id IS NOT NULL AND event_id IS NOT NULL GROUP BY 1))"""
     Q["events_cohort_activity"] = f"""SELECT cohort_month, month_index, count(*) AS active_customers
       FROM {_person_months("b_purchases", "user_id", "ts", "event_id")} GROUP BY 1, 2"""
+    Q["events_cohort_activity_stream"] = Q["events_cohort_activity"]
 
 
     # bodies starting with "," extend the shared CTE list before their SELECT
