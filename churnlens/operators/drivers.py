@@ -78,7 +78,9 @@ def delivery_comparison(fo: DataFrame, value: str = "delivery_days", flag: str =
     stats = src.groupBy(flag).agg(F.bround(F.avg(value), digits).alias("mean"),
                                   F.bround(F.stddev_samp(value), digits).alias("std"),
                                   F.count(value).alias("count"))
-    med = exact_quantiles(src, value, [0.5], by=[flag], prefix="_m", materialized=True) \
+    # a boolean flag: at most two groups
+    med = exact_quantiles(src, value, [0.5], by=[flag], prefix="_m", materialized=True,
+                          max_groups=2) \
         .select(flag, F.bround("_m0", digits).alias("median"))
     return stats.join(med, flag, "left").select(
         _flag_label(flag).alias("customer_type"), flag, "mean", "median", "std", "count")
@@ -87,7 +89,7 @@ def delivery_comparison(fo: DataFrame, value: str = "delivery_days", flag: str =
 def delivery_median_gap(fo: DataFrame, value: str = "delivery_days", flag: str = "is_repeat",
                         digits: int = 2) -> DataFrame:
     med = exact_quantiles(fo.filter(F.col(flag).isNotNull()), value, [0.5], by=[flag],
-                          prefix="_m")
+                          prefix="_m", max_groups=2)
     one = F.max(F.when(~F.col(flag), F.col("_m0")))
     rep = F.max(F.when(F.col(flag), F.col("_m0")))
     return med.agg(one.alias("_o"), rep.alias("_r")).select(
@@ -103,14 +105,14 @@ def boxplot_stats(fo: DataFrame, value: str = "delivery_days", flag: str = "is_r
     src = materialize(fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
                       .select(flag, value))
     q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=[flag], prefix="_q",
-                        materialized=True) \
+                        materialized=True, max_groups=2) \
         .select(flag, F.col("_q0").alias("q1"), F.col("_q1").alias("median"),
                 F.col("_q2").alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
         .withColumn("_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     v = F.col(value)
-    # q holds one row per group; AQE broadcasts it after measuring it
-    w = src.select(flag, value).join(q.select(flag, "_lo", "_hi"), flag) \
+    # q holds one row per value of a boolean flag: bounded broadcast
+    w = src.select(flag, value).join(F.broadcast(q.select(flag, "_lo", "_hi")), flag) \
         .groupBy(flag).agg(F.min(F.when(v >= F.col("_lo"), v)).alias("lower_whisker"),
                            F.max(F.when(v <= F.col("_hi"), v)).alias("upper_whisker"))
     return q.join(w, flag).select(

@@ -108,19 +108,26 @@ def ntile_score(df: DataFrame, value_col: str, tiebreak: Sequence[str] | str,
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), prefix: str = "q",
-                    num_partitions: int | None = None, materialized: bool = False) -> DataFrame:
-    return _quantiles(df, value_col, probs, list(by), prefix, num_partitions, materialized)
+                    num_partitions: int | None = None, materialized: bool = False,
+                    max_groups: int | None = None) -> DataFrame:
+    return _quantiles(df, value_col, probs, list(by), prefix, num_partitions, materialized,
+                      max_groups)
 
 
 def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                by: list, prefix: str, num_partitions: int | None,
-               materialized: bool = False) -> DataFrame:
+               materialized: bool = False, max_groups: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (``quantile_cont``/pandas semantics),
     one row per group of ``by`` with columns ``{prefix}0..{prefix}{k-1}``
     and ``n`` (non-null count).  Null values and null groups are ignored
     (pandas ``groupby`` drops null keys).  Only the narrow (group, value)
     projection is materialized and ranked (``materialized=True``: ``df`` is
     already a cheap projection of a checkpoint, so it is ranked directly).
+
+    The ranks to read are a frame of (groups × probabilities × 2) rows.
+    With no ``by``, or when the caller bounds the number of groups with
+    ``max_groups``, it is broadcast, so the ranked rows are filtered in
+    place instead of being shuffled to meet it; otherwise AQE decides.
     """
     base = df.select(*by, F.col(value_col).cast("double").alias("_v")) \
         .filter(F.col("_v").isNotNull())
@@ -144,9 +151,17 @@ def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     pts = ranked.select("_rk", "_v")
     lo_v = pts.withColumnsRenamed({"_rk": "_lo", "_v": "_vlo"})
     hi_v = pts.withColumnsRenamed({"_rk": "_hi", "_v": "_vhi"})
-    # `need` has (groups x probs) rows; AQE broadcasts it once its size is known
-    vals = (need.join(lo_v, "_lo").join(hi_v, "_hi")
-            .withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")))
+    if not by or max_groups is not None:
+        need = F.broadcast(need)  # at most max_groups x len(probs) rows
+        # rank -> value pairs of the wanted ranks only: each side is a
+        # broadcast-hash filter over the ranked rows, no shuffle
+        lo_pick = lo_v.join(need.select("_lo").distinct().hint("broadcast"), "_lo", "left_semi")
+        hi_pick = hi_v.join(need.select("_hi").distinct().hint("broadcast"), "_hi", "left_semi")
+        # ranks are unique, so each pick has at most one row per needed rank
+        vals = need.join(F.broadcast(lo_pick), "_lo").join(F.broadcast(hi_pick), "_hi")
+    else:
+        vals = need.join(lo_v, "_lo").join(hi_v, "_hi")
+    vals = vals.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
     aggs = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}")
             for i in range(len(probs))]
     return vals.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
@@ -168,7 +183,8 @@ def quantile_bins(df: DataFrame, specs: dict[str, str], probs: Sequence[float],
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_var"), F.col(specs[o]).cast("double").alias("_x"))
         for i, o in enumerate(outs)])).alias("_s")).select("_s.*")
-    per_var = _quantiles(long, "_x", probs, ["_var"], "_e", num_partitions, materialized=True)
+    per_var = _quantiles(long, "_x", probs, ["_var"], "_e", num_partitions, materialized=True,
+                         max_groups=len(outs))
     k = len(probs)
     # one row: edge j of variable i becomes column _e{i}_{j}
     edges = per_var.agg(*[F.max(F.when(F.col("_var") == i, F.col(f"_e{j}"))).alias(f"_e{i}_{j}")

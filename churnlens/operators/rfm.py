@@ -150,11 +150,11 @@ def describe_columns(df: DataFrame, cols: Mapping[str, str], digits: int = 2,
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("variable"), F.col(c).cast("double").alias("value"))
         for name, c in cols.items()])).alias("s")).select("s.*")
-    return describe_long(long, "variable", "value", digits, probs)
+    return describe_long(long, "variable", "value", digits, probs, max_groups=len(cols))
 
 
 def describe_long(long: DataFrame, by: str | None, value: str, digits: int = 2,
-                  probs=(0.25, 0.5, 0.75)) -> DataFrame:
+                  probs=(0.25, 0.5, 0.75), max_groups: int | None = None) -> DataFrame:
     keys = [by] if by else []
     src = materialize(long.filter(F.col(value).isNotNull()))  # stats + quantiles
     stats = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"),
@@ -162,7 +162,8 @@ def describe_long(long: DataFrame, by: str | None, value: str, digits: int = 2,
                                    F.bround(F.stddev_samp(value), digits).alias("std"),
                                    F.bround(F.min(value), digits).alias("min"),
                                    F.bround(F.max(value), digits).alias("max"))
-    qs = exact_quantiles(src, value, probs, by=keys, prefix="_q", materialized=True)
+    qs = exact_quantiles(src, value, probs, by=keys, prefix="_q", materialized=True,
+                         max_groups=max_groups)
     names = [f"p{int(round(p * 100))}" for p in probs]
     qs = qs.select(*keys, *[F.bround(F.col(f"_q{i}"), digits).alias(n)
                             for i, n in enumerate(names)])
