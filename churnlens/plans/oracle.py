@@ -520,7 +520,8 @@ def build(P=BY_SF["0.01"]) -> dict[str, str]:
            rank_desc, rank_desc <= 10 AS in_top, rank_desc > n - 10 AS in_bottom,
            rank_desc <= 15 AS in_chart,
            round_even(repeat_rate_pct / NULLIF(best, 0), 4) AS ratio_to_best
-      FROM (SELECT *, row_number() OVER (ORDER BY repeat_rate_pct DESC, {_CAT} ASC) AS rank_desc,
+      FROM (SELECT *, CAST(row_number() OVER (ORDER BY repeat_rate_pct DESC, {_CAT} ASC) AS INTEGER)
+                 AS rank_desc,
                    count(*) OVER () AS n, max(repeat_rate_pct) OVER () AS best
             FROM ({_rate_by("b_fo", _CAT, P.category_min_customers)}))"""
     Q["category_retention_sql"] = f""", base AS (

@@ -39,7 +39,21 @@ def rows_of(columns, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def type_mismatches(spark_df, description) -> list[str]:
+    duck_types = {d[0]: str(d[1]) for d in description}
+    out = []
+    for name, t in spark_df.dtypes:
+        want = SPARK_TO_DUCK.get(t, t)
+        if duck_types.get(name) != want:
+            out.append(f"{name}: spark {t} vs duckdb {duck_types.get(name)}")
+    return out
+
+
+def compare(spark_df, con, sql: str, check_types: bool = True) -> tuple[bool, str]:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
     res = con.execute(sql)
@@ -47,6 +61,10 @@ def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={s_cols} duckdb={d_cols}"
+    if check_types:
+        bad = type_mismatches(spark_df, res.description)
+        if bad:
+            return False, "types differ: " + "; ".join(bad)
     if len(s_rows) != len(d_rows):
         return False, f"row count differs: spark={len(s_rows)} duckdb={len(d_rows)}"
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
