@@ -155,6 +155,20 @@ def q_top_customer_profile(spark, sf_dir):
                       .alias("avg_order_value"))
 
 
+def q_top_customer_locations(spark, sf_dir):
+    """(city, state) counts over the order-level ids of the most frequent
+    person (multi-column value counts behind a top-1 semi join)."""
+    cust = TestTables(spark, sf_dir).customers()
+    top1 = rates.top_k(rates.orders_per_person(cust, PERSON, None), 1,
+                       [F.col("order_count").desc(), F.col(PERSON).asc()]).select(PERSON)
+    return profile.value_counts(cust.join(top1, PERSON, "left_semi"),
+                                ["customer_city", "customer_state"], out="n_ids")
+
+
+def q_order_date_range(spark, sf_dir):
+    return profile.date_range(TestTables(spark, sf_dir).orders(), TS)
+
+
 def q_avg_order_value(spark, sf_dir):
     t = TestTables(spark, sf_dir)
     tot = t.order_items().agg(F.sum("price").alias("_p"), F.sum("freight_value").alias("_f"))
@@ -452,6 +466,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repeat_rate_all": q_repeat_rate_all,
     "top_repeat_customers": q_top_repeat_customers,
     "top_customer_profile": q_top_customer_profile,
+    "top_customer_locations": q_top_customer_locations,
+    "order_date_range": q_order_date_range,
     "avg_order_value": q_avg_order_value,
     "master_table": q_master_table,
     "master_checks": q_master_checks,

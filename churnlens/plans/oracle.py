@@ -387,6 +387,16 @@ def build(P=BY_SF["0.01"]) -> dict[str, str]:
            CAST(s.p + s.f AS DOUBLE) AS grand_total,
            {money_avg("s.p + s.f", "(SELECT count(*) FROM ords)")} AS avg_order_value
     FROM s"""
+    Q["top_customer_locations"] = f""", top1 AS (
+        SELECT customer_unique_id FROM {_per_person_all()}
+        ORDER BY order_count DESC, customer_unique_id LIMIT 1),
+      locs AS (SELECT customer_city, customer_state, count(*) AS n_ids FROM b_customers
+               WHERE customer_unique_id IN (SELECT * FROM top1)
+                 AND customer_city IS NOT NULL AND customer_state IS NOT NULL
+               GROUP BY 1, 2)
+    SELECT customer_city, customer_state, n_ids,
+           {pct("n_ids", "sum(n_ids) OVER ()")} AS pct FROM locs"""
+    Q["order_date_range"] = f"""SELECT min({TS}) AS min_ts, max({TS}) AS max_ts FROM b_orders"""
     Q["avg_order_value"] = f"""SELECT CAST(p AS DOUBLE) AS total_price, CAST(f AS DOUBLE) AS total_freight,
            n_orders, {money_avg("p + f", "n_orders")} AS avg_order_value
       FROM (SELECT sum(price) AS p, sum(freight_value) AS f FROM b_items),
