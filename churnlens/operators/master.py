@@ -53,11 +53,29 @@ def master_table(orders: DataFrame, customers: DataFrame, items: DataFrame,
     item = (items.select("order_id", *ITEM_COLS)
             .join(prod, "product_id", "left")
             .join(trans, "product_category_name", "left"))
-    m = (orders.select(*ORDER_COLS)
-         .join(cust, "customer_id", "left")
-         .join(review_summary(reviews), "order_id", "left")
-         .join(item, "order_id", "left"))
-    return m.select(*MASTER_COLS)
+    base = (orders.select(*ORDER_COLS)
+            .join(cust, "customer_id", "left")
+            .join(review_summary(reviews), "order_id", "left"))
+    return left_join_skew_safe(base, item, "order_id").select(*MASTER_COLS)
+
+
+def left_join_skew_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left ⟕ right`` on ``key`` written as inner join ∪ anti join.
+
+    In an outer join AQE can split skewed partitions of the preserved side
+    only; one order holding a third of all item rows would stay one task.
+    The inner join can be split on both sides, and the anti join meets the
+    right side's distinct keys (reduced map-side, so a hot key ships one
+    row per task).  Filters that need a right-hand value (e.g. a price)
+    remove the anti branch at planning time.
+    """
+    matched = left.join(right, key, "inner")
+    keys = right.select(key).filter(F.col(key).isNotNull()).distinct()
+    unmatched = left.join(keys, key, "left_anti").select(
+        *[F.col(c) for c in left.columns],
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields
+          if f.name != key])
+    return matched.unionByName(unmatched)
 
 
 def delivered(master: DataFrame, status_col: str = "order_status", status: str = "delivered",
