@@ -159,3 +159,19 @@ def test_first_orders_picks_first_item(spark, m):
     assert fo["alice"].price == Decimal("10.00")  # item 1 of the first order, not the total
     assert fo["alice"].is_repeat and not fo["dan"].is_repeat
     assert fo["alice"].delivery_days == 10.0 and fo["alice"].days_vs_estimate == -5.0
+
+
+def test_skew_safe_left_join_equals_left_join(spark):
+    import random
+    rnd = random.Random(4)
+    left = spark.createDataFrame([(i if i % 7 else None, f"l{i}") for i in range(300)],
+                                 "k int, lv string")
+    # key 1 holds a third of the right rows; some keys have no match
+    right_rows = [(1, f"r{j}") for j in range(200)] + \
+        [(rnd.randint(0, 400), f"s{j}") for j in range(400)] + [(None, "n")]
+    right = spark.createDataFrame(right_rows, "k int, rv string")
+    got = sorted(map(tuple, master.left_join_skew_safe(left, right, "k")
+                     .select("k", "lv", "rv").collect()), key=repr)
+    exp = sorted(map(tuple, left.join(right, "k", "left").select("k", "lv", "rv").collect()),
+                 key=repr)
+    assert got == exp
