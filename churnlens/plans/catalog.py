@@ -222,7 +222,8 @@ def q_cohort_sizes(spark, sf_dir):
 
 
 def q_cohort_activity(spark, sf_dir):
-    return cohort.cohort_activity(Analysis(spark, sf_dir).person_months)
+    return cohort.cohort_activity(Analysis(spark, sf_dir).person_months) \
+        .orderBy("cohort_month", "month_index")
 
 
 def q_month_index_distribution(spark, sf_dir):
@@ -253,7 +254,8 @@ def q_retention_heatmap_data(spark, sf_dir):
 
 def q_retention_curve(spark, sf_dir):
     a = Analysis(spark, sf_dir)
-    return cohort.retention_curve(a.retention, a.p.curve_min_cohort, a.p.max_month_index)
+    return cohort.retention_curve(a.retention, a.p.curve_min_cohort, a.p.max_month_index) \
+        .orderBy("month_index")
 
 
 def q_month1_cliff(spark, sf_dir):
@@ -276,7 +278,7 @@ def q_cohort_activity_sql(spark, sf_dir):
     """The SQL formulation: count distinct persons per (cohort, month)
     over delivered orders including those without items."""
     pm = cohort.person_months(_sql_universe(TestTables(spark, sf_dir)), PERSON, TS, "order_id")
-    return cohort.cohort_activity(pm)
+    return cohort.cohort_activity(pm).orderBy("cohort_month", "month_index")
 
 
 def _rfm_out(df: DataFrame) -> DataFrame:
@@ -324,11 +326,13 @@ def q_rfm_scores_ntile(spark, sf_dir):
 
 def q_rfm_segments_sql(spark, sf_dir):
     scored = rfm.scores_ntile(_rfm_sql_base(TestTables(spark, sf_dir)), PERSON)
-    return rfm.segment_summary_sql(rfm.with_segment(scored, "r_score", "f_score", "m_score"))
+    return rfm.segment_summary_sql(rfm.with_segment(scored, "r_score", "f_score", "m_score")) \
+        .orderBy(F.col("total_revenue").desc(), "segment")
 
 
 def q_rfm_segments_qcut(spark, sf_dir):
-    return rfm.segment_summary(Analysis(spark, sf_dir).rfm_qcut, PERSON)
+    return rfm.segment_summary(Analysis(spark, sf_dir).rfm_qcut, PERSON) \
+        .orderBy(F.col("total_monetary").desc(), "segment")
 
 
 def q_segment_shares(spark, sf_dir):
@@ -386,7 +390,8 @@ def q_review_extremes(spark, sf_dir):
 
 def q_category_retention_nb(spark, sf_dir):
     a = Analysis(spark, sf_dir)
-    return drivers.category_retention(a.first_orders, PERSON, a.p.category_min_customers)
+    return drivers.category_retention(a.first_orders, PERSON, a.p.category_min_customers) \
+        .orderBy(F.col("repeat_rate_pct").desc(), "product_category_name_english")
 
 
 def q_category_top_bottom(spark, sf_dir):
@@ -412,7 +417,8 @@ def q_category_retention_sql(spark, sf_dir):
         F.count_distinct("order_id").alias("total_orders")) \
         .withColumn("is_repeat", F.col("total_orders") >= 2)
     return rates.rate_by(flagged, "category", "is_repeat", PERSON, min_n=p.category_min_customers,
-                         mode="half_up", drop_null_dims=False)
+                         mode="half_up", drop_null_dims=False) \
+        .orderBy(F.col("repeat_rate_pct").desc(), "category")
 
 
 def q_spend_bucket_retention(spark, sf_dir):
