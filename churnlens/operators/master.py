@@ -42,8 +42,12 @@ def master_table(orders: DataFrame, customers: DataFrame, items: DataFrame,
     split by AQE's skew-join handling.
     """
     cust = customers.select("customer_id", *CUSTOMER_COLS)
-    prod = products.select("product_id", "product_category_name")
-    trans = translation.select("product_category_name", "product_category_name_english")
+    # Lookups keyed by their primary key are stated as one row per key, so
+    # the optimizer drops these left joins from every plan that reads no
+    # category column (cohorts, RFM, rates): the item rows are then not
+    # shuffled by product at all.
+    prod = unique_by(products, "product_id", ["product_category_name"])
+    trans = unique_by(translation, "product_category_name", ["product_category_name_english"])
     # Items get their category first (product-keyed joins), so that every
     # join against the orders is keyed by order_id: the review summary and
     # the enriched items then share one hash partitioning with the orders,
@@ -59,6 +63,16 @@ def master_table(orders: DataFrame, customers: DataFrame, items: DataFrame,
     return left_join_skew_safe(base, item, "order_id").select(*MASTER_COLS)
 
 
+def unique_by(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """A lookup table with one row per ``key`` (its primary key), written as
+    an aggregate so that Catalyst knows the key is unique.  With a unique
+    key the ``max`` of each column is that row's value.  The aggregate's
+    output is hash-partitioned by ``key``, which is what a sort-merge join
+    on ``key`` needs anyway."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key) \
+        .agg(*[F.max(c).alias(c) for c in cols])
+
+
 def left_join_skew_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``left ⟕ right`` on ``key`` written as inner join ∪ anti join.
 
