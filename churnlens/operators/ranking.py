@@ -92,11 +92,13 @@ def tile_of(rank, n, tiles: int) -> Column:
 
 def ntile_score(df: DataFrame, value_col: str, tiebreak: Sequence[str] | str,
                 tiles: int = 5, out: str = "tile", invert: bool = False,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, materialized: bool = False) -> DataFrame:
     """Exact ``NTILE(tiles) OVER (ORDER BY value, tiebreak)`` computed in
-    parallel; ``invert`` gives ``tiles + 1 - ntile`` (e.g. recency)."""
+    parallel; ``invert`` gives ``tiles + 1 - ntile`` (e.g. recency).
+    ``materialized=True``: ``df`` is already a cheap view of a checkpoint.
+    The result is itself a cheap view of a checkpoint."""
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    ranked = global_rank(df, [value_col, *tb], "_rk", num_partitions)
+    ranked = global_rank(df, [value_col, *tb], "_rk", num_partitions, materialized=materialized)
     total = ranked.agg(F.count(F.lit(1)).alias("_cnt"))
     tile = tile_of("_rk", "_cnt", tiles)
     if invert:
@@ -168,7 +170,8 @@ def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
 
 
 def quantile_bins(df: DataFrame, specs: dict[str, str], probs: Sequence[float],
-                  on_duplicate: str = "error", num_partitions: int | None = None) -> DataFrame:
+                  on_duplicate: str = "error", num_partitions: int | None = None,
+                  materialized: bool = False) -> DataFrame:
     """Right-closed quantile bins (``pandas.qcut`` semantics) for several
     columns (``specs``: output column → value column) with ONE ranking
     pass over the stacked (variable, value) pairs.  Bin 1 holds values ≤
@@ -178,7 +181,8 @@ def quantile_bins(df: DataFrame, specs: dict[str, str], probs: Sequence[float],
     """
     if on_duplicate not in ("error", "drop"):
         raise ValueError("on_duplicate must be 'error' or 'drop'")
-    df = materialize(df)  # read twice: edges, then binning
+    if not materialized:
+        df = materialize(df)  # read twice: edges, then binning
     outs = list(specs)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_var"), F.col(specs[o]).cast("double").alias("_x"))

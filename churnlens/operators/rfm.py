@@ -59,15 +59,20 @@ def scores_ntile(rfm: DataFrame, person_col: str, tiles: int = 5) -> DataFrame:
     """SQL-style scores: R = tiles+1 − NTILE(recency), M = NTILE(monetary),
     F from manual buckets; ties split by person id (a total order)."""
     r = ntile_score(rfm, "recency", person_col, tiles, out="r_score", invert=True)
-    m = ntile_score(r, "monetary", person_col, tiles, out="m_score")
+    # r reads the first ranking's checkpoint: no second copy of the input
+    m = ntile_score(r, "monetary", person_col, tiles, out="m_score", materialized=True)
     return m.withColumn("f_score", frequency_score("frequency"))
 
 
-def scores_qcut(rfm: DataFrame, probs=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
+def scores_qcut(rfm: DataFrame, probs=(0.2, 0.4, 0.6, 0.8),
+                materialized: bool = False) -> DataFrame:
     """Notebook-style scores: quantile bins (ties stay together), R
-    inverted, F from manual buckets, and the three-digit code."""
+    inverted, F from manual buckets, and the three-digit code.
+    ``materialized=True`` when ``rfm`` comes from :func:`rfm_base` with its
+    own snapshot (its per-person rows are already checkpointed)."""
     top = len(probs) + 1
-    m = quantile_bins(rfm, {"_rbin": "recency", "M_score": "monetary"}, probs)
+    m = quantile_bins(rfm, {"_rbin": "recency", "M_score": "monetary"}, probs,
+                      materialized=materialized)
     return (m.withColumn("R_score", (F.lit(top + 1) - F.col("_rbin")).cast("int")).drop("_rbin")
             .withColumn("F_score", frequency_score("frequency"))
             .withColumn("RFM_score", F.concat(F.col("R_score").cast("string"),

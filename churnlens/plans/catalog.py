@@ -65,7 +65,10 @@ class Analysis:
 
     @cached_property
     def rfm_qcut(self) -> DataFrame:
-        return rfm.with_segment(rfm.scores_qcut(self.rfm), "R_score", "F_score", "M_score")
+        # rfm_base computed its own snapshot, so its per-person rows are
+        # checkpointed already
+        return rfm.with_segment(rfm.scores_qcut(self.rfm, materialized=True),
+                                "R_score", "F_score", "M_score")
 
     # -- stage 3: first orders ------------------------------------------------
     @cached_property
