@@ -163,9 +163,9 @@ def spend_buckets(fo: DataFrame, person_col: str, value: str = "price",
     """Repeat rate by quintile of first-item price (right-closed bins)."""
     k = len(labels)
     probs = [i / k for i in range(1, k)]
-    binned = quantile_bin(fo, value, probs, out="bucket")
-    label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("bucket"))
-    rates = rate_by(binned.withColumn("spend_bucket", label), ["bucket", "spend_bucket"],
+    binned = quantile_bin(fo, value, probs, out="bucket", labels=labels,
+                          label_col="spend_bucket")
+    rates = rate_by(binned, ["bucket", "spend_bucket"],
                     "is_repeat", person_col,
                     extra_aggs=[F.sum(value).alias("_sum"), F.count(value).alias("_cnt"),
                                 F.min(value).alias("_min"), F.max(value).alias("_max")])

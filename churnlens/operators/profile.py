@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from churnlens.functions.rounding import ratio_round
 
 
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def table_shape(tables: Mapping[str, DataFrame]) -> DataFrame:
     """table_name, n_rows, n_cols for each named table."""
-    return _union([df.agg(F.count(F.lit(1)).alias("n_rows"))
+    return union_all([df.agg(F.count(F.lit(1)).alias("n_rows"))
                    .select(F.lit(name).alias("table_name"), "n_rows",
                            F.lit(len(df.columns)).alias("n_cols"))
                    for name, df in tables.items()])
@@ -116,3 +116,15 @@ def revenue_totals(df: DataFrame, price_col: str = "price",
 def preview(df: DataFrame, n: int = 3, order_cols: Sequence[str] | None = None) -> DataFrame:
     """First ``n`` rows; pass ``order_cols`` for a stable choice."""
     return (df.orderBy(*order_cols) if order_cols else df).limit(n)
+
+
+def describe_by(df: DataFrame, col: str, by: str | None = None,
+                probs: Sequence[float] = (0.25, 0.5, 0.75), digits: int = 2) -> DataFrame:
+    """pandas ``describe`` of one column, optionally per group: count, mean,
+    std (sample), min, exact linear quantiles ``p{100p}``, max; rounded
+    half-even.  Groups with a null key are dropped."""
+    from churnlens.operators.rfm import describe_long
+    src = df.select(*([by] if by else []), F.col(col).cast("double").alias("value"))
+    if by:
+        src = src.filter(F.col(by).isNotNull())
+    return describe_long(src, by, "value", digits, probs)

@@ -218,9 +218,18 @@ def quantile_bins(df: DataFrame, specs: dict[str, str], probs: Sequence[float],
 
 def quantile_bin(df: DataFrame, value_col: str, probs: Sequence[float] = (0.2, 0.4, 0.6, 0.8),
                  out: str = "bin", on_duplicate: str = "error",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Single-column :func:`quantile_bins`."""
-    return quantile_bins(df, {out: value_col}, probs, on_duplicate, num_partitions)
+                 num_partitions: int | None = None, labels: Sequence | None = None,
+                 label_col: str | None = None) -> DataFrame:
+    """Single-column :func:`quantile_bins`.  With ``labels`` (one per bin,
+    lowest first) the label of each row's bin is added as ``label_col``
+    (default ``{out}_label``), like ``qcut(..., labels=...)``."""
+    binned = quantile_bins(df, {out: value_col}, probs, on_duplicate, num_partitions)
+    if labels is None:
+        return binned
+    if len(labels) != len(probs) + 1:
+        raise ValueError("need one label per bin")
+    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(out))
+    return binned.withColumn(label_col or f"{out}_label", lab)
 
 
 def first_row_per_key(df: DataFrame, key: Sequence[str] | str, order_cols: Sequence) -> DataFrame:

@@ -75,9 +75,6 @@ class Analysis:
     def first_orders(self) -> DataFrame:
         return drivers.first_orders(self.delivered, PERSON)
 
-    def customers_all(self) -> DataFrame:
-        return self.t.customers()
-
 
 # ---------------------------------------------------------------------------
 # notebook 1: profiling and the master table
@@ -92,12 +89,12 @@ def q_null_profile(spark, sf_dir):
     frames = [profile.null_profile(df, name) for name, df in a.t.all().items()]
     key_cols = [PERSON, TS, "price", "review_score", "product_category_name_english"]
     frames.append(profile.null_profile(a.master, "master", key_cols, only_missing=False))
-    return profile._union(frames)
+    return profile.union_all(frames)
 
 
 def q_duplicate_rows(spark, sf_dir):
     t = TestTables(spark, sf_dir)
-    return profile._union([profile.duplicate_rows(df, name) for name, df in t.all().items()])
+    return profile.union_all([profile.duplicate_rows(df, name) for name, df in t.all().items()])
 
 
 def q_key_uniqueness(spark, sf_dir):

@@ -96,3 +96,15 @@ def test_first_row_per_key_total_order(spark):
     df = spark.createDataFrame(rows, "k string, ts string, o string, i int, v double")
     got = {r.k: (r.o, r.i) for r in first_row_per_key(df, "k", ["ts", "o", "i"]).collect()}
     assert got == {"p": ("o1", 1), "q": ("o4", 1)}  # null timestamp sorts last
+
+
+def test_quantile_bin_labels_and_describe_by(spark):
+    from churnlens.operators.profile import describe_by
+    df = spark.createDataFrame([(float(v), v % 2 == 0) for v in range(1, 11)], "v double, g boolean")
+    lab = {r.v: r.b_label for r in quantile_bin(df, "v", out="b", labels=list("abcde")).collect()}
+    assert lab[1.0] == "a" and lab[10.0] == "e"
+    d = {r.g: r for r in describe_by(df, "v", "g").collect()}
+    evens = np.array([2, 4, 6, 8, 10], dtype=float)
+    assert d[True]["count"] == 5 and d[True].mean == 6.0 and d[True].p50 == 6.0
+    assert d[True].std == round(float(evens.std(ddof=1)), 2)
+    assert d[True].p25 == float(np.quantile(evens, 0.25))
