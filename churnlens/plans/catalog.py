@@ -9,6 +9,7 @@ bigint.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import cached_property
 
@@ -19,24 +20,49 @@ from churnlens.functions.rounding import money_avg
 from churnlens.operators import cohort, drivers, master, profile, rates, rfm
 from churnlens.operators.ranking import first_of
 from churnlens.plans.params import thresholds_for
+from churnlens.session import materialize
 from churnlens.sources.testdata import TestTables
 
 PERSON = "customer_unique_id"
 TS = "order_purchase_timestamp"
 
 
+# Stage outputs are shared between analyses of one session and folder, the
+# way the analysed notebooks hand over persisted files: the master table and
+# the per-person tables are checkpointed once to the shared checkpoint
+# folder and every later analysis reads that copy instead of re-running the
+# joins.  CHURNLENS_SHARE=0 plans every analysis from the raw tables.
+SHARE_STAGES = os.environ.get("CHURNLENS_SHARE", "1") != "0"
+_SHARED: dict[tuple, "Analysis"] = {}
+
+
+def analysis(spark: SparkSession, sf_dir: str) -> "Analysis":
+    """The session's ``Analysis`` of ``sf_dir`` (one per session and folder)."""
+    if not SHARE_STAGES:
+        return Analysis(spark, sf_dir, share=False)
+    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _SHARED:
+        _SHARED[key] = Analysis(spark, sf_dir, share=True)
+    return _SHARED[key]
+
+
 class Analysis:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, share: bool = False):
         self.spark = spark
         self.t = TestTables(spark, sf_dir)
         self.p = thresholds_for(sf_dir)
+        self.share = share
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        return materialize(df) if self.share else df
 
     # -- stage 1: master table ---------------------------------------------
     @cached_property
     def master(self) -> DataFrame:
         t = self.t
-        return master.master_table(t.orders(), t.customers(), t.order_items(), t.products(),
-                                   t.category_translation(), t.order_reviews())
+        return self._stage(master.master_table(
+            t.orders(), t.customers(), t.order_items(), t.products(),
+            t.category_translation(), t.order_reviews()))
 
     @cached_property
     def delivered(self) -> DataFrame:
@@ -73,7 +99,7 @@ class Analysis:
     # -- stage 3: first orders ------------------------------------------------
     @cached_property
     def first_orders(self) -> DataFrame:
-        return drivers.first_orders(self.delivered, PERSON)
+        return self._stage(drivers.first_orders(self.delivered, PERSON))
 
 
 # ---------------------------------------------------------------------------
@@ -85,7 +111,7 @@ def q_table_profile(spark, sf_dir):
 
 
 def q_null_profile(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     frames = [profile.null_profile(df, name) for name, df in a.t.all().items()]
     key_cols = [PERSON, TS, "price", "review_score", "product_category_name_english"]
     frames.append(profile.null_profile(a.master, "master", key_cols, only_missing=False))
@@ -102,11 +128,11 @@ def q_key_uniqueness(spark, sf_dir):
 
 
 def q_status_breakdown(spark, sf_dir):
-    return profile.value_counts(Analysis(spark, sf_dir).master, "order_status", out="n_rows")
+    return profile.value_counts(analysis(spark, sf_dir).master, "order_status", out="n_rows")
 
 
 def q_missing_price_status(spark, sf_dir):
-    return profile.value_counts(Analysis(spark, sf_dir).master, "order_status",
+    return profile.value_counts(analysis(spark, sf_dir).master, "order_status",
                                 where=F.col("price").isNull(), out="n_rows")
 
 
@@ -185,21 +211,21 @@ def _money_out(df: DataFrame) -> DataFrame:
 
 
 def q_master_table(spark, sf_dir):
-    return _money_out(Analysis(spark, sf_dir).master)
+    return _money_out(analysis(spark, sf_dir).master)
 
 
 def q_master_delivered(spark, sf_dir):
-    return _money_out(Analysis(spark, sf_dir).delivered)
+    return _money_out(analysis(spark, sf_dir).delivered)
 
 
 def q_master_drop_report(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     keep = (F.col("order_status") == "delivered") & F.col("price").isNotNull()
     return master.row_drop_report(a.master, keep)
 
 
 def q_master_checks(spark, sf_dir):
-    m = Analysis(spark, sf_dir).master
+    m = analysis(spark, sf_dir).master
     distinct = m.agg(F.count_distinct("order_id").alias("unique_orders"),
                      F.count_distinct(PERSON).alias("unique_customers"),
                      F.count_distinct("product_id").alias("unique_products"),
@@ -213,53 +239,53 @@ def q_master_checks(spark, sf_dir):
 
 
 def q_orders_per_customer(spark, sf_dir):
-    return Analysis(spark, sf_dir).orders_per_customer \
+    return analysis(spark, sf_dir).orders_per_customer \
         .withColumn("order_value", F.col("order_value").cast("double"))
 
 
 def q_cohort_sizes(spark, sf_dir):
-    return cohort.cohort_sizes(Analysis(spark, sf_dir).person_months)
+    return cohort.cohort_sizes(analysis(spark, sf_dir).person_months)
 
 
 def q_cohort_activity(spark, sf_dir):
-    return cohort.cohort_activity(Analysis(spark, sf_dir).person_months) \
+    return cohort.cohort_activity(analysis(spark, sf_dir).person_months) \
         .orderBy("cohort_month", "month_index")
 
 
 def q_month_index_distribution(spark, sf_dir):
-    return cohort.month_index_distribution(Analysis(spark, sf_dir).person_months)
+    return cohort.month_index_distribution(analysis(spark, sf_dir).person_months)
 
 
 def q_cohort_matrix(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     return cohort.wide(cohort.cohort_activity(a.person_months), "active_customers",
                        range(a.p.max_month_index + 1))
 
 
 def q_retention_matrix(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     long = a.retention.withColumn("retention_pct", F.bround("retention_pct", 2))
     return cohort.wide(long, "retention_pct", range(a.p.max_month_index + 1))
 
 
 def q_retention_long(spark, sf_dir):
-    return Analysis(spark, sf_dir).retention \
+    return analysis(spark, sf_dir).retention \
         .withColumn("retention_pct", F.bround("retention_pct", 6))
 
 
 def q_retention_heatmap_data(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     return cohort.heatmap_data(a.retention, a.p.heatmap_min_cohort, a.p.max_month_index)
 
 
 def q_retention_curve(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     return cohort.retention_curve(a.retention, a.p.curve_min_cohort, a.p.max_month_index) \
         .orderBy("month_index")
 
 
 def q_month1_cliff(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     return cohort.month1_cliff(a.retention, a.p.curve_min_cohort)
 
 
@@ -286,23 +312,23 @@ def _rfm_out(df: DataFrame) -> DataFrame:
 
 
 def q_rfm_base(spark, sf_dir):
-    return _rfm_out(Analysis(spark, sf_dir).rfm.drop("last_purchase"))
+    return _rfm_out(analysis(spark, sf_dir).rfm.drop("last_purchase"))
 
 
 def q_rfm_describe(spark, sf_dir):
-    return rfm.describe_columns(Analysis(spark, sf_dir).rfm,
+    return rfm.describe_columns(analysis(spark, sf_dir).rfm,
                                 {"recency": "recency", "frequency": "frequency",
                                  "monetary": "monetary"})
 
 
 def q_rfm_scores_qcut(spark, sf_dir):
-    return _rfm_out(Analysis(spark, sf_dir).rfm_qcut.select(
+    return _rfm_out(analysis(spark, sf_dir).rfm_qcut.select(
         PERSON, "recency", "frequency", "monetary", "R_score", "F_score", "M_score",
         "RFM_score", "segment"))
 
 
 def q_rfm_score_distribution(spark, sf_dir):
-    return rfm.score_distribution(Analysis(spark, sf_dir).rfm_qcut,
+    return rfm.score_distribution(analysis(spark, sf_dir).rfm_qcut,
                                   {"R_score": "R_score", "F_score": "F_score",
                                    "M_score": "M_score"})
 
@@ -331,16 +357,16 @@ def q_rfm_segments_sql(spark, sf_dir):
 
 
 def q_rfm_segments_qcut(spark, sf_dir):
-    return rfm.segment_summary(Analysis(spark, sf_dir).rfm_qcut, PERSON) \
+    return rfm.segment_summary(analysis(spark, sf_dir).rfm_qcut, PERSON) \
         .orderBy(F.col("total_monetary").desc(), "segment")
 
 
 def q_segment_shares(spark, sf_dir):
-    return rfm.segment_shares(Analysis(spark, sf_dir).rfm_qcut, PERSON)
+    return rfm.segment_shares(analysis(spark, sf_dir).rfm_qcut, PERSON)
 
 
 def q_one_time_revenue_share(spark, sf_dir):
-    return rfm.one_time_revenue_share(Analysis(spark, sf_dir).rfm)
+    return rfm.one_time_revenue_share(analysis(spark, sf_dir).rfm)
 
 
 # ---------------------------------------------------------------------------
@@ -348,54 +374,54 @@ def q_one_time_revenue_share(spark, sf_dir):
 
 
 def q_repeat_flag_summary(spark, sf_dir):
-    return rfm.repeat_flag_summary(Analysis(spark, sf_dir).rfm)
+    return rfm.repeat_flag_summary(analysis(spark, sf_dir).rfm)
 
 
 def q_first_orders(spark, sf_dir):
-    fo = Analysis(spark, sf_dir).first_orders
+    fo = analysis(spark, sf_dir).first_orders
     return fo.withColumn("price", F.col("price").cast("double")) \
         .withColumn("monetary", F.col("monetary").cast("double"))
 
 
 def q_delivery_days_describe(spark, sf_dir):
-    return rfm.describe_columns(Analysis(spark, sf_dir).first_orders,
+    return rfm.describe_columns(analysis(spark, sf_dir).first_orders,
                                 {"delivery_days": "delivery_days"})
 
 
 def q_delivery_comparison(spark, sf_dir):
-    return drivers.delivery_comparison(Analysis(spark, sf_dir).first_orders)
+    return drivers.delivery_comparison(analysis(spark, sf_dir).first_orders)
 
 
 def q_delivery_median_gap(spark, sf_dir):
-    return drivers.delivery_median_gap(Analysis(spark, sf_dir).first_orders)
+    return drivers.delivery_median_gap(analysis(spark, sf_dir).first_orders)
 
 
 def q_delivery_boxplot_data(spark, sf_dir):
-    return drivers.boxplot_stats(Analysis(spark, sf_dir).first_orders)
+    return drivers.boxplot_stats(analysis(spark, sf_dir).first_orders)
 
 
 def q_review_retention_raw(spark, sf_dir):
-    return drivers.review_retention(Analysis(spark, sf_dir).first_orders, PERSON, rounded=False)
+    return drivers.review_retention(analysis(spark, sf_dir).first_orders, PERSON, rounded=False)
 
 
 def q_review_retention(spark, sf_dir):
-    return drivers.review_retention(Analysis(spark, sf_dir).first_orders, PERSON, rounded=True)
+    return drivers.review_retention(analysis(spark, sf_dir).first_orders, PERSON, rounded=True)
 
 
 def q_review_extremes(spark, sf_dir):
-    raw = drivers.review_retention(Analysis(spark, sf_dir).first_orders, PERSON, rounded=False)
+    raw = drivers.review_retention(analysis(spark, sf_dir).first_orders, PERSON, rounded=False)
     return rates.extremes(raw, "review_score", 1.0, 5.0, low_name="one_star_pct",
                           high_name="five_star_pct", ratio="five_over_one")
 
 
 def q_category_retention_nb(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     return drivers.category_retention(a.first_orders, PERSON, a.p.category_min_customers) \
         .orderBy(F.col("repeat_rate_pct").desc(), "product_category_name_english")
 
 
 def q_category_top_bottom(spark, sf_dir):
-    a = Analysis(spark, sf_dir)
+    a = analysis(spark, sf_dir)
     return drivers.category_rankings(
         drivers.category_retention(a.first_orders, PERSON, a.p.category_min_customers))
 
@@ -422,11 +448,11 @@ def q_category_retention_sql(spark, sf_dir):
 
 
 def q_spend_bucket_retention(spark, sf_dir):
-    return drivers.spend_buckets(Analysis(spark, sf_dir).first_orders, PERSON)
+    return drivers.spend_buckets(analysis(spark, sf_dir).first_orders, PERSON)
 
 
 def q_spend_extremes(spark, sf_dir):
-    buckets = drivers.spend_buckets(Analysis(spark, sf_dir).first_orders, PERSON)
+    buckets = drivers.spend_buckets(analysis(spark, sf_dir).first_orders, PERSON)
     return rates.extremes(buckets, "bucket", 1, 5, low_name="lowest_bucket_pct",
                           high_name="highest_bucket_pct", ratio="high_over_low")
 
