@@ -36,7 +36,16 @@ def test_no_single_partition_over_rows(spark, name):
 
 
 def test_unused_lookups_are_pruned(spark):
-    from churnlens.plans.catalog import QUERIES
-    plan = _plan(QUERIES["cohort_activity"](spark, SF))
+    from churnlens.operators import cohort
+    from churnlens.plans.catalog import Analysis
+    a = Analysis(spark, SF, share=False)  # planned from the raw tables
+    plan = _plan(cohort.cohort_activity(a.person_months))
     assert "p_partkey" not in plan and "l_shipdate" not in plan  # no product / ship-date work
     assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>", plan)
+
+
+def test_shared_stage_is_read_not_recomputed(spark):
+    from churnlens.plans.catalog import QUERIES
+    QUERIES["master_delivered"](spark, SF)  # builds the shared master once
+    plan = _plan(QUERIES["cohort_activity"](spark, SF))
+    assert "lineitem" not in plan and "Scan ExistingRDD" in plan
