@@ -96,6 +96,12 @@ class Analysis:
         return rfm.with_segment(rfm.scores_qcut(self.rfm, materialized=True),
                                 "R_score", "F_score", "M_score")
 
+    @cached_property
+    def rfm_ntile(self) -> DataFrame:
+        """SQL-formulation RFM (inner joins, calendar recency) with exact
+        distributed NTILE scores; both rankings are checkpointed."""
+        return rfm.scores_ntile(_rfm_sql_base(self.t), PERSON)
+
     # -- stage 3: first orders ------------------------------------------------
     @cached_property
     def first_orders(self) -> DataFrame:
@@ -345,13 +351,13 @@ def _rfm_sql_base(t: TestTables) -> DataFrame:
 
 
 def q_rfm_scores_ntile(spark, sf_dir):
-    scored = rfm.scores_ntile(_rfm_sql_base(TestTables(spark, sf_dir)), PERSON)
+    scored = analysis(spark, sf_dir).rfm_ntile
     return _rfm_out(scored.select(PERSON, F.col("recency").alias("recency_days"), "frequency",
                                   "monetary", "r_score", "f_score", "m_score"))
 
 
 def q_rfm_segments_sql(spark, sf_dir):
-    scored = rfm.scores_ntile(_rfm_sql_base(TestTables(spark, sf_dir)), PERSON)
+    scored = analysis(spark, sf_dir).rfm_ntile
     return rfm.segment_summary_sql(rfm.with_segment(scored, "r_score", "f_score", "m_score")) \
         .orderBy(F.col("total_revenue").desc(), "segment")
 
