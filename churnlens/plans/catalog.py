@@ -20,7 +20,7 @@ from churnlens.functions.rounding import money_avg
 from churnlens.operators import cohort, drivers, master, profile, rates, rfm
 from churnlens.operators.ranking import first_of
 from churnlens.plans.params import thresholds_for
-from churnlens.session import materialize
+from churnlens.session import write_stage
 from churnlens.sources.testdata import TestTables
 
 PERSON = "customer_unique_id"
@@ -29,9 +29,10 @@ TS = "order_purchase_timestamp"
 
 # Stage outputs are shared between analyses of one session and folder, the
 # way the analysed notebooks hand over persisted files: the master table and
-# the per-person tables are checkpointed once to the shared checkpoint
-# folder and every later analysis reads that copy instead of re-running the
-# joins.  CHURNLENS_SHARE=0 plans every analysis from the raw tables.
+# the first-orders table are written once as Parquet tables in the shared
+# checkpoint folder and every later analysis reads that copy instead of
+# re-running the joins.  CHURNLENS_SHARE=0 plans every analysis from the raw
+# tables.
 SHARE_STAGES = os.environ.get("CHURNLENS_SHARE", "1") != "0"
 _SHARED: dict[tuple, "Analysis"] = {}
 
@@ -53,16 +54,17 @@ class Analysis:
         self.p = thresholds_for(sf_dir)
         self.share = share
 
-    def _stage(self, df: DataFrame) -> DataFrame:
-        return materialize(df) if self.share else df
+    def _stage(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        return write_stage(df, partition_by) if self.share else df
 
     # -- stage 1: master table ---------------------------------------------
     @cached_property
     def master(self) -> DataFrame:
         t = self.t
+        # partitioned by status: the delivered universe is a pruned read
         return self._stage(master.master_table(
             t.orders(), t.customers(), t.order_items(), t.products(),
-            t.category_translation(), t.order_reviews()))
+            t.category_translation(), t.order_reviews()), ["order_status"])
 
     @cached_property
     def delivered(self) -> DataFrame:

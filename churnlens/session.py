@@ -77,3 +77,25 @@ def materialize(df):
     instead of re-running the upstream."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_stage(df, partition_by=None):
+    """Persist a stage output as a Parquet table in the shared checkpoint
+    folder and return a frame over it.
+
+    Unlike ``checkpoint()`` (serialized rows), later readers get column
+    pruning, predicate pushdown, partition pruning on ``partition_by`` and
+    real size statistics for AQE.  The lineage is cut at the table."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("no shared checkpoint folder to write the stage to")
+    path = f"{base.rstrip('/')}/stages/{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    # the declared schema skips footer inference and keeps partition types
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
