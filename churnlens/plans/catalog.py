@@ -20,7 +20,7 @@ from churnlens.functions.rounding import money_avg
 from churnlens.operators import cohort, drivers, master, profile, rates, rfm
 from churnlens.operators.ranking import first_of
 from churnlens.plans.params import thresholds_for
-from churnlens.session import write_stage
+from churnlens.session import materialize, write_stage
 from churnlens.sources.testdata import TestTables
 
 PERSON = "customer_unique_id"
@@ -34,6 +34,9 @@ TS = "order_purchase_timestamp"
 # re-running the joins.  CHURNLENS_SHARE=0 plans every analysis from the raw
 # tables.
 SHARE_STAGES = os.environ.get("CHURNLENS_SHARE", "1") != "0"
+# "parquet": a columnar table (readers prune columns, push filters, get size
+# statistics); "checkpoint": Spark's serialized-row checkpoint files
+STAGE_FORMAT = os.environ.get("CHURNLENS_STAGE_FORMAT", "parquet")
 _SHARED: dict[tuple, "Analysis"] = {}
 
 
@@ -54,8 +57,10 @@ class Analysis:
         self.p = thresholds_for(sf_dir)
         self.share = share
 
-    def _stage(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        return write_stage(df, partition_by) if self.share else df
+    def _stage(self, df: DataFrame) -> DataFrame:
+        if not self.share:
+            return df
+        return materialize(df) if STAGE_FORMAT == "checkpoint" else write_stage(df)
 
     # -- stage 1: master table ---------------------------------------------
     @cached_property
