@@ -1,8 +1,11 @@
 """The named analyses, each ``(spark, sf_dir) -> DataFrame``.
 
 ``Analysis`` wires the logical tables of one test-data folder through the
-operators; every property is a lazy DataFrame, so a query only plans what
-it uses and Catalyst prunes the rest.  Output column names match the SQL
+operators.  Its properties are DataFrames built on first use; with stage
+sharing on, the master table and the first-orders table are written once
+(a job runs when the property is first read) and every later analysis of
+the session reads those tables; all other properties stay lazy, so a
+query only plans what it uses and Catalyst prunes the rest.  Output column names match the SQL
 oracle in :mod:`churnlens.plans.oracle`; money leaves as double, counts as
 bigint.
 """
@@ -44,13 +47,21 @@ def analysis(spark: SparkSession, sf_dir: str) -> "Analysis":
     """The session's ``Analysis`` of ``sf_dir`` (one per session and folder)."""
     if not SHARE_STAGES:
         return Analysis(spark, sf_dir, share=False)
-    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        app = None
+    key = (id(spark), app, os.path.abspath(sf_dir))
     if key not in _SHARED:
         _SHARED[key] = Analysis(spark, sf_dir, share=True)
     return _SHARED[key]
 
 
 class Analysis:
+    """The analysis pipeline of one folder: master → delivered → orders,
+    cohorts, RFM → first orders.  ``share=True`` writes the master and
+    first-orders stages once (see :func:`analysis`)."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, share: bool = False):
         self.spark = spark
         self.t = TestTables(spark, sf_dir)
