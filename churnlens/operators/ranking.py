@@ -135,9 +135,14 @@ def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         .filter(F.col("_v").isNotNull())
     for b in by:
         base = base.filter(F.col(b).isNotNull())
-    # a unique tiebreak is not needed: tied values are equal, only the value
-    # at a rank is read
-    ranked = global_rank(base, [*by, "_v"], "_rk", num_partitions, materialized=materialized)
+    # Tied values are equal, so their order does not change any quantile;
+    # but range partitioning cannot split identical keys, so a value held
+    # by a third of the rows would land in one partition.  A row-position
+    # tiebreak makes every key unique (stable: it is stored with the
+    # materialized input, or recomputed over the same checkpointed files).
+    base = base.withColumn("_tb", F.monotonically_increasing_id())
+    ranked = global_rank(base, [*by, "_v", "_tb"], "_rk", num_partitions,
+                         materialized=materialized)
     groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                      F.min("_rk").alias("_first"))
     wanted = []

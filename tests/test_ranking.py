@@ -108,3 +108,14 @@ def test_quantile_bin_labels_and_describe_by(spark):
     assert d[True]["count"] == 5 and d[True].mean == 6.0 and d[True].p50 == 6.0
     assert d[True].std == round(float(evens.std(ddof=1)), 2)
     assert d[True].p25 == float(np.quantile(evens, 0.25))
+
+
+def test_range_partitions_stay_balanced_under_a_hot_value(spark):
+    df = _skewed(spark, n=4000)  # half of the rows hold x = 7
+    ranked = global_rank(df, ["x", "id"], "rk", num_partitions=8)
+    sizes = [r[1] for r in ranked.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 0.25 * 4000
+    q = exact_quantiles(df, "x", [0.5, 0.9])  # ties get a position tiebreak internally
+    exp = np.quantile(df.filter(F.col("x").isNotNull()).toPandas()["x"], [0.5, 0.9])
+    r = q.first()
+    assert np.allclose([r.q0, r.q1], exp)
