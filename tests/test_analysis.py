@@ -175,3 +175,31 @@ def test_skew_safe_left_join_equals_left_join(spark):
     exp = sorted(map(tuple, left.join(right, "k", "left").select("k", "lv", "rv").collect()),
                  key=repr)
     assert got == exp
+
+
+def test_first_of_total_order_with_ties_and_nulls(spark):
+    from churnlens.operators.ranking import first_of
+    rows = [("p", "2018-01-01 10:00:00", "o2", 1, 9.0), ("p", "2018-01-01 10:00:00", "o1", 2, 5.0),
+            ("p", "2018-01-01 10:00:00", "o1", 1, 7.0), ("q", None, "o3", 1, 1.0),
+            ("q", "2019-01-01 00:00:00", "o4", 1, 2.0), ("r", None, "o5", 1, 3.0)]
+    df = spark.createDataFrame(rows, "k string, ts string, o string, i int, v double")
+    got = {r.k: (r.f.o, r.f.i) for r in df.groupBy("k").agg(
+        first_of(F.struct("o", "i"), ["ts", "o", "i"]).alias("f")).collect()}
+    # ties on time broken by order id then item; a null time sorts last
+    assert got == {"p": ("o1", 1), "q": ("o4", 1), "r": ("o5", 1)}
+
+
+def test_review_score_rounding_half_even(spark):
+    fo = spark.createDataFrame(
+        [("a", 4.5, True), ("b", 2.5, False), ("c", 3.5, True), ("d", 4.0, False), ("e", None, True)],
+        "customer_unique_id string, review_score double, is_repeat boolean")
+    got = {r.review_score_int: (r.total_customers, r.repeat_customers)
+           for r in drivers.review_retention(fo, "customer_unique_id", rounded=True).collect()}
+    assert got == {2: (1, 0), 4: (3, 2)}  # 4.5 -> 4, 2.5 -> 2, 3.5 -> 4; no review: dropped
+
+
+def test_rate_by_drops_null_groups(spark):
+    df = spark.createDataFrame([("a", "x", True), ("b", None, True), ("c", "x", False)],
+                               "customer_unique_id string, cat string, is_repeat boolean")
+    got = [tuple(r) for r in rates.rate_by(df, "cat", "is_repeat", "customer_unique_id").collect()]
+    assert got == [("x", 2, 1, 50.0)]
