@@ -40,9 +40,16 @@ def _sort_key(cols: Sequence) -> list[Column]:
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions for a ranking: explicit, else the larger of the
+    shuffle partitions and AQE's initial partition number (clusters tuned
+    for AQE keep the former small and let coalescing shrink the latter;
+    ranked partitions are never coalesced, so start from the larger)."""
     if num_partitions:
         return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf
+    n = int(conf.get("spark.sql.shuffle.partitions"))
+    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(n, int(initial)) if initial else n
 
 
 def global_rank(df: DataFrame, order_cols: Sequence, rank_col: str = "rank",
