@@ -23,7 +23,7 @@ from churnlens.functions.rounding import money_avg
 from churnlens.operators import cohort, drivers, master, profile, rates, rfm
 from churnlens.operators.ranking import first_of
 from churnlens.plans.params import thresholds_for
-from churnlens.session import materialize, write_stage
+from churnlens.session import delete_path, materialize, write_stage
 from churnlens.sources.testdata import TestTables
 
 PERSON = "customer_unique_id"
@@ -57,6 +57,12 @@ def analysis(spark: SparkSession, sf_dir: str) -> "Analysis":
     return _SHARED[key]
 
 
+def release_all() -> None:
+    """Delete every shared stage table of this process (end of a suite)."""
+    for a in list(_SHARED.values()):
+        a.release()
+
+
 class Analysis:
     """The analysis pipeline of one folder: master → delivered → orders,
     cohorts, RFM → first orders.  ``share=True`` writes the master and
@@ -67,11 +73,25 @@ class Analysis:
         self.t = TestTables(spark, sf_dir)
         self.p = thresholds_for(sf_dir)
         self.share = share
+        self.stage_paths: list[str] = []
 
     def _stage(self, df: DataFrame) -> DataFrame:
         if not self.share:
             return df
-        return materialize(df) if STAGE_FORMAT == "checkpoint" else write_stage(df)
+        if STAGE_FORMAT == "checkpoint":
+            return materialize(df)
+        out = write_stage(df)
+        self.stage_paths.append(out._churnlens_stage_path)
+        return out
+
+    def release(self) -> None:
+        """Delete the stage tables this analysis wrote and forget it."""
+        for path in self.stage_paths:
+            delete_path(self.spark, path)
+        self.stage_paths.clear()
+        for key, value in list(_SHARED.items()):
+            if value is self:
+                del _SHARED[key]
 
     # -- stage 1: master table ---------------------------------------------
     @cached_property

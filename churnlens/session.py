@@ -98,4 +98,15 @@ def write_stage(df, partition_by=None):
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     # the declared schema skips footer inference and keeps partition types
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._churnlens_stage_path = path  # for release(); plain attribute
+    return out
+
+
+def delete_path(spark, path: str) -> bool:
+    """Recursively delete ``path`` on whatever file system it lives on
+    (HDFS, object store, local) through Hadoop's FileSystem API."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(hpath, True))

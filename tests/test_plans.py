@@ -54,3 +54,15 @@ def test_shared_stage_is_read_not_recomputed(spark):
     assert re.search(r"ReadSchema: struct<order_id:bigint,order_status:string,"
                      r"order_purchase_timestamp:timestamp_ntz,customer_unique", plan)
     assert "customer_city" not in plan.split("ReadSchema")[1]
+
+
+def test_release_deletes_stage_tables(spark):
+    import os
+
+    from churnlens.plans.catalog import Analysis
+    a = Analysis(spark, SF, share=True)
+    n = a.master.count()
+    path = a.stage_paths[0]
+    assert n > 0 and os.path.isdir(path.replace("file:", ""))
+    a.release()
+    assert not os.path.exists(path.replace("file:", "")) and a.stage_paths == []
