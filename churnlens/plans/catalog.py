@@ -272,11 +272,10 @@ def q_master_drop_report(spark, sf_dir):
 
 def q_master_checks(spark, sf_dir):
     m = analysis(spark, sf_dir).master
-    distinct = m.agg(F.count_distinct("order_id").alias("unique_orders"),
-                     F.count_distinct(PERSON).alias("unique_customers"),
-                     F.count_distinct("product_id").alias("unique_products"),
-                     F.count_distinct("product_category_name_english")
-                     .alias("unique_categories"))
+    distinct = profile.entity_counts(m, {"unique_orders": "order_id",
+                                          "unique_customers": PERSON,
+                                          "unique_products": "product_id",
+                                          "unique_categories": "product_category_name_english"})
     return distinct.crossJoin(profile.revenue_totals(m))
 
 

@@ -86,3 +86,11 @@ def test_csv_tables_end_to_end(spark):
         per = rates.orders_per_person(master.delivered(m), "customer_unique_id", "order_id")
         return tuple(rates.repeat_rate(per).first())
     assert rate(m_csv) == rate(m_pq)
+
+
+def test_schema_and_preview_helpers(spark):
+    from churnlens.operators.profile import column_types, preview
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k int, s string")
+    types = [tuple(r) for r in column_types(df, "t").collect()]
+    assert types == [("t", 0, "k", "int"), ("t", 1, "s", "string")]
+    assert [r.k for r in preview(df, 2, ["k"]).collect()] == [1, 2]
