@@ -123,6 +123,23 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                       max_groups)
 
 
+def approx_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                     by: Sequence[str] = (), prefix: str = "q",
+                     accuracy: int = 10000) -> DataFrame:
+    """Approximate quantiles with Spark's ``percentile_approx`` sketch:
+    one aggregation with partial (map-side) sketches, no ranking pass.
+    Rank error is about ``1 / accuracy``; use :func:`exact_quantiles` where
+    results must match pandas / SQL exactly."""
+    by = list(by)
+    src = df.filter(F.col(value_col).isNotNull())
+    for b in by:
+        src = src.filter(F.col(b).isNotNull())
+    arr = F.percentile_approx(F.col(value_col).cast("double"), list(probs), accuracy)
+    agg = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), arr.alias("_qs"))
+    return agg.select(*by, "n", *[F.col("_qs")[i].alias(f"{prefix}{i}")
+                                  for i in range(len(probs))])
+
+
 def _quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                by: list, prefix: str, num_partitions: int | None,
                materialized: bool = False, max_groups: int | None = None) -> DataFrame:

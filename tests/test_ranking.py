@@ -119,3 +119,17 @@ def test_range_partitions_stay_balanced_under_a_hot_value(spark):
     exp = np.quantile(df.filter(F.col("x").isNotNull()).toPandas()["x"], [0.5, 0.9])
     r = q.first()
     assert np.allclose([r.q0, r.q1], exp)
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from churnlens.operators.ranking import approx_quantiles
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 5000), "v": rng.normal(50, 10, 5000)})
+    got = {r.g: r for r in approx_quantiles(spark.createDataFrame(pdf), "v", [0.25, 0.5, 0.75],
+                                            by=["g"]).collect()}
+    for g, r in got.items():
+        vals = np.sort(pdf.loc[pdf.g == g, "v"].to_numpy())
+        for i, p in enumerate([0.25, 0.5, 0.75]):
+            # the returned value's rank is within 1 % of the target rank
+            rank = np.searchsorted(vals, r[f"q{i}"]) / len(vals)
+            assert abs(rank - p) < 0.01
