@@ -73,6 +73,9 @@ def sf_of(sf_dir: str) -> str | None:
     return m.group(1) if m else None
 
 
+_RAW: dict[tuple, DataFrame] = {}
+
+
 class TestTables:
     """Lazy logical tables over one test-data folder."""
 
@@ -83,10 +86,16 @@ class TestTables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        reader = self.spark.read
-        if name in RAW_SCHEMAS:
-            reader = reader.schema(RAW_SCHEMAS[name])
-        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One relation per session and file, shared by every logical table
+        and analysis (the provided files are read-only)."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), path)
+        if key not in _RAW:
+            reader = self.spark.read
+            if name in RAW_SCHEMAS:
+                reader = reader.schema(RAW_SCHEMAS[name])
+            _RAW[key] = reader.parquet(path)
+        return _RAW[key]
 
     # -- logical tables -------------------------------------------------
     def customers(self) -> DataFrame:
