@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
     """Row slices of a batch with their texts (null: empty) as Python
     strings, bounded by rows and by characters."""
     col = batch.column(batch.schema.names.index(text))
-    sizes = pa.compute.binary_length(col).fill_null(0).to_pylist()
+    sizes = pc.binary_length(col).fill_null(0).to_pylist()
     begin, held = 0, 0
     for i, n in enumerate(sizes):
         if i > begin and (i - begin >= SLICE_ROWS or held + n > SLICE_CHARS):
