@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from churnlens.session import write_stage
 
 #: Rows and text characters that a task holds as Python objects at once.
-SLICE_ROWS = 512
-SLICE_CHARS = 4_000_000
+SLICE_ROWS = 2048
+SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,19 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
         yield batch.slice(begin), _texts(col, begin, len(sizes))
 
 
+def arrow_slices(batch: pa.RecordBatch, text: int, chars: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Row slices of a batch with their texts (null: empty) as an Arrow
+    array, of about ``chars`` bytes."""
+    col = batch.column(text).fill_null("")
+    ends = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(col):
+        held = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, held + chars, side="right")))
+        yield batch.slice(begin, end - begin), col.slice(begin, end - begin)
+        begin = end
+
+
 def _texts(col: pa.Array, i: int, j: int) -> list[str]:
     return [x if x is not None else "" for x in col.slice(i, j - i).to_pylist()]
 

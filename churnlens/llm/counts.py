@@ -50,7 +50,7 @@ class PrefixCounter:
         self.special = list(m.special)
         self.split = splitter(BYTE_PATTERN)
         self.pair_memo: dict[tuple[int, int], bool] = {}
-        self.table = PieceTable(with_special(self.split, self.special), self._prefix_counts)
+        self.table = PieceTable(with_special(self.split, self.special), self._totals, np.uint32)
 
     def _build_trie(self, letters: list[str]) -> None:
         byte_of = {c: b for b, c in enumerate(letters)}
@@ -181,11 +181,15 @@ class PrefixCounter:
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """Token counts of whole texts."""
-        rows, pieces = self.table.rows(texts)
-        per_piece = self.table.pool[self.table.start[rows] + self.table.length[rows] - 1].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(per_piece)])
+        per_piece, pieces = self.table.values(texts)
+        ends = np.concatenate([[0], np.cumsum(per_piece, dtype=np.int64)])
         return np.diff(ends[np.concatenate([[0], np.cumsum(pieces)])])
 
+    def _totals(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The count at each piece's end."""
+        counts, size = self._prefix_counts(pieces)
+        return counts[np.cumsum(size) - 1], np.ones(len(pieces), np.int64)
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token count of ``text[:i]`` for every i from 0 to its length."""
         out = np.zeros(len(text) + 1, np.int64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import slices, stage, table
+from churnlens.llm.common import arrow_slices, stage, table
 from churnlens.llm.tokens import library_encoder, tokenizer_path
 
 WINDOW = 2048
@@ -91,7 +91,7 @@ def cut_documents(docs: DataFrame, key: str, path: str, end_id: int, window: int
     def run(batches):
         encoder = library_encoder(path)
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in arrow_slices(batch, 1):
                 ids, counts = encoder.encode(texts)
                 at = np.concatenate([[0], np.cumsum(counts)])
                 rows, start, length, crc, total, body = [], [], [], [], [], []

@@ -14,6 +14,8 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from churnlens.llm.common import slabs
@@ -72,8 +74,13 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 class _Numbers(dict):
     """Numbers its keys in the order in which they are first looked up."""
 
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
@@ -88,61 +95,127 @@ class PieceTable:
     def _reset(self):
         self.index = _Numbers()
         self.pool = np.zeros(0, self.dtype)
-        self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of all pieces and the number of pieces of each text."""
         if len(self.index) > MAX_PIECES:
             self._reset()
-        index, out, counts = self.index, [], []
+        out, counts = [], []
         for text in texts:
             n = 0
             for part in slabs(text):
                 pieces = self.split(part)
                 n += len(pieces)
-                out.extend(map(index.__getitem__, pieces))
+                out.extend(map(self.index.__getitem__, pieces))
             counts.append(n)
-        if len(index) > len(self.start):
-            new = list(index)[len(self.start):]
-            values, lengths = self.compute(new)
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
+        self._fill()
+        return np.array(out, np.int64), np.array(counts, np.int64)
+
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        """Table rows of pieces."""
+        if len(self.index) > MAX_PIECES:
+            self._reset()
+        rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        self._fill()
+        return rows
+
+    def _fill(self) -> None:
+        if self.index.new:
+            values, lengths = self.compute(self.index.new)
+            self.index.new = []
             self.length = np.concatenate([self.length, lengths])
             self.pool = np.concatenate([self.pool, np.asarray(values, self.dtype)])
-        return np.array(out, np.int64), np.array(counts, np.int64)
 
     def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All values of the texts and the number of values of each text."""
         rows, counts = self.rows(texts)
-        lengths = self.length[rows]
-        ends = np.cumsum(lengths)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[rows] - (ends - lengths), lengths)
-        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.pool[at], np.diff(before)
+        return gather(self.pool, self.length, rows, counts)
+
+
+#: Words that the library is given in one string.
+JOINED = 64
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class LibraryEncoder:
     """Token ids by the ``tokenizers`` library with its defaults
-    (add_special_tokens=False): each distinct piece is encoded by the
-    library, and its special strings in a text become their ids."""
-
-    def __init__(self, path: str, pattern: str = BYTE_PATTERN):
+    (add_special_tokens=False) for a byte-level file; special strings in a
+    text become their ids.
+
+    The pattern always begins a piece at a single space between two other
+    characters, so texts are cut there and the library encodes each distinct
+    word of a slice of texts once, many of them in one string; the bytes
+    that each token stands for tell where a word's ids end.  Texts with a
+    space next to more white space or with a special string go to the
+    library whole.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = PieceTable(with_special(splitter(pattern), special), self._encode)
-
-    def _encode(self, pieces: list[str]):
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([f"^{_WHITE}", f"{_WHITE}$", f" {_WHITE}", f"{_WHITE} ", *special])
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.token_bytes[i] = len(token)  # a letter a byte
+        self.words = PieceTable(None, self._word_ids)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(lengths.sum())), lengths
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each after a space."""
+        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        flat, _ = self._ids([" " + " ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)])
+        ends = np.cumsum(sizes + 1)
+        after = np.cumsum(self.token_bytes[flat])
+        last = np.searchsorted(after, ends)
+        if len(words) and not np.array_equal(after[np.minimum(last, len(after) - 1)], ends):
+            return self._ids([" " + w for w in words])  # a token across two words
+        return flat, np.diff(np.concatenate([[-1], last]))
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another and the number of ids of each text."""
-        return self.table.values(texts)
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(~whole & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
+        lists = pc.split_pattern(texts.take(pa.array(cut)), " ")
+        words = lists.flatten().dictionary_encode()
+        known = words.dictionary
+        rows = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = np.zeros(len(texts), np.int64)
+        counts[cut] = lists.value_lengths().to_numpy(zero_copy_only=False)
+        # a text's first word has no space before it, and a whole text is a word of its own
+        first = (np.cumsum(counts) - counts)[cut]
+        alone = [known[i].as_py() for i in rows[first].tolist()] + texts.filter(pa.array(whole)).to_pylist()
+        rows = self.words.look_up(known.to_pylist())[rows]
+        more, more_lengths = self._ids(alone)
+        n = len(self.words.length)
+        rows[first] = n + np.arange(len(cut))
+        at_whole = np.flatnonzero(whole)
+        rows = np.insert(rows, np.cumsum(counts)[at_whole], n + len(cut) + np.arange(len(at_whole)))
+        counts[at_whole] = 1
+        return gather(np.concatenate([self.words.pool, more]),
+                      np.concatenate([self.words.length, more_lengths]), rows, counts)
+
+
+def gather(pool: np.ndarray, lengths: np.ndarray, rows: np.ndarray, counts: np.ndarray):
+    """The values of table rows one after another, and the number of values
+    of each group of ``counts`` rows; row r holds ``lengths[r]`` values of
+    the pool, after those of the rows before it."""
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[rows]
+    ends = np.cumsum(n)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[rows] - (ends - n), n)
+    before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    return pool[at], np.diff(before)
 
 
 def with_special(split, special: list[str]):

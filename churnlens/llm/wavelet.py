@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import shuffle_partitions, slices, stage, table
+from churnlens.llm.common import arrow_slices, shuffle_partitions, stage, table
 from churnlens.llm.tokens import library_encoder, tokenizer_path
 
 SHARD_TOKENS = 1 << 18
@@ -225,7 +225,7 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", path: str | None = N
             return row
 
         for batch in batches:
-            for rows, texts in slices(batch):
+            for rows, texts in arrow_slices(batch, 1):
                 part_id = rows.column(2)[0].as_py()
                 flat, counts = encoder.encode(texts)
                 at = np.concatenate([[0], np.cumsum(counts)])
