@@ -133,6 +133,8 @@ class PieceTable:
         return gather(self.pool, self.length, rows, counts)
 
 
+#: Marks that often end a word.
+MARKS = ".,;:!?"
 #: Words that the library is given in one string.
 JOINED = 64
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -164,6 +166,8 @@ class LibraryEncoder:
         for token, i in vocab.items():
             self.token_bytes[i] = len(token)  # a letter a byte
         self.words = PieceTable(None, self._word_ids)
+        marks = [e.ids for e in self.tokenizer.encode_batch_fast(list(MARKS), add_special_tokens=False)]
+        self.marks = {m: ids[0] for m, ids in zip(MARKS, marks) if len(ids) == 1}
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,15 +199,23 @@ class LibraryEncoder:
         # a text's first word has no space before it, and a whole text is a word of its own
         first = (np.cumsum(counts) - counts)[cut]
         alone = [known[i].as_py() for i in rows[first].tolist()] + texts.filter(pa.array(whole)).to_pylist()
-        rows = self.words.look_up(known.to_pylist())[rows]
+        ids, lengths = self._known_ids(known.to_pylist())
         more, more_lengths = self._ids(alone)
-        n = len(self.words.length)
-        rows[first] = n + np.arange(len(cut))
+        rows[first] = len(known) + np.arange(len(cut))
         at_whole = np.flatnonzero(whole)
-        rows = np.insert(rows, np.cumsum(counts)[at_whole], n + len(cut) + np.arange(len(at_whole)))
+        rows = np.insert(rows, np.cumsum(counts)[at_whole], len(known) + len(cut) + np.arange(len(at_whole)))
         counts[at_whole] = 1
-        return gather(np.concatenate([self.words.pool, more]),
-                      np.concatenate([self.words.length, more_lengths]), rows, counts)
+        return gather(np.concatenate([ids, more]), np.concatenate([lengths, more_lengths]), rows, counts)
+
+    def _known_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each after a space.  A mark after a word of
+        letters is a piece of its own, so it is added to the word's ids."""
+        tails = [self.marks.get(w[-1], -1) if w[:-1].isalpha() else -1 for w in words]
+        rows = self.words.look_up([w if t < 0 else w[:-1] for w, t in zip(words, tails)])
+        ids, lengths = gather(self.words.pool, self.words.length, rows, np.ones(len(rows), np.int64))
+        tails = np.array(tails, np.int64)
+        marked = tails >= 0
+        return (np.insert(ids, np.cumsum(lengths)[marked], tails[marked].astype(ids.dtype)), lengths + marked)
 
 
 def gather(pool: np.ndarray, lengths: np.ndarray, rows: np.ndarray, counts: np.ndarray):

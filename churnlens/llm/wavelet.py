@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from churnlens.llm.common import arrow_slices, shuffle_partitions, stage, table
 from churnlens.llm.tokens import library_encoder, tokenizer_path
 
-SHARD_TOKENS = 1 << 18
+#: A matrix of this size is built and read within a core's cache.
+SHARD_TOKENS = 1 << 15
 TOKENIZER = "byte_bpe_50k.json"
 _MAGIC, _HEAD = b"WVM1", struct.Struct("<4sIQQ")
 _BLOCK = 512  # bits a counted block
