@@ -15,7 +15,7 @@ from churnlens.session import write_stage
 
 #: Rows and text characters that a task holds as Python objects at once.
 SLICE_ROWS = 2048
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
         yield batch.slice(begin), _texts(col, begin, len(sizes))
 
 
-def arrow_slices(batch: pa.RecordBatch, text: int, chars: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def arrow_slices(batch: pa.RecordBatch, text: int, chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Row slices of a batch with their texts (null: empty) as an Arrow
     array, of about ``chars`` bytes."""
     col = batch.column(text).fill_null("")
@@ -77,12 +77,15 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict], schema: str,
     columns in ``keep`` are passed through.  ``schema`` is the DDL of the
     new columns.
     """
-    base = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
+    base, read = df.select(*keep), text
+    if text not in keep or dict(base.dtypes)[text] != "string":
+        read = "_text"
+        base = df.select(*keep, F.col(text).cast("string").alias(read))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:len(keep)])
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, read):
                 new = fn(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))]

@@ -20,7 +20,7 @@ import regex
 
 from churnlens.llm.common import slabs
 
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 
 #: Text patterns (fixed values of the two tokenizers), with general Unicode classes.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
