@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from churnlens.session import write_stage
 
@@ -74,9 +75,11 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict], schema: str,
     """Map slices of texts to columns of the same length.
 
     ``fn`` gets a list of texts and returns ``{column: values}``; the
-    columns in ``keep`` are passed through.  ``schema`` is the DDL of the
-    new columns.
+    columns in ``keep`` are passed through, but those that have a new
+    column's name.  ``schema`` is the DDL of the new columns.
     """
+    taken = {n.lower() for n in StructType.fromDDL(schema).names}
+    keep = [c for c in keep if c.lower() not in taken]
     base, read = df.select(*keep), text
     if text not in keep or dict(base.dtypes)[text] != "string":
         read = "_text"

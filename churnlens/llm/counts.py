@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.llm.bpe import NO_RANK, IntTable, Merges, byte_letters, load_merges
 from churnlens.llm.common import map_texts, table
-from churnlens.llm.tokens import BYTE_PATTERN, PieceTable, splitter, tokenizer_path, with_special
+from churnlens.llm.tokens import BYTE_PATTERN, PieceTable, library_for_new, splitter, tokenizer_path, with_special
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -48,7 +48,7 @@ class PrefixCounter:
         self.left[m.merged[first]], self.right[m.merged[first]] = m.left[first], m.right[first]
         self._build_trie(byte_letters())
         self.special = list(m.special)
-        self.split = splitter(BYTE_PATTERN)
+        self.split = library_for_new(path, splitter(BYTE_PATTERN))
         self.pair_memo: dict[tuple[int, int], bool] = {}
         self.table = PieceTable(with_special(self.split, self.special), self._totals, np.uint32)
 

@@ -12,17 +12,15 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
-import re
 import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm.bpe import Merges, byte_letters, load_merges
+from churnlens.llm.bpe import Merges, load_merges
 from churnlens.llm.common import map_texts, table
-from churnlens.llm.tokens import (BYTE_PATTERN, WORD_PATTERN, PieceTable, splitter, tokenizer_path,
-                                  with_special)
+from churnlens.llm.tokens import (BYTE_PATTERN, WORD_PATTERN, PieceTable, library_for_new, splitter,
+                                  tokenizer_path, with_special)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -35,33 +33,6 @@ def normalise(text: str) -> str:
     return text.lower()
 
 
-@functools.lru_cache(None)
-def _unassigned() -> re.Pattern:
-    """16-bit characters that this Python's Unicode tables do not know, and
-    all beyond 16 bits."""
-    new = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn"]
-    return re.compile("[" + "".join(map(re.escape, new)) + "\U00010000-\U0010ffff]")
-
-
-def _too_new(text: str) -> bool:
-    return bool(_unassigned().search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
-
-
-def _library_pieces(path: str):
-    """The library's own normaliser and pattern, for the rare text with
-    characters newer than this Python's Unicode tables."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    byte_of = {c: b for b, c in enumerate(byte_letters())}
-
-    def split(text: str) -> list[str]:
-        found = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))
-        return [bytes(byte_of[c] for c in piece).decode() for piece, _ in found]
-
-    return split
-
-
 class Encoder:
     """Encode and decode with a byte-level BPE file of the ``tokenizers``
     library, with its results for add_special_tokens=False."""
@@ -70,15 +41,8 @@ class Encoder:
         self.merges: Merges = load_merges(path)
         words = bool(self.merges.suffix)  # the file with word ends folds case
         pieces = splitter(WORD_PATTERN if words else BYTE_PATTERN)
-        newer = functools.cache(lambda: _library_pieces(path))
-
-        def folded(text: str) -> list[str]:
-            if not text.isascii() and _too_new(text):
-                return newer()(text)
-            return pieces(normalise(text))
-
-        self.table = PieceTable(with_special(folded if words else pieces, list(self.merges.special)),
-                                self.merges.encode_pieces)
+        split = library_for_new(path, (lambda t: pieces(normalise(t))) if words else pieces)
+        self.table = PieceTable(with_special(split, list(self.merges.special)), self.merges.encode_pieces)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another and the number of ids of each text."""

@@ -221,5 +221,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: keep the documents whose language is recognised."""
     model = fit_language_model(docs)
-    kept = identify_language(docs, model, docs.columns).filter(~F.col("rejected"))
-    return kept.select(*docs.columns)
+    marked = map_texts(docs, lambda texts: {"_rejected": model.predict(texts)["rejected"]},
+                       "_rejected boolean", docs.columns)
+    return marked.filter("not _rejected").select(*docs.columns)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.common import id_crc, map_texts, slices, table
 
+THRESHOLD = 0.3
+
 _UPPER, _LOWER, _DIGIT, _SPACE, _BANG, _PIPE, _SYMBOL, _PUNCT, _WIDE, _BREAK = range(10)
 
 
@@ -245,7 +247,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, eligible: Column | Non
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str],
-                  threshold: float = 0.3) -> DataFrame:
+                  threshold: float = THRESHOLD) -> DataFrame:
     """Add score (0 to 1) and predicted (1 where score >= threshold) to the
     ``keep`` columns.  A null or empty text is one empty line."""
     def run(texts):
@@ -268,4 +270,6 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: keep the documents that the chain predicts as good."""
     model = fit_quality_model(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+    marked = map_texts(docs, lambda texts: {"_good": pa.array(model.score(texts) >= THRESHOLD)},
+                       "_good boolean", docs.columns)
+    return marked.filter("_good").select(*docs.columns)

@@ -11,6 +11,7 @@ import functools
 import itertools
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from churnlens.llm.bpe import byte_letters
 from churnlens.llm.common import slabs
 
 MAX_PIECES = 400_000
@@ -230,6 +232,48 @@ def gather(pool: np.ndarray, lengths: np.ndarray, rows: np.ndarray, counts: np.n
     return pool[at], np.diff(before)
 
 
+@functools.lru_cache(None)
+def _unassigned() -> re.Pattern:
+    """16-bit characters that this Python's Unicode tables do not know, and
+    all beyond 16 bits."""
+    new = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn"]
+    return re.compile("[" + "".join(map(re.escape, new)) + "\U00010000-\U0010ffff]")
+
+
+def _too_new(text: str) -> bool:
+    return bool(_unassigned().search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
+def _library_pieces(path: str):
+    """The library's own normaliser and pattern, for the rare text with
+    characters newer than this Python's Unicode tables."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
+
+    def split(text: str) -> list[str]:
+        if tokenizer.normalizer is not None:
+            text = tokenizer.normalizer.normalize_str(text)
+        found = tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        return [bytes(byte_of[c] for c in piece).decode() for piece, _ in found]
+
+    return split
+
+
+def library_for_new(path: str, split):
+    """``split``, but by the library for texts with characters newer than
+    this Python's Unicode tables."""
+    newer = functools.cache(lambda: _library_pieces(path))
+
+    def run(text: str) -> list[str]:
+        if not text.isascii() and _too_new(text):
+            return newer()(text)
+        return split(text)
+
+    return run
+
+
 def with_special(split, special: list[str]):
     """Cut special strings out of a text before the pattern sees it."""
     if not special:

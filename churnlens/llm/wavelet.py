@@ -147,7 +147,7 @@ def _stable_order(one: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _block_counts(planes: np.ndarray) -> np.ndarray:
     """Ones before every block, and in all."""
-    per = np.bitwise_count(planes).reshape(len(planes), -1, _BLOCK // 8).sum(axis=2, dtype=np.uint32)
+    per = np.bitwise_count(planes).reshape(len(planes), planes.shape[1] // (_BLOCK // 8), _BLOCK // 8).sum(axis=2, dtype=np.uint32)
     return np.concatenate([np.zeros((len(planes), 1), np.uint32), np.cumsum(per, axis=1, dtype=np.uint32)], axis=1)
 
 
