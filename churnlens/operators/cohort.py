@@ -17,19 +17,25 @@ from churnlens.functions.dates import month_diff, month_start
 
 
 def person_months(orders: DataFrame, person_col: str, ts_col: str,
-                  order_col: str | None = None) -> DataFrame:
+                  order_col: str | None = None, grain: str = "month") -> DataFrame:
     """person, order_month, n_orders, cohort_month, month_index.
 
-    ``n_orders`` counts distinct ``order_col`` values (or rows)."""
+    ``n_orders`` counts distinct ``order_col`` values (or rows).  With
+    ``grain="week"`` the periods are weeks that begin on Mondays (the column
+    names stay)."""
+    if grain not in ("month", "week"):
+        raise ValueError(grain)
+    start = month_start(ts_col) if grain == "month" else F.to_date(F.date_trunc("week", F.col(ts_col)))
     src = orders.filter(F.col(person_col).isNotNull() & F.col(ts_col).isNotNull()) \
-        .select(person_col, month_start(ts_col).alias("order_month"),
+        .select(person_col, start.alias("order_month"),
                 *([order_col] if order_col else []))
     cnt = F.count_distinct(order_col) if order_col else F.count(F.lit(1))
     pm = src.groupBy(person_col, "order_month").agg(cnt.alias("n_orders"))
     # at most one row per month for each person: a bounded window partition
     first = F.min("order_month").over(Window.partitionBy(person_col))
     return (pm.withColumn("cohort_month", first)
-            .withColumn("month_index", month_diff("order_month", "cohort_month")))
+            .withColumn("month_index", month_diff("order_month", "cohort_month") if grain == "month"
+                        else (F.datediff("order_month", "cohort_month") / 7).cast("int")))
 
 
 def cohort_activity(pm: DataFrame) -> DataFrame:
@@ -78,7 +84,15 @@ def wide(long: DataFrame, value_col: str, indices: Sequence[int], row_key: str =
         for k in indices])
 
 
-def retention_curve(ret: DataFrame, min_size: int, max_index: int = 12,
+def matrix(long: DataFrame, value_col: str, row_key: str = "cohort_month", prefix: str = "m") -> DataFrame:
+    """Pivot every observed month index into a column.  The indices (at most
+    one per calendar month of the data) are read first, so the schema is
+    known when the DataFrame is returned."""
+    seen = long.select("month_index").distinct().orderBy("month_index").collect()
+    return wide(long, value_col, [r["month_index"] for r in seen], row_key, prefix)
+
+
+def retention_curve(ret: DataFrame, min_size: int = 100, max_index: int = 12,
                     digits: int = 2) -> DataFrame:
     """month_index → unweighted mean retention over cohorts of at least
     ``min_size`` persons; absent cells are skipped, not zero."""
@@ -88,7 +102,7 @@ def retention_curve(ret: DataFrame, min_size: int, max_index: int = 12,
                  F.bround(F.avg("retention_pct"), digits).alias("avg_retention_pct")))
 
 
-def month1_cliff(ret: DataFrame, min_size: int, digits: int = 2) -> DataFrame:
+def month1_cliff(ret: DataFrame, min_size: int = 100, digits: int = 2) -> DataFrame:
     """Average month-1 retention and the drop from month 0 (100 %)."""
     m1 = ret.filter((F.col("cohort_size") >= min_size) & (F.col("month_index") == 1)) \
         .agg(F.avg("retention_pct").alias("_m1"))
@@ -96,7 +110,7 @@ def month1_cliff(ret: DataFrame, min_size: int, digits: int = 2) -> DataFrame:
                      F.bround(F.lit(100.0) - F.col("_m1"), digits).alias("drop_pct"))
 
 
-def heatmap_data(ret: DataFrame, min_size: int, max_index: int = 12,
+def heatmap_data(ret: DataFrame, min_size: int = 50, max_index: int = 12,
                  digits: int = 2) -> DataFrame:
     """cohort label (yyyy-MM), month_index, retention_pct for the heatmap."""
     return (ret.filter((F.col("cohort_size") >= min_size) & (F.col("month_index") <= max_index))

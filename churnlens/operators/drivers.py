@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.dates import fractional_days
 from churnlens.functions.rounding import money_avg
-from churnlens.operators.ranking import exact_quantiles, first_of, quantile_bin
+from churnlens.operators.ranking import exact_quantiles, first_row_per_key, quantile_bin
 from churnlens.operators.rates import rate_by
 from churnlens.session import materialize
 
@@ -37,27 +37,28 @@ def first_orders(delivered: DataFrame, person_col: str = "customer_unique_id",
     delivery time in days, delivery vs estimate (negative = early), and the
     person's repeat flag, frequency (distinct orders) and monetary value.
 
-    One aggregation by person computes all of it (``min_by`` for the first
-    row, distinct orders and spend), so the item rows are read once and a
-    person with very many rows is reduced map-side.  ``price`` is that
-    item's price, not the order total (as analysed).  Orders without a
-    purchase time count for neither frequency nor spend (they have no row
-    in the order table the analysis derives them from).
+    Frequency and spend are hash aggregates; the first row is a
+    ``row_number() = 1`` whose group limit keeps one candidate row a person
+    and map task before the shuffle.  Both are hashed by person, so joining
+    them moves nothing.  ``price`` is that item's price, not the order total
+    (as analysed).  Orders without a purchase time count for neither
+    frequency nor spend (they have no row in the order table the analysis
+    derives them from).
     """
     src = delivered.filter(F.col(person_col).isNotNull())
     dated = F.col(ts_col).isNotNull() & F.col(order_col).isNotNull()
-    row = F.struct(*[F.col(c) for c in FIRST_ORDER_FIELDS])
-    per = src.groupBy(person_col).agg(
-        first_of(row, order_cols).alias("_first"),
+    totals = src.groupBy(person_col).agg(
         F.count_distinct(F.when(dated, F.col(order_col))).alias("_freq"),
         F.sum(F.when(dated, F.col(value_col))).alias("_spend"))
+    needed = dict.fromkeys([person_col, *order_cols, *FIRST_ORDER_FIELDS])
+    per = first_row_per_key(src.select(*needed), person_col, order_cols).join(totals, person_col)
     known = F.col("_freq") > 0
     out = per.select(
-        person_col, *[F.col(f"_first.{c}").alias(c) for c in FIRST_ORDER_FIELDS],
-        fractional_days(F.col("_first.order_purchase_timestamp"),
-                        F.col("_first.order_delivered_customer_date")).alias("delivery_days"),
-        fractional_days(F.col("_first.order_estimated_delivery_date"),
-                        F.col("_first.order_delivered_customer_date")).alias("days_vs_estimate"),
+        person_col, *FIRST_ORDER_FIELDS,
+        fractional_days(F.col("order_purchase_timestamp"),
+                        F.col("order_delivered_customer_date")).alias("delivery_days"),
+        fractional_days(F.col("order_estimated_delivery_date"),
+                        F.col("order_delivered_customer_date")).alias("days_vs_estimate"),
         F.when(known, F.col("_freq") >= min_orders).alias("is_repeat"),
         F.when(known, F.col("_freq")).alias("frequency"),
         F.when(known, F.col("_spend")).alias("monetary"))
@@ -70,52 +71,46 @@ def _flag_label(flag: str = "is_repeat"):
     return F.when(F.col(flag), FLAG_LABELS[True]).otherwise(FLAG_LABELS[False])
 
 
-def delivery_comparison(fo: DataFrame, value: str = "delivery_days", flag: str = "is_repeat",
-                        digits: int = 2) -> DataFrame:
-    """By repeat flag: mean, median, std, count of delivery days."""
+def delivery_stats(fo: DataFrame, value: str = "delivery_days", flag: str = "is_repeat",
+                   whisker: float = 1.5, num_partitions: int | None = None) -> DataFrame:
+    """One row per flag value: mean, std, count, q1, median, q3 and the
+    whiskers (furthest observations within ``whisker`` x IQR of the box),
+    unrounded, from one ranking pass.  The delivery results below are
+    selections from it."""
     src = materialize(fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
                       .select(flag, value))
-    stats = src.groupBy(flag).agg(F.bround(F.avg(value), digits).alias("mean"),
-                                  F.bround(F.stddev_samp(value), digits).alias("std"),
-                                  F.count(value).alias("count"))
     # a boolean flag: at most two groups
-    med = exact_quantiles(src, value, [0.5], by=[flag], prefix="_m", materialized=True,
-                          max_groups=2) \
-        .select(flag, F.bround("_m0", digits).alias("median"))
-    return stats.join(med, flag, "left").select(
-        _flag_label(flag).alias("customer_type"), flag, "mean", "median", "std", "count")
-
-
-def delivery_median_gap(fo: DataFrame, value: str = "delivery_days", flag: str = "is_repeat",
-                        digits: int = 2) -> DataFrame:
-    med = exact_quantiles(fo.filter(F.col(flag).isNotNull()), value, [0.5], by=[flag],
-                          prefix="_m", max_groups=2)
-    one = F.max(F.when(~F.col(flag), F.col("_m0")))
-    rep = F.max(F.when(F.col(flag), F.col("_m0")))
-    return med.agg(one.alias("_o"), rep.alias("_r")).select(
+    q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=[flag], prefix="_q", materialized=True,
+                        max_groups=2, num_partitions=num_partitions) \
+        .select(flag, F.col("_q0").alias("q1"), F.col("_q1").alias("median"),
+                F.col("_q2").alias("q3"))
+    reach = whisker * (F.col("q3") - F.col("q1"))
+    v = F.col(value)
+    # q holds one row per value of a boolean flag: bounded broadcast
+    return src.join(F.broadcast(q), flag).groupBy(flag, "q1", "median", "q3").agg(
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("count"),
+        F.min(F.when(v >= F.col("q1") - reach, v)).alias("lower_whisker"),
+        F.max(F.when(v <= F.col("q3") + reach, v)).alias("upper_whisker"))
+
+
+def delivery_comparison(stats: DataFrame, flag: str = "is_repeat", digits: int = 2) -> DataFrame:
+    """By repeat flag: mean, median, std, count of delivery days."""
+    return stats.select(_flag_label(flag).alias("customer_type"), flag,
+                        *[F.bround(c, digits).alias(c) for c in ("mean", "median", "std")], "count")
+
+
+def delivery_median_gap(stats: DataFrame, flag: str = "is_repeat", digits: int = 2) -> DataFrame:
+    one = F.max(F.when(~F.col(flag), F.col("median")))
+    rep = F.max(F.when(F.col(flag), F.col("median")))
+    return stats.agg(one.alias("_o"), rep.alias("_r")).select(
         F.bround("_o", digits).alias("one_time_median"),
         F.bround("_r", digits).alias("repeat_median"),
         F.bround(F.col("_o") - F.col("_r"), digits).alias("difference"))
 
 
-def boxplot_stats(fo: DataFrame, value: str = "delivery_days", flag: str = "is_repeat",
-                  whisker: float = 1.5, digits: int = 2) -> DataFrame:
-    """Per group: q1, median, q3 and the whiskers (furthest observations
-    within ``whisker`` × IQR of the box)."""
-    src = materialize(fo.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
-                      .select(flag, value))
-    q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=[flag], prefix="_q",
-                        materialized=True, max_groups=2) \
-        .select(flag, F.col("_q0").alias("q1"), F.col("_q1").alias("median"),
-                F.col("_q2").alias("q3"))
-    q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
-        .withColumn("_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
-    v = F.col(value)
-    # q holds one row per value of a boolean flag: bounded broadcast
-    w = src.select(flag, value).join(F.broadcast(q.select(flag, "_lo", "_hi")), flag) \
-        .groupBy(flag).agg(F.min(F.when(v >= F.col("_lo"), v)).alias("lower_whisker"),
-                           F.max(F.when(v <= F.col("_hi"), v)).alias("upper_whisker"))
-    return q.join(w, flag).select(
+def boxplot_stats(stats: DataFrame, flag: str = "is_repeat", digits: int = 2) -> DataFrame:
+    """Per group: q1, median, q3, their range and the whiskers."""
+    return stats.select(
         _flag_label(flag).alias("customer_type"), flag,
         *[F.bround(c, digits).alias(c) for c in ("q1", "median", "q3")],
         F.bround(F.col("q3") - F.col("q1"), digits).alias("iqr"),
@@ -134,7 +129,7 @@ def review_retention(fo: DataFrame, person_col: str, rounded: bool) -> DataFrame
     return rate_by(src, dim, "is_repeat", person_col)
 
 
-def category_retention(fo: DataFrame, person_col: str, min_customers: int,
+def category_retention(fo: DataFrame, person_col: str, min_customers: int = 500,
                        cat_col: str = "product_category_name_english") -> DataFrame:
     """Repeat rate by first-order category; uncategorised persons dropped."""
     return rate_by(fo, cat_col, "is_repeat", person_col, min_n=min_customers)

@@ -48,18 +48,19 @@ def master_table(orders: DataFrame, customers: DataFrame, items: DataFrame,
     # shuffled by product at all.
     prod = unique_by(products, "product_id", ["product_category_name"])
     trans = unique_by(translation, "product_category_name", ["product_category_name_english"])
-    # Items get their category first (product-keyed joins), so that every
-    # join against the orders is keyed by order_id: the review summary and
-    # the enriched items then share one hash partitioning with the orders,
-    # and the result stays partitioned by order_id for the order collapse.
+    # Items get their category first (product-keyed joins), and the result
+    # stays partitioned by order_id for the order collapse.
     # (Left joins re-associate here: the category joins only test item
     # columns, which are null for an order without items either way.)
     item = (items.select("order_id", *ITEM_COLS)
             .join(prod, "product_id", "left")
             .join(trans, "product_category_name", "left"))
+    # Customers come last here: the base then is hashed by customer_id, so
+    # both sides of the item join are exchanged by order_id and AQE can split
+    # an order that holds very many items on either side.
     base = (orders.select(*ORDER_COLS)
-            .join(cust, "customer_id", "left")
-            .join(review_summary(reviews), "order_id", "left"))
+            .join(review_summary(reviews), "order_id", "left")
+            .join(cust, "customer_id", "left"))
     return left_join_skew_safe(base, item, "order_id").select(*MASTER_COLS)
 
 

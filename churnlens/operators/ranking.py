@@ -270,20 +270,3 @@ def first_row_per_key(df: DataFrame, key: Sequence[str] | str, order_cols: Seque
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*_sort_key(order_cols))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-
-
-def order_key(order_cols: Sequence) -> Column:
-    """A struct that compares like ``ORDER BY c1, c2, ... ASC NULLS LAST``
-    (each column is preceded by its is-null flag, so nulls sort last)."""
-    fields = []
-    for i, c in enumerate(order_cols):
-        col = _col(c)
-        fields += [col.isNull().alias(f"n{i}"), col.alias(f"v{i}")]
-    return F.struct(*fields)
-
-
-def first_of(row: Column, order_cols: Sequence) -> Column:
-    """Aggregate: the ``row`` struct of the first input row under
-    ``order_cols``.  Hash-aggregated with partial aggregation, so a key with
-    very many rows keeps one candidate per map task and needs no sort."""
-    return F.min_by(row, order_key(order_cols))

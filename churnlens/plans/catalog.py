@@ -1,11 +1,13 @@
 """The named analyses, each ``(spark, sf_dir) -> DataFrame``.
 
 ``Analysis`` wires the logical tables of one test-data folder through the
-operators.  Its properties are DataFrames built on first use; with stage
-sharing on, the master table and the first-orders table are written once
-(a job runs when the property is first read) and every later analysis of
-the session reads those tables; all other properties stay lazy, so a
-query only plans what it uses and Catalyst prunes the rest.  Output column names match the SQL
+operators.  Its properties are DataFrames built on first use, so a query
+only plans what it uses and Catalyst prunes the rest.  Every registered
+query plans from the given files on each call; only inside an explicit
+``suite(spark, sf_dir)`` are the master and first-orders tables written once
+and read by the later analyses, and they are deleted when the suite ends.
+Queries that need exact ranks run their ranking passes while the DataFrame
+is being built.  Output column names match the SQL
 oracle in :mod:`churnlens.plans.oracle`; money leaves as double, counts as
 bigint.
 """
@@ -13,7 +15,8 @@ bigint.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.rounding import money_avg
 from churnlens.operators import cohort, drivers, master, profile, rates, rfm
-from churnlens.operators.ranking import first_of
-from churnlens.plans.params import thresholds_for
+from churnlens.operators.ranking import first_row_per_key
+from churnlens.plans.params import REGISTERED
 from churnlens.session import delete_path, materialize, write_stage
 from churnlens.sources.testdata import TestTables
 
@@ -30,48 +33,44 @@ PERSON = "customer_unique_id"
 TS = "order_purchase_timestamp"
 
 
-# Stage outputs are shared between analyses of one session and folder, the
-# way the analysed notebooks hand over persisted files: the master table and
-# the first-orders table are written once as Parquet tables in the shared
-# checkpoint folder and every later analysis reads that copy instead of
-# re-running the joins.  CHURNLENS_SHARE=0 plans every analysis from the raw
-# tables.
-SHARE_STAGES = os.environ.get("CHURNLENS_SHARE", "1") != "0"
 # "parquet": a columnar table (readers prune columns, push filters, get size
 # statistics); "checkpoint": Spark's serialized-row checkpoint files
 STAGE_FORMAT = os.environ.get("CHURNLENS_STAGE_FORMAT", "parquet")
-_SHARED: dict[tuple, "Analysis"] = {}
+_SUITES: list["Analysis"] = []
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> "Analysis":
-    """The session's ``Analysis`` of ``sf_dir`` (one per session and folder)."""
-    if not SHARE_STAGES:
-        return Analysis(spark, sf_dir, share=False)
+@contextmanager
+def suite(spark: SparkSession, sf_dir: str) -> Iterator["Analysis"]:
+    """Share the stage tables of one folder between the analyses run inside,
+    the way the analysed notebooks hand over persisted files.  The files must
+    not change meanwhile; the tables are deleted at the end."""
+    a = Analysis(spark, sf_dir, share=True)
+    _SUITES.append(a)
     try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
-        app = None
-    key = (id(spark), app, os.path.abspath(sf_dir))
-    if key not in _SHARED:
-        _SHARED[key] = Analysis(spark, sf_dir, share=True)
-    return _SHARED[key]
-
-
-def release_all() -> None:
-    """Delete every shared stage table of this process (end of a suite)."""
-    for a in list(_SHARED.values()):
+        yield a
+    finally:
+        _SUITES.remove(a)
         a.release()
 
 
+def analysis(spark: SparkSession, sf_dir: str) -> "Analysis":
+    """The running suite's analysis of ``sf_dir``, else a new one that plans
+    everything from the files."""
+    for a in reversed(_SUITES):
+        if a.spark is spark and a.t.sf_dir == sf_dir.rstrip("/"):
+            return a
+    return Analysis(spark, sf_dir)
+
+
 class Analysis:
     """The analysis pipeline of one folder: master → delivered → orders,
     cohorts, RFM → first orders.  ``share=True`` writes the master and
-    first-orders stages once (see :func:`analysis`)."""
+    first-orders stages once (see :func:`suite`)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, share: bool = False):
         self.spark = spark
         self.t = TestTables(spark, sf_dir)
-        self.p = thresholds_for(sf_dir)
+        self.p = REGISTERED
         self.share = share
         self.stage_paths: list[str] = []
 
@@ -85,13 +84,10 @@ class Analysis:
         return out
 
     def release(self) -> None:
-        """Delete the stage tables this analysis wrote and forget it."""
+        """Delete the stage tables this analysis wrote."""
         for path in self.stage_paths:
             delete_path(self.spark, path)
         self.stage_paths.clear()
-        for key, value in list(_SHARED.items()):
-            if value is self:
-                del _SHARED[key]
 
     # -- stage 1: master table ---------------------------------------------
     @cached_property
@@ -147,6 +143,10 @@ class Analysis:
     def first_orders(self) -> DataFrame:
         return self._stage(drivers.first_orders(self.delivered, PERSON))
 
+    @cached_property
+    def delivery_stats(self) -> DataFrame:
+        return drivers.delivery_stats(self.first_orders)
+
 
 # ---------------------------------------------------------------------------
 # notebook 1: profiling and the master table
@@ -197,8 +197,7 @@ def q_repeat_rate_all(spark, sf_dir):
 
 
 def q_top_repeat_customers(spark, sf_dir):
-    k = thresholds_for(sf_dir).top_k
-    return rates.top_k(_orders_per_person_all(spark, sf_dir), k,
+    return rates.top_k(_orders_per_person_all(spark, sf_dir), REGISTERED.top_k,
                        [F.col("order_count").desc(), F.col(PERSON).asc()])
 
 
@@ -302,15 +301,13 @@ def q_month_index_distribution(spark, sf_dir):
 
 
 def q_cohort_matrix(spark, sf_dir):
-    a = analysis(spark, sf_dir)
-    return cohort.wide(cohort.cohort_activity(a.person_months), "active_customers",
-                       range(a.p.max_month_index + 1))
+    return cohort.matrix(cohort.cohort_activity(analysis(spark, sf_dir).person_months), "active_customers")
 
 
 def q_retention_matrix(spark, sf_dir):
     a = analysis(spark, sf_dir)
     long = a.retention.withColumn("retention_pct", F.bround("retention_pct", 2))
-    return cohort.wide(long, "retention_pct", range(a.p.max_month_index + 1))
+    return cohort.matrix(long, "retention_pct")
 
 
 def q_retention_long(spark, sf_dir):
@@ -320,12 +317,12 @@ def q_retention_long(spark, sf_dir):
 
 def q_retention_heatmap_data(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return cohort.heatmap_data(a.retention, a.p.heatmap_min_cohort, a.p.max_month_index)
+    return cohort.heatmap_data(a.retention, a.p.heatmap_min_cohort, a.p.shown_month_index)
 
 
 def q_retention_curve(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return cohort.retention_curve(a.retention, a.p.curve_min_cohort, a.p.max_month_index) \
+    return cohort.retention_curve(a.retention, a.p.curve_min_cohort, a.p.shown_month_index) \
         .orderBy("month_index")
 
 
@@ -434,15 +431,15 @@ def q_delivery_days_describe(spark, sf_dir):
 
 
 def q_delivery_comparison(spark, sf_dir):
-    return drivers.delivery_comparison(analysis(spark, sf_dir).first_orders)
+    return drivers.delivery_comparison(analysis(spark, sf_dir).delivery_stats)
 
 
 def q_delivery_median_gap(spark, sf_dir):
-    return drivers.delivery_median_gap(analysis(spark, sf_dir).first_orders)
+    return drivers.delivery_median_gap(analysis(spark, sf_dir).delivery_stats)
 
 
 def q_delivery_boxplot_data(spark, sf_dir):
-    return drivers.boxplot_stats(analysis(spark, sf_dir).first_orders)
+    return drivers.boxplot_stats(analysis(spark, sf_dir).delivery_stats)
 
 
 def q_review_retention_raw(spark, sf_dir):
@@ -475,19 +472,19 @@ def q_category_retention_sql(spark, sf_dir):
     """Category of the first *categorised* delivered item; order counts over
     categorised items only (inner joins before the first-row choice)."""
     t = TestTables(spark, sf_dir)
-    p = thresholds_for(sf_dir)
     items = t.order_items().select("order_id", "order_item_id", "product_id", "seller_id",
                                    "price")
     base = (_sql_universe(t).select(PERSON, "order_id", TS).join(items, "order_id")
             .join(t.products().select("product_id", "product_category_name"), "product_id")
             .join(t.category_translation(), "product_category_name")
             .withColumnRenamed("product_category_name_english", "category"))
-    # first categorised item and distinct categorised orders in one pass
-    flagged = base.groupBy(PERSON).agg(
-        first_of(F.col("category"), drivers.FIRST_ROW_ORDER).alias("category"),
-        F.count_distinct("order_id").alias("total_orders")) \
-        .withColumn("is_repeat", F.col("total_orders") >= 2)
-    return rates.rate_by(flagged, "category", "is_repeat", PERSON, min_n=p.category_min_customers,
+    # first categorised item and distinct categorised orders, both hashed by
+    # person: the join of the two needs no further exchange
+    base = base.filter(F.col(PERSON).isNotNull())
+    first = first_row_per_key(base, PERSON, drivers.FIRST_ROW_ORDER).select(PERSON, "category")
+    flagged = first.join(base.groupBy(PERSON).agg(F.count_distinct("order_id").alias("total_orders")),
+                         PERSON).withColumn("is_repeat", F.col("total_orders") >= 2)
+    return rates.rate_by(flagged, "category", "is_repeat", PERSON, min_n=REGISTERED.category_min_customers,
                          mode="half_up", drop_null_dims=False) \
         .orderBy(F.col("repeat_rate_pct").desc(), "category")
 
@@ -506,6 +503,9 @@ def q_spend_extremes(spark, sf_dir):
 # second binding: the events table (person = user_id, purchases only)
 
 
+WEEKS = {"cohort_month": "cohort_week", "month_index": "week_index"}
+
+
 def _purchases(spark, sf_dir) -> DataFrame:
     return TestTables(spark, sf_dir).raw("events").filter(F.col("event_type") == "purchase")
 
@@ -516,8 +516,8 @@ def q_events_repeat_rate(spark, sf_dir):
 
 
 def q_events_cohort_activity(spark, sf_dir):
-    pm = cohort.person_months(_purchases(spark, sf_dir), "user_id", "ts", "event_id")
-    return cohort.cohort_activity(pm)
+    weeks = cohort.person_months(_purchases(spark, sf_dir), "user_id", "ts", "event_id", grain="week")
+    return cohort.cohort_activity(weeks).withColumnsRenamed(WEEKS)
 
 
 def q_events_cohort_activity_stream(spark, sf_dir):
@@ -528,8 +528,8 @@ def q_events_cohort_activity_stream(spark, sf_dir):
     stream = (spark.readStream.schema(RAW_SCHEMAS["events"])
               .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
               .filter(F.col("event_type") == "purchase"))
-    path = run_pairs_available_now(spark, stream, "user_id", "ts")
-    return activity_from_pairs(spark, path)
+    path = run_pairs_available_now(spark, stream, "user_id", "ts", grain="week")
+    return activity_from_pairs(spark, path, grain="week").withColumnsRenamed(WEEKS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

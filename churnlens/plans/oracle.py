@@ -5,13 +5,13 @@ re-derives the logical tables with the same binding rules as
 :mod:`churnlens.sources.testdata` in a shared ``WITH`` prefix, and then
 computes each analysis the plain-SQL way (global NTILE, ``quantile_cont``,
 self-joins), so it shares no code path with the Spark operators.
-``ORACLE_SQL`` uses the sf0.01 thresholds (where the driver runs it);
-:func:`build` gives the SQL for other thresholds.
+``ORACLE_SQL`` uses the registered thresholds; :func:`build` gives the SQL
+for others.
 """
 
 from __future__ import annotations
 
-from churnlens.plans.params import BY_SF
+from churnlens.plans.params import REGISTERED
 
 PERSON = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -56,12 +56,14 @@ TABLE_COLUMNS = {
                     "shipping_limit_date", "price", "freight_value"],
     "order_payments": ["order_id", "payment_sequential", "payment_type",
                        "payment_installments", "payment_value"],
-    "order_reviews": ["review_id", "order_id", "review_score", "review_creation_date"],
+    "order_reviews": ["review_id", "order_id", "review_score", "review_comment_title",
+                      "review_comment_message", "review_creation_date", "review_answer_timestamp"],
     "orders": ["order_id", "customer_id", "order_status", TS, "order_approved_at",
                "order_delivered_carrier_date", "order_delivered_customer_date",
                "order_estimated_delivery_date"],
     "products": ["product_id", "product_category_name", "product_name_lenght",
-                 "product_weight_g"],
+                 "product_description_lenght", "product_photos_qty", "product_weight_g",
+                 "product_length_cm", "product_height_cm", "product_width_cm"],
     "sellers": ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"],
     "category_translation": ["product_category_name", "product_category_name_english"],
 }
@@ -97,6 +99,8 @@ def _qbin(x: str, edges: str, k: int = 4) -> str:
                                for i in range(1, k + 1)) + ")"
 
 
+# Frequency score limits and segment rules (texts, limits and
+# order as in churnlens.functions.rules).
 def _f_score(f: str) -> str:
     return (f"CAST(CASE WHEN {f} = 1 THEN 1 WHEN {f} = 2 THEN 3 "
             f"WHEN {f} BETWEEN 3 AND 4 THEN 4 ELSE 5 END AS INTEGER)")
@@ -145,11 +149,17 @@ b_items AS (
 b_reviews AS (
   SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS review_id,
          l_orderkey AS order_id, CAST(floor((l_quantity - 1) / 10) + 1 AS INTEGER) AS review_score,
-         l_shipdate AS review_creation_date
-  FROM lineitem WHERE l_linenumber <= 2),
+         CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS review_comment_title,
+         CASE WHEN l_linestatus = 'F' THEN l_returnflag || '-' || l_linestatus END AS review_comment_message,
+         l_shipdate AS review_creation_date, l_shipdate + to_days(1) AS review_answer_timestamp
+  FROM lineitem),
 b_products AS (
   SELECT p_partkey AS product_id, CASE WHEN p_size <> 1 THEN p_type END AS product_category_name,
-         CAST(length(p_name) AS DOUBLE) AS product_name_lenght, p_retailprice AS product_weight_g
+         CAST(length(p_name) AS DOUBLE) AS product_name_lenght,
+         CAST(length(p_type) AS DOUBLE) AS product_description_lenght,
+         CAST(p_size % 6 AS DOUBLE) AS product_photos_qty, p_retailprice AS product_weight_g,
+         CAST(p_size AS DOUBLE) AS product_length_cm, p_size / 2 AS product_height_cm,
+         CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS product_width_cm
   FROM part),
 b_translation AS (
   SELECT * FROM (VALUES ('ECONOMY', 'economy'), ('LARGE', 'large'), ('MEDIUM', 'medium'),
@@ -339,13 +349,12 @@ def _null_profile() -> str:
   FROM ({missing} UNION ALL {master})"""
 
 
-def _cohort_wide(value: str, src: str, k: int = 12) -> str:
-    cols = ", ".join(f"max(CASE WHEN month_index = {i} THEN {value} END) AS m{i}"
-                     for i in range(k + 1))
-    return f"SELECT cohort_month, {cols} FROM {src} GROUP BY cohort_month"
+def _cohort_wide(value: str, src: str) -> str:
+    return (f", b_cells AS (SELECT cohort_month, 'm' || month_index AS cell, {value} AS v FROM {src}) "
+            "PIVOT b_cells ON cell USING max(v) GROUP BY cohort_month")
 
 
-def build(P=BY_SF["0.01"]) -> dict[str, str]:
+def build(P=REGISTERED) -> dict[str, str]:
     """All oracle queries for one set of thresholds."""
     Q: dict[str, str] = {}
 
@@ -424,17 +433,16 @@ def build(P=BY_SF["0.01"]) -> dict[str, str]:
       FROM {_person_months("b_sql_universe", PERSON, TS, "order_id")} GROUP BY 1, 2"""
     Q["month_index_distribution"] = """SELECT month_index, CAST(sum(n_orders) AS BIGINT) AS n_orders
       FROM b_pm GROUP BY 1"""
-    Q["cohort_matrix"] = _cohort_wide("active_customers", "b_activity", P.max_month_index)
-    Q["retention_matrix"] = _cohort_wide("round_even(retention_pct, 2)", "b_retention",
-                                         P.max_month_index)
+    Q["cohort_matrix"] = _cohort_wide("active_customers", "b_activity")
+    Q["retention_matrix"] = _cohort_wide("round_even(retention_pct, 2)", "b_retention")
     Q["retention_long"] = """SELECT cohort_month, month_index, active_customers, cohort_size,
            round_even(retention_pct, 6) AS retention_pct FROM b_retention"""
     Q["retention_heatmap_data"] = f"""SELECT strftime(cohort_month, '%Y-%m') AS cohort, month_index,
            round_even(retention_pct, 2) AS retention_pct FROM b_retention
-      WHERE cohort_size >= {P.heatmap_min_cohort} AND month_index <= {P.max_month_index}"""
+      WHERE cohort_size >= {P.heatmap_min_cohort} AND month_index <= {P.shown_month_index}"""
     Q["retention_curve"] = f"""SELECT month_index, count(*) AS n_cohorts,
            round_even(avg(retention_pct), 2) AS avg_retention_pct FROM b_retention
-      WHERE cohort_size >= {P.curve_min_cohort} AND month_index <= {P.max_month_index}
+      WHERE cohort_size >= {P.curve_min_cohort} AND month_index <= {P.shown_month_index}
       GROUP BY 1"""
     Q["month1_cliff"] = f"""SELECT round_even(m1, 2) AS month1_retention_pct,
            round_even(100.0 - m1, 2) AS drop_pct
@@ -568,8 +576,12 @@ def build(P=BY_SF["0.01"]) -> dict[str, str]:
                    count(*) FILTER (WHERE n >= 2) AS repeat_customers
             FROM (SELECT user_id, count(DISTINCT event_id) AS n FROM b_purchases
                   WHERE user_id IS NOT NULL AND event_id IS NOT NULL GROUP BY 1))"""
-    Q["events_cohort_activity"] = f"""SELECT cohort_month, month_index, count(*) AS active_customers
-      FROM {_person_months("b_purchases", "user_id", "ts", "event_id")} GROUP BY 1, 2"""
+    Q["events_cohort_activity"] = """SELECT cohort_week, CAST((week - cohort_week) / 7 AS INTEGER) AS week_index,
+           count(*) AS active_customers
+      FROM (SELECT *, min(week) OVER (PARTITION BY user_id) AS cohort_week
+            FROM (SELECT DISTINCT user_id, CAST(date_trunc('week', ts) AS DATE) AS week FROM b_purchases
+                  WHERE user_id IS NOT NULL AND ts IS NOT NULL))
+      GROUP BY 1, 2"""
     Q["events_cohort_activity_stream"] = Q["events_cohort_activity"]
 
 
@@ -577,4 +589,4 @@ def build(P=BY_SF["0.01"]) -> dict[str, str]:
     return {k: PREFIX + v for k, v in Q.items()}
 
 
-ORACLE_SQL: dict[str, str] = build(BY_SF["0.01"])
+ORACLE_SQL: dict[str, str] = build(REGISTERED)

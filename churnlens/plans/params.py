@@ -1,35 +1,25 @@
-"""Thresholds of the analysis, scaled to the test-data size.
+"""Thresholds that the registered queries pass to the operators.
 
-The source analysis uses 50 (heatmap cohorts), 100 (curve cohorts) and 500
-(categories) on ~96K persons; the test folders hold far fewer persons, so
-each scale factor has its own values.  Unknown folders use the source
-values.
+The operators' own defaults are the source analysis' values (50 persons a
+heatmap cohort, 100 a curve cohort, 500 a category, on ~96K persons).  The
+registered queries and their SQL pass the one set below for every folder,
+whatever its name or size; it is low enough that the smallest folders have
+rows to compare.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from churnlens.sources.testdata import sf_of
-
 
 @dataclass(frozen=True)
 class Thresholds:
-    heatmap_min_cohort: int
-    curve_min_cohort: int
-    category_min_customers: int
-    max_month_index: int = 12  # the first 13 months are shown and averaged
+    heatmap_min_cohort: int = 50
+    curve_min_cohort: int = 100
+    category_min_customers: int = 500
+    shown_month_index: int = 12  # heatmap and curve show the first 13 months
     top_k: int = 10
 
 
-# Thresholds per scale factor (source values last).
-BY_SF = {
-    "0.001": Thresholds(5, 5, 10),
-    "0.01": Thresholds(10, 10, 50),
-    "0.1": Thresholds(50, 100, 500),
-}
-SOURCE = Thresholds(50, 100, 500)
-
-
-def thresholds_for(sf_dir: str) -> Thresholds:
-    return BY_SF.get(sf_of(sf_dir) or "", SOURCE)
+SOURCE = Thresholds()
+REGISTERED = Thresholds(heatmap_min_cohort=10, curve_min_cohort=10, category_min_customers=50)

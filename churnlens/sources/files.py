@@ -9,14 +9,23 @@ from churnlens.functions.dates import parse_timestamp
 from churnlens.sources.schemas import SCHEMAS, TIMESTAMP_COLUMNS
 
 
+# Tables whose quoted text may hold line breaks.
+MULTILINE_TABLES = ("order_reviews",)
+
+
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read one source CSV with its declared schema; parse timestamp text.
 
     No schema inference (it would scan the data twice and guess types).
-    Bad timestamp text becomes null rather than failing the job.
+    Quotes inside quoted text are doubled; only the tables with free text
+    (``MULTILINE_TABLES``) are read with line breaks inside quotes, since
+    such a file cannot be split: convert it to Parquet once.  A row that does
+    not fit the schema fails the job instead of shifting columns; bad
+    timestamp text becomes null.
     """
     df = (spark.read.schema(SCHEMAS[table]).option("header", True)
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+          .option("multiLine", table in MULTILINE_TABLES).csv(path))
     ts_cols = set(TIMESTAMP_COLUMNS.get(table, ()))
     return df.select([parse_timestamp(c).alias(c) if c in ts_cols else F.col(c)
                       for c in df.columns])
@@ -35,5 +44,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Overwrite a CSV dataset with a header row; group labels are plain columns."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Overwrite a CSV dataset with a header row; group labels are plain
+    columns.  Quotes in text are doubled; an empty text is written as ``""``
+    and a null as nothing, so that both come back."""
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("escapeQuotes", True).option("emptyValue", '""').option("nullValue", "").csv(path))

@@ -15,16 +15,16 @@ Binding rules (kept in step with ``churnlens.plans.oracle.BINDING_SQL``):
   order date + 5 × priority digit days.
 * order_items: one row per line; price = extended price as decimal(12,2);
   freight = price × tax rounded to cents.
-* order_reviews: lines 1 and 2 of an order carry a review of score
-  1 + floor((quantity - 1) / 10).
-* products: category = part type, missing when the part size is 1.
+* order_reviews: every line of an order carries a review of score
+  1 + floor((quantity - 1) / 10); title and message come from the return
+  flag and line status, the answer follows the review by a day.
+* products: category = part type, missing when the part size is 1; the
+  lengths and sizes come from name, type and size of the part.
 * category_translation: fixed lower-case labels; PROMO has none.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,15 +67,6 @@ def _status(code):
         F.when(code == "O", "shipped").otherwise("processing"))
 
 
-def sf_of(sf_dir: str) -> str | None:
-    """Scale-factor label of a test-data folder (``.../sf0.01`` → ``"0.01"``)."""
-    m = re.search(r"sf([0-9.]+)/*$", sf_dir.rstrip("/"))
-    return m.group(1) if m else None
-
-
-_RAW: dict[tuple, DataFrame] = {}
-
-
 class TestTables:
     """Lazy logical tables over one test-data folder."""
 
@@ -84,18 +75,16 @@ class TestTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        """One relation per session and file, shared by every logical table
-        and analysis (the provided files are read-only)."""
-        path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark), path)
-        if key not in _RAW:
+        """One relation per file, shared by this object's logical tables."""
+        if name not in self._raw:
             reader = self.spark.read
             if name in RAW_SCHEMAS:
                 reader = reader.schema(RAW_SCHEMAS[name])
-            _RAW[key] = reader.parquet(path)
-        return _RAW[key]
+            self._raw[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     # -- logical tables -------------------------------------------------
     def customers(self) -> DataFrame:
@@ -147,20 +136,28 @@ class TestTables:
              .cast("decimal(12,2)").alias("freight_value"))
 
     def order_reviews(self) -> DataFrame:
-        li = self.raw("lineitem").filter(F.col("l_linenumber") <= 2)
-        return li.select(
+        return self.raw("lineitem").select(
             F.concat_ws("-", F.col("l_orderkey").cast("string"),
                         F.col("l_linenumber").cast("string")).alias("review_id"),
             F.col("l_orderkey").alias("order_id"),
             (F.floor((F.col("l_quantity") - 1) / 10) + 1).cast("int").alias("review_score"),
-            F.col("l_shipdate").alias("review_creation_date"))
+            F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("review_comment_title"),
+            F.when(F.col("l_linestatus") == "F", F.concat("l_returnflag", F.lit("-"), "l_linestatus"))
+             .alias("review_comment_message"),
+            F.col("l_shipdate").alias("review_creation_date"),
+            F.timestamp_add("DAY", F.lit(1), F.col("l_shipdate")).alias("review_answer_timestamp"))
 
     def products(self) -> DataFrame:
         return self.raw("part").select(
             F.col("p_partkey").alias("product_id"),
             F.when(F.col("p_size") != 1, F.col("p_type")).alias("product_category_name"),
             F.length("p_name").cast("double").alias("product_name_lenght"),
-            F.col("p_retailprice").alias("product_weight_g"))
+            F.length("p_type").cast("double").alias("product_description_lenght"),
+            (F.col("p_size") % 6).cast("double").alias("product_photos_qty"),
+            F.col("p_retailprice").alias("product_weight_g"),
+            F.col("p_size").cast("double").alias("product_length_cm"),
+            (F.col("p_size") / 2).cast("double").alias("product_height_cm"),
+            F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("double")).alias("product_width_cm"))
 
     def category_translation(self) -> DataFrame:
         # a literal VALUES relation: its size is known to the planner, and it

@@ -178,13 +178,12 @@ def test_skew_safe_left_join_equals_left_join(spark):
 
 
 def test_first_of_total_order_with_ties_and_nulls(spark):
-    from churnlens.operators.ranking import first_of
+    from churnlens.operators.ranking import first_row_per_key
     rows = [("p", "2018-01-01 10:00:00", "o2", 1, 9.0), ("p", "2018-01-01 10:00:00", "o1", 2, 5.0),
             ("p", "2018-01-01 10:00:00", "o1", 1, 7.0), ("q", None, "o3", 1, 1.0),
             ("q", "2019-01-01 00:00:00", "o4", 1, 2.0), ("r", None, "o5", 1, 3.0)]
     df = spark.createDataFrame(rows, "k string, ts string, o string, i int, v double")
-    got = {r.k: (r.f.o, r.f.i) for r in df.groupBy("k").agg(
-        first_of(F.struct("o", "i"), ["ts", "o", "i"]).alias("f")).collect()}
+    got = {r.k: (r.o, r.i) for r in first_row_per_key(df, "k", ["ts", "o", "i"]).collect()}
     # ties on time broken by order id then item; a null time sorts last
     assert got == {"p": ("o1", 1), "q": ("o4", 1), "r": ("o5", 1)}
 
@@ -198,6 +197,24 @@ def test_review_score_rounding_half_even(spark):
     assert got == {2: (1, 0), 4: (3, 2)}  # 4.5 -> 4, 2.5 -> 2, 3.5 -> 4; no review: dropped
 
 
+def test_category_flags_with_many_categories(spark):
+    df = spark.createDataFrame([(f"c{i:02d}", 100, i, float(i)) for i in range(30)],
+                               "product_category_name_english string, total_customers long, "
+                               "repeat_customers long, repeat_rate_pct double")
+    got = {r.product_category_name_english: r for r in drivers.category_rankings(df).collect()}
+    assert sorted(c for c, r in got.items() if r.in_top) == [f"c{i}" for i in range(20, 30)]
+    assert sorted(c for c, r in got.items() if r.in_bottom) == [f"c{i:02d}" for i in range(10)]
+    assert sorted(c for c, r in got.items() if r.in_chart) == [f"c{i}" for i in range(15, 30)]
+
+
+def test_matrix_holds_every_observed_month(spark):
+    pm = spark.createDataFrame([("a", 0), ("a", 40), ("b", 0), ("b", 7)], "person string, k int") \
+        .selectExpr("date'2015-01-01' AS cohort_month", "k AS month_index", "person")
+    m = cohort.matrix(cohort.cohort_activity(pm), "active_customers")
+    assert m.columns == ["cohort_month", "m0", "m7", "m40"]
+    assert [tuple(r)[1:] for r in m.collect()] == [(2, 1, 1)]
+
+
 def test_rate_by_drops_null_groups(spark):
     df = spark.createDataFrame([("a", "x", True), ("b", None, True), ("c", "x", False)],
                                "customer_unique_id string, cat string, is_repeat boolean")

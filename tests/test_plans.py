@@ -2,6 +2,7 @@
 data, no cartesian product, pruning of unused lookups (SURVEY §7.5)."""
 
 import re
+from collections import Counter
 
 import pytest
 
@@ -38,16 +39,17 @@ def test_no_single_partition_over_rows(spark, name):
 def test_unused_lookups_are_pruned(spark):
     from churnlens.operators import cohort
     from churnlens.plans.catalog import Analysis
-    a = Analysis(spark, SF, share=False)  # planned from the raw tables
+    a = Analysis(spark, SF)  # planned from the raw tables
     plan = _plan(cohort.cohort_activity(a.person_months))
     assert "p_partkey" not in plan and "l_shipdate" not in plan  # no product / ship-date work
     assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>", plan)
 
 
 def test_shared_stage_is_read_not_recomputed(spark):
-    from churnlens.plans.catalog import QUERIES
-    QUERIES["master_delivered"](spark, SF)  # builds the shared master once
-    plan = _plan(QUERIES["cohort_activity"](spark, SF))
+    from churnlens.plans.catalog import QUERIES, suite
+    with suite(spark, SF):
+        QUERIES["master_delivered"](spark, SF)  # builds the shared master once
+        plan = _plan(QUERIES["cohort_activity"](spark, SF))
     assert "lineitem" not in plan and "orders.parquet" not in plan
     # only the columns the cohort needs are read from the stage table
     # (plan text truncates long schemas, so match the prefix)
@@ -56,6 +58,59 @@ def test_shared_stage_is_read_not_recomputed(spark):
     assert "customer_city" not in plan.split("ReadSchema")[1]
 
 
+def test_first_rows_are_not_sort_aggregated(spark):
+    from churnlens.plans.catalog import QUERIES
+    for name in ("first_orders", "category_retention_sql"):
+        plan = _plan(QUERIES[name](spark, SF))
+        # (lookups take the max of a label: sorted by their key, not by person)
+        sorted_aggregates = [line for line in plan.split("\n") if "SortAggregate" in line]
+        assert not any("customer_unique_id" in line for line in sorted_aggregates), name
+        assert "WindowGroupLimit" in plan
+
+
+def test_matrix_cells_sum_to_the_activity(spark):
+    from churnlens.plans.catalog import QUERIES
+    total = QUERIES["cohort_activity"](spark, SF).groupBy().sum("active_customers").first()[0]
+    cells = [v for r in QUERIES["cohort_matrix"](spark, SF).collect() for v in tuple(r)[1:]]
+    assert sum(v or 0 for v in cells) == total
+
+
+def test_a_hot_order_is_split(spark):
+    from pyspark.sql import functions as F
+    from churnlens.operators import master
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 60000
+        ids = spark.range(0, 4000, 1, 4)
+        orders = ids.select(F.col("id").alias("order_id"), F.col("id").cast("string").alias("customer_id"),
+                            F.lit("delivered").alias("order_status"),
+                            *[F.lit(None).cast("timestamp_ntz").alias(c) for c in master.ORDER_COLS[3:]])
+        customers = orders.select("customer_id", *[F.col("customer_id").alias(c) for c in master.CUSTOMER_COLS])
+        items = spark.range(0, n, 1, 8).select(
+            F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 4000).alias("order_id"),
+            F.col("id").alias("order_item_id"), (F.col("id") % 50).alias("product_id"),
+            F.sha2(F.col("id").cast("string"), 256).alias("seller_id"),
+            F.lit(None).cast("timestamp_ntz").alias("shipping_limit_date"),
+            F.lit(1).alias("price"), F.lit(1).alias("freight_value"))
+        products = spark.range(50).select(F.col("id").alias("product_id"), F.concat(F.lit("c"), "id").alias("product_category_name"))
+        labels = spark.createDataFrame([("c1", "A")], "product_category_name string, product_category_name_english string")
+        reviews = ids.select(F.col("id").alias("order_id"), F.lit(5).alias("review_score"), F.col("id").alias("review_id"))
+        m = master.master_table(orders, customers, items, products, labels, reviews)
+        out = m.withColumn("_p", F.spark_partition_id())
+        largest = max(Counter(r["_p"] for r in out.collect()).values())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan.split("Initial Plan")[0] and largest < 0.4 * n
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_release_deletes_stage_tables(spark):
     import os
 

@@ -4,8 +4,10 @@ import datetime as dt
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from churnlens.sources import read_csv_table, read_parquet_table, write_csv, write_parquet
-from churnlens.sources.testdata import TestTables, sf_of
+from churnlens.sources.testdata import TestTables
 
 
 def test_csv_orders_with_bad_timestamp(spark):
@@ -38,9 +40,63 @@ def test_sinks_round_trip(spark):
     assert csv.count() == 2 and csv.columns == ["k", "s", "v"]
 
 
+def test_csv_with_quoted_text(spark):
+    import pandas as pd
+    d = tempfile.mkdtemp(prefix="csv-quoted-")
+    rows = ['r1,o1,5,"two\nlines","he said ""yes"", twice",2018-01-01 00:00:00,2018-01-02 00:00:00',
+            'r2,o2,4,,"comma, in text",2018-01-03 00:00:00,2018-01-04 00:00:00',
+            'r3,o3,1,plain,"",2018-01-05 00:00:00,']
+    path = os.path.join(d, "reviews.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("review_id,order_id,review_score,review_comment_title,review_comment_message,"
+                "review_creation_date,review_answer_timestamp\n" + "\n".join(rows) + "\n")
+    df = read_csv_table(spark, path, "order_reviews")
+    got = sorted(df.collect(), key=lambda r: r.review_id)
+    assert len(got) == len(pd.read_csv(path)) == 3
+    assert got[0].review_comment_title == "two\nlines"
+    assert got[0].review_comment_message == 'he said "yes", twice'
+    assert got[1].review_comment_title is None and got[1].review_comment_message == "comma, in text"
+    out = os.path.join(d, "out")
+    strings = df.select("review_id", "order_id", "review_score", "review_comment_title",
+                        "review_comment_message",
+                        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in
+                          ("review_creation_date", "review_answer_timestamp")])
+    write_csv(strings, out)
+    assert sorted(map(tuple, read_csv_table(spark, out, "order_reviews").collect())) == sorted(map(tuple, got))
+
+
+def test_csv_with_too_few_columns_fails(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="csv-bad-")
+    with open(os.path.join(d, "s.csv"), "w", encoding="utf-8") as f:
+        f.write("seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,123\n")
+    with pytest.raises(Exception):
+        read_csv_table(spark, d, "sellers").collect()
+
+
+def test_changed_files_and_folder_names_change_nothing_else(spark):
+    import shutil
+    src = "/root/testdata/sf0.001"
+    from churnlens.plans.catalog import QUERIES
+    d = os.path.join(tempfile.mkdtemp(prefix="folder-"), "any_name")
+    shutil.copytree(src, d)
+    os.chmod(d, 0o755)
+    for name in ("retention_heatmap_data", "category_retention_sql"):
+        assert sorted(map(tuple, QUERIES[name](spark, d).collect())) == \
+            sorted(map(tuple, QUERIES[name](spark, src).collect()))
+    before = QUERIES["master_table"](spark, d).count()
+    half = spark.read.parquet(f"{src}/orders.parquet").filter("o_orderkey % 2 = 0")
+    half.write.parquet(f"{d}/half")
+    part = next(f for f in os.listdir(f"{d}/half") if f.endswith(".parquet"))
+    os.chmod(f"{d}/orders.parquet", 0o644)
+    shutil.copyfile(f"{d}/half/{part}", f"{d}/orders.parquet")
+    spark.catalog.refreshByPath(f"{d}/orders.parquet")
+    assert 0 < QUERIES["master_table"](spark, d).count() < before
+
+
 def test_binding_shapes(spark):
     t = TestTables(spark, "/root/testdata/sf0.001")
-    assert sf_of("/root/testdata/sf0.001") == "0.001" and sf_of("/x/y") is None
+    assert TestTables(None, "/x/y/").sf_dir == "/x/y"
     n_orders = t.raw("orders").count()
     assert t.customers().count() == n_orders == t.orders().count()
     assert t.customers().select("customer_id").distinct().count() == n_orders
