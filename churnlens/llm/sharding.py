@@ -112,10 +112,10 @@ def oracle(n_shards: int = 8) -> str:
 WITH base AS (
   SELECT doc_id, coalesce(doc_id::VARCHAR, '\\N') AS k, encode(coalesce(text, '')) AS body FROM documents
 ), digits AS (
-  SELECT doc_id, k, octet_length(body)::BIGINT + 1 AS size, hex(body) AS h FROM base
+  SELECT doc_id, k, octet_length(body)::BIGINT + 1 AS size, string_split(hex(body), '') AS h FROM base
 ), halves AS (
-  SELECT doc_id, k, size, list_transform(range(0, len(h)),
-    lambda i: (instr('0123456789ABCDEF', h[(i // 2 * 2 + 2 - i % 2)::INTEGER]) - 1)::BIGINT) AS nib FROM digits
+  SELECT doc_id, k, size, list_transform(range(0, size * 2 - 2),
+    lambda i: (instr('0123456789ABCDEF', h[i // 2 * 2 + 2 - i % 2]) - 1)::BIGINT) AS nib FROM digits
 ), placed AS (
   SELECT doc_id, size,
     xor(list_reduce(list_concat([4294967295::BIGINT], nib),

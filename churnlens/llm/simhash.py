@@ -264,7 +264,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = (0, None)  # no links: nothing to settle
     for _ in range(max_rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # a table of its own, so that a hub's edges can be split in the join
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # large star: greater neighbours of a node go to its least neighbour
         large = (both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .filter("a != b").distinct())
