@@ -66,11 +66,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], words: int = SHINGLE_WORDS) -> DataFrame:
     """``keep`` columns and ``fp`` (the fingerprint's bits as a signed long)."""
+    return map_texts(docs, _print_column(words), "fp long", keep)
+
+
+def _print_column(words: int):
     def run(texts):
         fp = np.array([fingerprint(t, words) for t in texts], np.uint64)
         return {"fp": pa.array(fp.view(np.int64))}
 
-    return map_texts(docs, run, "fp long", keep)
+    return run
 
 
 # -- BK-trees over many shards at once ---------------------------------------
@@ -285,6 +289,15 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def with_roots(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
+               max_members: int = MAX_MEMBERS) -> DataFrame:
+    """``nodes`` (one row a fingerprint ``fp``) and ``root``, the least
+    fingerprint of its component."""
+    comps = connected_components(near_links(nodes.select("fp"), radius, blocks, max_members))
+    return (nodes.join(comps, nodes.fp == comps.node, "left")
+            .select(*nodes.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, keep: list[str], key: str = "doc_id", words: int = SHINGLE_WORDS,
                     radius: int = RADIUS, blocks: int = BLOCKS, max_members: int = MAX_MEMBERS) -> DataFrame:
     """``keep`` columns, ``fp`` and ``component_id`` (the least ``key`` among
@@ -298,9 +311,7 @@ def near_duplicates(docs: DataFrame, keep: list[str], key: str = "doc_id", words
                                 list(dict.fromkeys([*keep, key])), words))
     # one row a fingerprint: copies do not travel further
     nodes = stage(prints.groupBy("fp").agg(F.min(key).alias("_low")))
-    comps = connected_components(near_links(nodes.select("fp"), radius, blocks, max_members))
-    rooted = (nodes.join(comps, nodes.fp == comps.node, "left")
-              .select("fp", "_low", F.coalesce("root", "fp").alias("root")))
+    rooted = with_roots(nodes, radius, blocks, max_members)
     lows = rooted.groupBy("root").agg(F.min("_low").alias("component_id"))
     classes = rooted.join(lows, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(*keep, "fp", "component_id")
@@ -318,14 +329,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the
-    least doc_id (of repeated rows of that id, the least row)."""
-    marked = near_duplicates(docs, ["doc_id"])
-    first = (marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select("doc_id").distinct())
-    # equal ids: one row of each stays; ids of different groups never clash,
-    # as every group's least id names its own rows
-    same = F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N"))
-    packed = docs.select(same.alias("_k"), F.struct(*docs.columns).alias("_r"))
-    kept = packed.join(first.select(same.alias("_k")), "_k", "left_semi")
-    least = F.min_by("_r", F.coalesce(F.col("_r.text"), F.lit("")))
-    return kept.groupBy("_k").agg(least.alias("_r")).select("_r.*")
+    least doc_id (of equal ids the one of the least fingerprint, then of the
+    least text; a null id only where the group has no other)."""
+    # columns by place, so that none clashes with fp or root
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    prints = map_texts(docs.toDF(*names), _print_column(SHINGLE_WORDS), "fp long", names, text)
+    # a group is named by its root, never by an id: ids may repeat or be null
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    nodes = stage(prints.groupBy("fp").agg(F.min_by(F.struct(*names), order).alias("_r")).select("fp", "_r.*"))
+    first = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("fp"))
+    kept = (with_roots(nodes.select("fp", doc_id)).groupBy("root")
+            .agg(F.min_by("fp", first).alias("fp")).select("fp"))
+    return nodes.join(kept, "fp", "left_semi").select(*names).toDF(*docs.columns)

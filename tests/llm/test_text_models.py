@@ -157,6 +157,18 @@ def test_near_duplicates_edge_cases(edge, nothing):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({c for _, c in want}, key=repr)
 
 
+def test_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]),
+            (3, texts[4]), (5, texts[4]), (5, texts[5]), (5, texts[5]), (None, texts[5])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string").repartition(3)
+    kept = simhash.simhash_stage(spark, df, SF)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (5, texts[5])], key=repr)
+
+
 def test_connected_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (500, 500)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected_components(links).collect()}
