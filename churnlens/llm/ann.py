@@ -68,7 +68,7 @@ class ShardIndex:
     """One shard's distinct vectors and their tree."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.rows = Distinct(ids, x, k + 1)
+        self.rows = Distinct(ids, x, k)
         self.tree = VPTree(self.rows.x)
         self.rows.x = self.rows.x.astype(np.float64)
 
@@ -87,6 +87,7 @@ class ShardIndex:
             lo, hi = tree.leaves[-leaf - 1]
             score = q[who] @ tree.x[lo:hi].T
             self.computed += score.size
+            score[self.rows.own(tree.order[lo:hi], query_ids[who])] = -np.inf
             both = np.concatenate([best[who], score], axis=1)
             ids = np.concatenate([vector[who], np.broadcast_to(tree.order[lo:hi], score.shape)], axis=1)
             top = np.argpartition(-both, keep - 1, axis=1)[:, :keep]

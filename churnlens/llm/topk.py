@@ -81,7 +81,7 @@ class MTree:
 
 class ShardIndex:
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.rows = Distinct(ids, x, k + 1)
+        self.rows = Distinct(ids, x, k)
         self.tree = MTree(self.rows.x)
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int):

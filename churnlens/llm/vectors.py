@@ -46,25 +46,40 @@ def matrix(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Distinct:
-    """A shard's distinct vectors, each with its smallest ``copies`` ids.
+    """A shard's distinct vectors, each with the ids of its best rows.
 
-    Only the smallest k + 1 ids of equal vectors can be among a query's k
-    nearest (one of them may be the query's own row), so a vector that many
-    rows share costs one computation and k + 1 places.
+    A query leaves out all rows of its own id.  Of equal vectors the k
+    smallest other rows can be among its k nearest: these are among at most
+    k rows of each of the k + 1 smallest ids, so a vector that many rows
+    share costs one computation and a bounded number of places, and rows of
+    one id never use up the room of others.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, copies: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], np.ascontiguousarray(x[order])
         raw = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
         _, first, where = np.unique(raw, return_index=True, return_inverse=True)
         self.x = x[first]
         by = np.argsort(where, kind="stable")
-        place = np.arange(len(by)) - np.searchsorted(where[by], where[by])
-        keep = place < copies
-        self.owner, self.ids = where[by][keep], ids[by][keep]
+        owner, ids, at = where[by], ids[by], np.arange(len(by))
+        begins = np.searchsorted(owner, np.arange(len(first)))
+        fresh = np.ones(len(by), bool)  # the first row of an id of a vector
+        fresh[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])
+        copy = at - np.maximum.accumulate(np.where(fresh, at, 0))
+        seen = np.cumsum(fresh)
+        other = seen - seen[begins][owner]
+        # whether all rows of a vector have one id, and that (the least) id
+        self.single = np.bincount(owner, weights=fresh, minlength=len(first)) == 1
+        self.least = ids[begins]
+        keep = (copy < k) & (other <= k)
+        self.owner, self.ids = owner[keep], ids[keep]
         self.start = np.searchsorted(self.owner, np.arange(len(first) + 1))
 
+    def own(self, vectors, query_ids: np.ndarray) -> np.ndarray:
+        """(queries, vectors): whether only rows of the query's id hold it."""
+        return self.single[vectors] & (self.least[vectors] == query_ids[:, None])
+
     def expand(self, vectors: np.ndarray, scores: np.ndarray):
         """(ids, scores) of the rows that hold the given vectors."""
         n = self.start[vectors + 1] - self.start[vectors]

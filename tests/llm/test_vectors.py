@@ -77,6 +77,27 @@ def test_top_k_is_exact(vectors):
     assert got == want
 
 
+def test_repeated_ids_leave_room_for_others(spark):
+    rng = np.random.default_rng(9)
+    common = [3.0, -2.0, 1.0, 0.5]
+    rows = [(20, common)] * 30 + [(i, common) for i in (*range(500, 510), *[7] * 25)]
+    rows += [(40, v.tolist()) for v in (5 + rng.random((60, 4))).round(2)]  # many vectors of one id
+    rows += [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 4)).round(2), 100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asks = {i: min(v for j, v in rows if j == i) for i in (20, 40, 100)}
+    for sizes in ({}, SMALL):
+        near = found(ann.nearest_neighbours(df, df.filter("vec_id in (20, 40, 100)"), 20, 1.0, **sizes))
+        top = found(topk.top_k(df, df.filter("vec_id in (20, 40, 100)"), 20, **sizes))
+        for i, q in asks.items():
+            others = [(j, np.float32(v).astype(float)) for j, v in rows if j != i]
+            q = np.float32(q).astype(float)
+            want = sorted((-float((q * v).sum()), j) for j, v in others)[:20]
+            assert [j for j, _ in near[i]] == [j for _, j in want]
+            assert np.allclose([s for _, s in near[i]], [-s for s, _ in want])
+            scaled = [(-int(np.floor(64 * q) @ np.floor(64 * v)), j) for j, v in others]
+            assert top[i] == [(j, -s) for s, j in sorted(scaled)[:20]]
+
+
 def test_fewer_rows_than_k_and_none(vectors):
     few = vectors.filter("vec_id in (0, 20, 3)")
     assert {len(v) for v in found(ann.nearest_neighbours(few, few)).values()} == {2}
