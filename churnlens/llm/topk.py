@@ -14,6 +14,8 @@ ties go to the smaller id.
 from __future__ import annotations
 
 import heapq
+import sys
+from operator import mul
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,41 @@ K = 20
 SCALE = 64
 PAGE = 256
 FANOUT = 48
-#: Larger components would not multiply exactly in a double.
-LARGEST = 1 << 22
+#: Vectors of a smaller squared length have exact inner products in doubles:
+#: no partial sum passes the product of two lengths.
+EXACT = float(1 << 53)
+
+
+def long_vectors(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (x * x).sum(axis=-1) >= EXACT
+
+
+class Whole:
+    """Exact search of distinct vectors of any length."""
+
+    def __init__(self, rows: Distinct):
+        self.rows = rows
+        self.shift = int(np.frexp(np.abs(rows.x).max())[1])
+        self.near = np.ldexp(rows.x, -self.shift)  # at most 1
+        self.length = np.sqrt((self.near * self.near).sum(axis=1))
+
+    def best(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, id) of rows that hold the k best other rows."""
+        rows = self.rows
+        unit = np.ldexp(q, -int(np.frexp(np.abs(q).max())[1]))
+        about = self.near @ unit
+        # rounding of products and sums, and of what ldexp brought below the least double
+        error = len(q) * 2.0 ** -50 * self.length * np.sqrt(unit @ unit) + len(q) * 1e-300
+        open_ = np.flatnonzero(~rows.own(slice(None), np.array([own]))[0])
+        if len(open_) > k:
+            floor = np.partition((about - error)[open_], -k)[-k]
+            open_ = open_[(about + error)[open_] >= floor]
+        whole_q = [int(c) for c in q]
+        scores = np.empty(len(open_), object)
+        scores[:] = [sum(map(mul, map(int, rows.x[v]), whole_q)) for v in open_]
+        ids, scores = rows.expand(open_, scores)
+        return [(s, int(i)) for i, s in zip(ids, scores) if i != own]
 
 
 class MTree:
@@ -81,15 +116,35 @@ class MTree:
 
 class ShardIndex:
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.rows = Distinct(ids, x, k)
-        self.tree = MTree(self.rows.x)
+        far = long_vectors(x)
+        self.far = Whole(Distinct(ids[far], x[far], k)) if far.any() else None
+        self.rows = self.tree = None
+        if not far.all():
+            self.rows = Distinct(ids[~far], x[~far], k)
+            self.tree = MTree(self.rows.x)
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int):
-        """Yields (query number, ids, scores) of each query's k best rows."""
+        """Yields (query number, ids, scores) of each query's k best rows;
+        scores are longs, or Python integers where long vectors take part."""
         self.computed = 0
+        far = long_vectors(q)
+        near = Whole(self.rows) if self.rows is not None and far.any() else None
         for i in range(len(q)):
-            ids, scores = self._one(int(query_ids[i]), q[i], k)
-            yield i, ids, scores.astype(np.int64)
+            own, got = int(query_ids[i]), []
+            if self.rows is not None and not far[i]:
+                ids, scores = self._one(own, q[i], k)
+                if self.far is None:
+                    yield i, ids, scores.astype(np.int64)
+                    continue
+                got = list(zip(map(int, scores), map(int, ids)))
+            elif near is not None:
+                got = near.best(own, q[i], k)
+            if self.far is not None:
+                got += self.far.best(own, q[i], k)
+            got = sorted(got, key=lambda r: (-r[0], r[1]))[:k]
+            scores = np.empty(len(got), object)
+            scores[:] = [s for s, _ in got]
+            yield i, np.array([j for _, j in got], np.int64), scores
 
     def _one(self, own: int, q: np.ndarray, k: int):
         tree, x = self.tree, self.tree.x
@@ -132,15 +187,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE,
     """Each query's ``k`` rows of the largest inner product of
     floor(scale * component), but its own: query_id, rank, vec_id, score.
 
-    Null, empty and non-finite vectors, null ids and vectors with a scaled
-    component beyond ``LARGEST`` take no part; zero vectors do; an empty
-    table gives no rows.
+    Null, empty and non-finite vectors and null ids take no part; zero
+    vectors do, and vectors of any finite size.  A score beyond a long is
+    null, its rank exact.  Doubles that ``scale`` takes beyond a double are
+    refused with an error (floats never are).  An empty table gives no rows.
     """
+    def floor(x):
+        # a double of 2**53 or more is whole already
+        return (F.when(F.abs(x) < F.lit(float(1 << 53)) / scale, F.floor(x * scale).cast("double"))
+                .when(F.abs(x) <= F.lit(sys.float_info.max) / scale, x * scale)
+                .otherwise(F.raise_error(F.lit("a scaled component is beyond a double")).cast("double")))
+
     def whole(df):
-        scaled = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
-        return (df.filter(finite(vector))
-                .filter(F.forall(F.col(vector).cast("array<double>"), lambda x: F.abs(x) * scale < LARGEST))
-                .select(id_col, scaled.alias(vector)))
+        return df.filter(finite(vector)).select(
+            id_col, F.transform(F.col(vector).cast("array<double>"), floor).alias(vector))
 
     return search_shards(whole(rows), whole(queries), id_col, vector, k,
                          lambda ids, x: ShardIndex(ids, x, k),

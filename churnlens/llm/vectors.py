@@ -95,13 +95,35 @@ def best_rows(ids: np.ndarray, scores: np.ndarray, own: int, k: int):
     return ids[order], scores[order]
 
 
+def long_scores(scores: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Integer scores as longs (null beyond a long) and keys (binary) that
+    order those beyond a long; all others share one key between them."""
+    if scores.dtype != object:
+        return pa.array(scores, pa.int64()), pa.array([b"\x80"] * len(scores), pa.binary())
+    fit, keys = [], []
+    for n in map(int, scores):
+        inside = -(1 << 63) <= n < 1 << 63
+        size = (abs(n).bit_length() + 7) // 8
+        if inside:
+            key = b"\x80"
+        elif n > 0:
+            key = b"\x81" + size.to_bytes(2, "big") + n.to_bytes(size, "big")
+        else:
+            key = b"\x7f" + (0xFFFF - size).to_bytes(2, "big") + bytes(255 - b for b in (-n).to_bytes(size, "big"))
+        fit.append(n if inside else None)
+        keys.append(key)
+    return pa.array(fit, pa.int64()), pa.array(keys, pa.binary())
+
+
 def search_shards(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int,
                   build: Callable, search: Callable, score_type: str,
                   shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Index ``rows`` by shards and find every query's ``k`` best rows.
 
     ``build(ids, x)`` makes one shard's index of one dimension and
-    ``search(index, query_ids, q)`` yields (query number, ids, scores).
+    ``search(index, query_ids, q)`` yields (query number, ids, scores);
+    scores of type long may be Python integers of any size, and the score is
+    null where it is beyond a long (its rank is still right).
     Rows with a null id take no part; of repeated query ids the least vector
     asks, and no row with the query's id is a candidate.
     """
@@ -134,15 +156,20 @@ def search_shards(rows: DataFrame, queries: DataFrame, id_col: str, vector: str,
                         out_id.append(found)
                         out_s.append(scores)
         cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
-        return pa.table({"query_id": cat(out_q, pa.int64()), "vec_id": cat(out_id, pa.int64()),
-                         "score": cat(out_s, pa.float64() if score_type == "double" else pa.int64())})
+        out = {"query_id": cat(out_q, pa.int64()), "vec_id": cat(out_id, pa.int64())}
+        if score_type == "double":
+            return pa.table(out | {"score": cat(out_s, pa.float64())})
+        score, beyond = long_scores(np.concatenate(out_s) if out_s else np.zeros(0, np.int64))
+        return pa.table(out | {"score": score, "beyond": beyond})
 
     # every shard meets every block of queries; both sides of a task are bounded
     tiles = index.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "index")
     asked = asking.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
                           F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "x")
     found = (tiles.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-             .applyInArrow(ask, f"query_id long, vec_id long, score {score_type}"))
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInArrow(ask, f"query_id long, vec_id long, score {score_type}"
+                           + ("" if score_type == "double" else ", beyond binary")))
+    best = [F.desc("score")] if score_type == "double" else [F.desc("beyond"), F.desc("score")]
+    nearest = Window.partitionBy("query_id").orderBy(*best, "vec_id")
     return (found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

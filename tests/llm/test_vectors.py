@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -98,6 +100,36 @@ def test_repeated_ids_leave_room_for_others(spark):
             assert top[i] == [(j, -s) for s, j in sorted(scaled)[:20]]
 
 
+def test_top_k_of_vectors_of_any_size(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(240, 4)) * 10.0 ** rng.integers(-1, 9, (240, 1))
+    x[:4] *= 1e20  # scores beyond a long
+    x[4:8] = x[8]  # ties
+    x = x.astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, x[8].tolist())] * 25
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    scaled = [(i, [(Fraction(c) * 64).__floor__() for c in v]) for i, v in rows]
+    for sizes in ({}, SMALL):
+        got = found(topk.top_k(df, df.filter("vec_id < 20 or vec_id % 20 = 0"), 20, **sizes))
+        for i, q in dict(scaled).items():
+            if i < 20 or i % 20 == 0:
+                want = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in scaled if j != i)[:20]
+                assert got[i] == [(j, -s if -2**63 <= -s < 2**63 else None) for s, j in want]
+
+
+def test_top_k_is_exact_in_many_dimensions():
+    # products that doubles would round: the last row is ahead by one
+    d, big = 600, 1 << 21
+    x = np.full((3, d), float(big))
+    x[0, -1], x[1, -1], x[2, -1] = 1, 1, 2
+    q = np.full((1, d), float(big))
+    q[0, 0], q[0, -1] = big - 1, 1
+    index = topk.ShardIndex(np.array([5, 6, 7]), x, 2)
+    (_, ids, scores), = index.search(np.array([1]), q, 2)
+    exact = [sum(int(a) * int(b) for a, b in zip(q[0], v)) for v in x]
+    assert ids.tolist() == [7, 5] and list(scores) == [exact[2], exact[0]]
+
+
 def test_fewer_rows_than_k_and_none(vectors):
     few = vectors.filter("vec_id in (0, 20, 3)")
     assert {len(v) for v in found(ann.nearest_neighbours(few, few)).values()} == {2}
