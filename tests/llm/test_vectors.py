@@ -130,6 +130,18 @@ def test_top_k_is_exact_in_many_dimensions():
     assert ids.tolist() == [7, 5] and list(scores) == [exact[2], exact[0]]
 
 
+def test_op7_matches_brute_force_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.1"
+    got = found(topk.op7_mtree_topk(spark, sf))
+    rows = usable(spark.read.parquet(f"{sf}/embeddings.parquet"), True)
+    ids, x = np.array([i for i, _ in rows]), np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    assert sorted(got) == [i for i in sorted(ids) if i % 20 == 0]
+    for i, near in got.items():
+        s, other = x @ x[ids == i][0], ids != i
+        top = np.lexsort((ids[other], -s[other]))[:20]
+        assert near == list(zip(ids[other][top].tolist(), s[other][top].tolist()))
+
+
 def test_fewer_rows_than_k_and_none(vectors):
     few = vectors.filter("vec_id in (0, 20, 3)")
     assert {len(v) for v in found(ann.nearest_neighbours(few, few)).values()} == {2}
