@@ -4,11 +4,15 @@ softmax, and a calibrated rejection.
 A text's subwords (byte 3-, 4- and 5-grams of its lower-cased words, word
 borders included) are hashed into buckets; the bucket embeddings are
 averaged over the whole text and a linear softmax gives the language.  The
-model is trained by stochastic gradient descent in numpy on a bounded
-sample of labelled texts (``per_lang`` rows of each language, at most
+model also has a class "none", learned from the same texts with their letters
+shuffled, so that a text like none of the languages gets a low score even
+where one language is known.  It is trained by stochastic gradient descent
+in numpy on a bounded sample of labelled texts (``per_lang`` rows of each language, at most
 ``max_langs`` languages, the first ``train_chars`` characters of each
 row).  A temperature and the rejection threshold come from a part of the
-sample that training does not see.
+sample that training does not see: ``ACCEPT`` of its rightly named windows
+(whole texts and parts of 16 to 119 characters) stay, a text that scores
+lower is rejected.
 
 Since the average is linear, embedding and output layer are folded into one
 table (bucket -> language logits) before it is sent to the tasks.
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from churnlens.llm.common import id_crc, map_texts, table
 
 UNDETERMINED = "und"
+#: Share of the rightly named held-out windows whose score is not rejected.
+ACCEPT = 0.995
 _NON_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _ORDERS = (3, 4, 5)
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -63,15 +69,16 @@ def _subwords(data: np.ndarray, bits: int):
 @dataclass
 class LangModel:
     langs: list[str]
-    logits: np.ndarray  # (buckets, languages), embedding times output layer
+    logits: np.ndarray  # (buckets, languages and "none"), embedding times output layer
     bias: np.ndarray
     temperature: float
     threshold: float
     bits: int
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        """Calibrated language probabilities of whole texts."""
-        k = len(self.langs)
+        """Calibrated language probabilities of whole texts (what they lack
+        to one is the probability of none of the languages)."""
+        k = self.logits.shape[1]
         total, count = np.zeros((len(texts), k)), np.zeros(len(texts))
         parts = [np.frombuffer(_normal(t), np.uint8) for t in texts]
         if len(texts):
@@ -86,7 +93,7 @@ class LangModel:
                 for j in range(k):
                     total[:, j] += np.bincount(who, weights=self.logits[rows, j], minlength=len(texts))
         z = total / np.maximum(count, 1)[:, None] + self.bias
-        return _softmax(z / self.temperature)
+        return _softmax(z / self.temperature)[:, :len(self.langs)]
 
     def predict(self, texts: list[str]) -> dict:
         if not self.langs:
@@ -113,27 +120,39 @@ def _bag(text: str, bits: int):
     return np.unique(np.concatenate(rows), return_counts=True)
 
 
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in random order: what no language writes."""
+    chars = np.array(list(text))
+    at = np.flatnonzero([c.isalpha() for c in text])
+    chars[at] = chars[rng.permutation(at)]
+    return "".join(chars)
+
+
 def train(texts: list[str], langs: list[str], bits: int = 15, dim: int = 16, epochs: int = 4,
-          rate: float = 0.6, seed: int = 7, accept: float = 0.9999) -> LangModel:
+          rate: float = 0.6, seed: int = 7, accept: float = ACCEPT) -> LangModel:
     """Stochastic gradient descent over windows of the texts: each text gives
-    a long and a short window, so that short texts are calibrated too."""
+    a long and a short window, so that short texts are calibrated too, and
+    one of them with shuffled letters for the class "none"."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / dim, (1 << bits, dim))
-    out, bias = np.zeros((dim, len(names))), np.zeros(len(names))
+    none = len(names)
+    out, bias = np.zeros((dim, none + 1)), np.zeros(none + 1)
     if not names:
-        return LangModel([], np.zeros((1 << bits, 0)), bias, 1.0, 1.0, bits)
+        return LangModel([], np.zeros((1 << bits, 1)), bias, 1.0, 1.0, bits)
     index = {x: i for i, x in enumerate(names)}
     order = rng.permutation(len(texts))
     cut = max(1, len(order) // 5) if len(order) > 4 else 0
     windows: list[tuple[bool, np.ndarray, np.ndarray, int]] = []
     for place, i in enumerate(order):
         text = texts[i]
-        for width in (len(text), int(rng.integers(16, 120))):
+        for n, width in enumerate((len(text), int(rng.integers(16, 120)))):
             start = int(rng.integers(0, max(1, len(text) - width + 1)))
-            rows, counts = _bag(text[start:start + width], bits)
-            if len(rows):
-                windows.append((place < cut, rows, counts / counts.sum(), index[langs[i]]))
+            window = text[start:start + width]
+            for part, y in ((window, index[langs[i]]), (_shuffled(window, rng), none))[:1 + (n == place % 2)]:
+                rows, counts = _bag(part, bits)
+                if len(rows):
+                    windows.append((place < cut, rows, counts / counts.sum(), y))
     held = [w for w in windows if w[0]]
     fit = [w for w in windows if not w[0]]
     steps = max(1, epochs * len(fit))
@@ -166,11 +185,10 @@ def _calibrate(model: LangModel, windows, accept: float) -> None:
     grid = np.geomspace(0.1, 10, 41)
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
-    p = _softmax(z / model.temperature)
+    p = _softmax(z / model.temperature)[:, :len(model.langs)]
     right = p.max(1)[p.argmax(1) == y]
     if len(right):
-        floor = 1 / len(model.langs) + 0.02 if len(model.langs) > 1 else 0.0
-        model.threshold = float(min(max(np.quantile(right, 1 - accept), floor), 0.4))
+        model.threshold = float(np.quantile(right, 1 - accept))
 
 
 def training_sample(docs: DataFrame, eligible: Column, per_lang: int, max_langs: int,

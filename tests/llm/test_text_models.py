@@ -45,6 +45,20 @@ def test_language_texts_do_not_mix_in_a_slice():
     assert np.allclose(all_["score"], [o["score"][0] for o in one])
 
 
+@pytest.mark.parametrize("left_out, share", [(("de",), 0.8), (("en", "es"), 0.8), (("de", "fr", "es"), 0.5)])
+def test_unlearned_language_and_gibberish_are_rejected(spark, left_out, share):
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+            if langid.has_letter(r.text) and r.lang]
+    known = [r for r in rows if r.lang not in left_out]
+    model = langid.train([r.text[:1500] for r in known[::2]], [r.lang for r in known[::2]])
+    rng = np.random.default_rng(6)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300)) for _ in range(100)]
+    strange = [r.text for r in rows if r.lang in left_out]
+    assert np.mean(model.predict([r.text for r in known[1::2]])["rejected"]) <= 0.02
+    assert np.mean(model.predict(strange)["rejected"]) > share
+    assert np.mean(model.predict(noise)["rejected"]) > 0.95
+
+
 # -- quality -----------------------------------------------------------------
 
 def brute_marginals(unary, pair):
