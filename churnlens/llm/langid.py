@@ -7,9 +7,10 @@ averaged over the whole text and a linear softmax gives the language.  The
 model also has a class "none", learned from the same texts with their letters
 shuffled, so that a text like none of the languages gets a low score even
 where one language is known.  It is trained by stochastic gradient descent
-in numpy on a bounded sample of labelled texts (``per_lang`` rows of each language, at most
-``max_langs`` languages, the first ``train_chars`` characters of each
-row).  A temperature and the rejection threshold come from a part of the
+in numpy on a bounded sample of labelled texts (``per_lang`` rows of each language, the first
+``train_chars`` characters of each row).  Every language is learned; where
+``per_lang`` rows of each are more than ``max_rows``, fewer rows of each are
+taken, but one at least.  A temperature and the rejection threshold come from a part of the
 sample that training does not see: ``ACCEPT`` of its rightly named windows
 (whole texts and parts of 16 to 119 characters) stay, a text that scores
 lower is rejected.
@@ -191,28 +192,32 @@ def _calibrate(model: LangModel, windows, accept: float) -> None:
         model.threshold = float(np.quantile(right, 1 - accept))
 
 
-def training_sample(docs: DataFrame, eligible: Column, per_lang: int, max_langs: int,
+def training_sample(docs: DataFrame, eligible: Column, per_lang: int, max_rows: int,
                     train_chars: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per_lang`` labelled texts of each of the ``max_langs`` most
-    frequent languages, chosen by the hash of their id."""
+    """Labelled texts of every language, chosen by the hash of their id: at
+    most ``per_lang`` of each, fewer where all languages' together would be
+    more than ``max_rows``, one of each at least."""
     rows = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & F.col(key).isNotNull())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    langs = rows.select("lang").distinct().count()
+    take = max(1, min(per_lang, max_rows // max(langs, 1)))
     first = Window.partitionBy("lang").orderBy("_h", key)
     ids = (rows.select("lang", key, F.xxhash64(F.col(key)).alias("_h"))
-           .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_lang)
-           .join(F.broadcast(common), "lang", "left_semi").select(key).distinct())
-    # ids: at most per_lang * max_langs rows
-    return (rows.join(F.broadcast(ids), key, "left_semi")
-            .select(key, "lang", F.substring("text", 1, train_chars).alias("text"))
-            .orderBy(F.xxhash64(key, "text"), key, "lang").limit(per_lang * max_langs))
+           .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= take)
+           .select("lang", key).distinct())
+    # ids: at most take rows a language; repeated ids of it are cut once more
+    again = Window.partitionBy("lang").orderBy("_h", key, "text")
+    return (rows.join(F.broadcast(ids), ["lang", key], "left_semi")
+            .select(key, "lang", F.substring("text", 1, train_chars).alias("text"), F.xxhash64(key, "text").alias("_h"))
+            .withColumn("_n", F.row_number().over(again)).filter(F.col("_n") <= take)
+            .orderBy("_h", key, "lang").drop("_h", "_n"))
 
 
 def fit_language_model(docs: DataFrame, eligible: Column | None = None, per_lang: int = 800,
-                       max_langs: int = 64, train_chars: int = 1500, **options) -> LangModel:
+                       max_rows: int = 51_200, train_chars: int = 1500, **options) -> LangModel:
     """Train on a bounded sample of ``docs`` (columns doc_id, text, lang)."""
     sample = training_sample(docs, F.lit(True) if eligible is None else eligible,
-                             per_lang, max_langs, train_chars)
+                             per_lang, max_rows, train_chars)
     rows = [r for r in sample.select("text", "lang").collect() if has_letter(r["text"])]
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 

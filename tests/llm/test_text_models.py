@@ -45,6 +45,19 @@ def test_language_texts_do_not_mix_in_a_slice():
     assert np.allclose(all_["score"], [o["score"][0] for o in one])
 
 
+def test_every_language_is_learned(spark):
+    rows = [(100 * i + j, f"lang{i:02d} " * 3 + f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} " * 4, f"l{i:02d}")
+            for i in range(70) for j in range(2 if i == 69 else 3)]
+    rows += [(5, "shared id", "l00")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limits in ({}, {"max_rows": 70}):
+        got = langid.training_sample(df, F.lit(True), limits.get("per_lang", 800), limits.get("max_rows", 51_200), 1500)
+        counts = {r["lang"]: r["count"] for r in got.groupBy("lang").count().collect()}
+        assert sorted(counts) == sorted({r[2] for r in rows})
+        assert (max(counts.values()) == 1) == bool(limits)
+    assert len(langid.fit_language_model(df, per_lang=2, epochs=1).langs) == 70
+
+
 @pytest.mark.parametrize("left_out, share", [(("de",), 0.8), (("en", "es"), 0.8), (("de", "fr", "es"), 0.5)])
 def test_unlearned_language_and_gibberish_are_rejected(spark, left_out, share):
     rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
