@@ -15,11 +15,12 @@ from churnlens.llm.sharding import op10_sharding
 from churnlens.llm.simhash import op9_simhash
 from churnlens.llm.topk import op7_mtree_topk
 from churnlens.llm.wavelet import op5_token_files
+from churnlens.llm.whitening import op12_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe_encode, op2_token_counts, op3_packing, op4_vptree_ann, op5_token_files,
     op6_quality_classifier, op7_mtree_topk, op8_language_id, op9_simhash, op10_sharding,
-    op11_minhash, op13_lexical_search)}
+    op11_minhash, op12_whitening, op13_lexical_search)}
 
 ORACLE_SQL = {"op10_sharding": sharding.oracle(), "op11_minhash": minhash.oracle(),
               "op13_lexical_search": lexical.oracle()}
