@@ -5,14 +5,16 @@
    of similarity s differ in each bit with probability (1 - s) / 2.
 2. The signature is split into chunks.  Two signatures that differ in at most
    ``chunks * (errors + 1) - 1`` bits have a chunk that differs in at most
-   ``errors`` bits (pigeonhole).  For two errors every signature is sent to
+   ``errors`` bits (pigeonhole).  For two errors every signature stands in
    the buckets of its chunk and of all chunks one bit away: two chunks within
    two errors share such a bucket, so every pair under the threshold meets.
+   Buckets with the same leading chunk bits are one shard; a signature is
+   sent to its shards, and its buckets are enumerated there.
    ``plan`` takes as many chunks as make a pair at the similarity limit pass
    the threshold but with a chance of ``MISS``.
-3. A bucket compares whole signatures and reports a spanning forest of the
-   pairs under the threshold; the forests of all buckets give candidate
-   groups.
+3. A bucket compares whole signatures.  A shard reports a spanning forest of
+   the pairs under the threshold, each pair in the first chunk that is within
+   the errors only; the forests of all shards give candidate groups.
 4. Every candidate group is confirmed on full shingle sets: an inverted index
    over the group's texts counts all intersections exactly.  A group above a
    block's bounds is confirmed by pairs of blocks, each a task of its own.
@@ -42,12 +44,15 @@ PERCENT = 80
 #: Chance that a pair at the similarity limit is over the signature threshold.
 MISS = 2e-6
 ERRORS = 2
-#: A class is counted for hot buckets if its hash falls in one of so many.
+#: One class in so many, by hash, is counted to find hot shards.
 SAMPLE = 16
-#: Members of a bucket that one task compares; larger ones are split.
-MAX_MEMBERS = 4096
+#: Rows of a shard that one task compares; larger shards are split.
+MAX_ROWS = 32768
+#: Bits of the filter of candidate rows: so many a row, at most so many (8 MB).
+FILTER_BITS = 16
+MOST_FILTER_BITS = 1 << 26
 #: Texts and shingles of one confirming block.
-BLOCK_TEXTS = 1024
+BLOCK_TEXTS = 512
 BLOCK_SHINGLES = 2_000_000
 #: Size steps (of the similarity limit) in one size band.
 BAND_STEPS = 8
@@ -55,11 +60,13 @@ BAND_STEPS = 8
 
 @dataclass(frozen=True)
 class Plan:
-    """Chunks of a signature, its threshold and the edges of size bands."""
+    """Chunks of a signature, its threshold, the leading chunk bits that name
+    a shard, and the edges of size bands."""
 
     chunks: int
     bits: int
     radius: int
+    prefix: int
     edges: tuple
     percent: int
 
@@ -67,6 +74,14 @@ class Plan:
     def length(self) -> int:
         return self.chunks * self.bits
 
+    @property
+    def per_word(self) -> int:
+        return 64 // self.bits
+
+    @property
+    def words(self) -> int:
+        return -(-self.chunks // self.per_word)
+
 
 def _tail(n: int, p: float, above: int) -> float:
     """Chance of more than ``above`` of n bits differing."""
@@ -76,8 +91,8 @@ def _tail(n: int, p: float, above: int) -> float:
 
 
 def plan(n: int, percent: int = PERCENT, miss: float = MISS) -> Plan:
-    """The signature for ``n`` classes: chunks of more bits for more classes,
-    and as many chunks as ``miss`` asks for."""
+    """The signature for ``n`` classes: chunks of more bits and shards of more
+    leading bits for more classes, and as many chunks as ``miss`` asks for."""
     if not 50 <= percent < 100:
         raise ValueError("percent must be in 50..99")
     bits = min(24, max(16, math.ceil(math.log2(max(n, 1) / 64 + 1))))
@@ -87,10 +102,13 @@ def plan(n: int, percent: int = PERCENT, miss: float = MISS) -> Plan:
         chunks += 1
         if chunks > 200:
             raise ValueError("similarity limit too low for chunks of this size")
+    prefix = 6
+    while prefix < bits - 2 and n * (prefix + 1) >> prefix > 2 * MAX_ROWS:
+        prefix += 1
     edges = [1]
     while edges[-1] < 1 << 40:
         edges.append(math.ceil(edges[-1] * (100 / percent) ** BAND_STEPS) + 1)
-    return Plan(chunks, bits, chunks * (ERRORS + 1) - 1, tuple(edges), percent)
+    return Plan(chunks, bits, chunks * (ERRORS + 1) - 1, prefix, tuple(edges), percent)
 
 
 # -- shingles and signatures -----------------------------------------------------
@@ -180,53 +198,75 @@ class Signer:
 
 # -- the multi-index Hamming join ----------------------------------------------------
 
-def _signatures(column: pa.Array, length: int) -> np.ndarray:
+def _chunks(column: pa.Array, p: Plan) -> np.ndarray:
+    """(signatures, chunks) chunk values."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return np.unpackbits(raw, axis=1)[:, :length]
+    bits = np.unpackbits(raw, axis=1)[:, :p.length].reshape(len(raw), p.chunks, p.bits)
+    return bits.astype(np.int64) @ (1 << np.arange(p.bits))
 
 
-def _buckets(classes: DataFrame, p: Plan) -> DataFrame:
-    """(bucket, node, s0..): every signature in all its buckets."""
-    words = -(-p.length // 64)
-    schema = "bucket long, node long, " + ", ".join(f"s{i} long" for i in range(words))
-    flips = np.concatenate([[0], 1 << np.arange(p.bits)]).astype(np.int64)
+def _packed(chunks: np.ndarray, p: Plan) -> np.ndarray:
+    """Chunks side by side in 64-bit words, none across two words."""
+    out = np.zeros((len(chunks), p.words), np.int64)
+    for c in range(p.chunks):
+        out[:, c // p.per_word] |= chunks[:, c] << (c % p.per_word * p.bits)
+    return out
+
+
+def _shards(classes: DataFrame, p: Plan) -> DataFrame:
+    """(shard, node, s0..): a signature in every shard (size band, chunk,
+    leading chunk bits) that holds one of its buckets.  Chunks one bit away
+    share the leading bits, unless that bit is one of them."""
+    schema = "shard long, node long, " + ", ".join(f"s{i} long" for i in range(p.words))
     edges = np.array(p.edges)
+    flips = np.concatenate([[0], 1 << np.arange(p.prefix)]).astype(np.int64)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                bits = _signatures(part.column(2), p.length)
-                whole = np.zeros((len(bits), words * 64), np.uint8)
-                whole[:, :p.length] = bits
-                packed = np.packbits(whole, axis=1).view(np.int64)
-                chunk = bits.reshape(len(bits), p.chunks, p.bits).astype(np.int64) @ (1 << np.arange(p.bits))
-                variant = (chunk[:, :, None] ^ flips) | (np.arange(p.chunks) << 40)[:, None]
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                chunk = _chunks(part.column(2), p)
+                packed = _packed(chunk, p)
+                lead = ((chunk >> (p.bits - p.prefix))[:, :, None] ^ flips) | (np.arange(p.chunks) << 48)[:, None]
                 n = part.column(1).to_numpy()
                 low = np.searchsorted(edges, n, side="right")
                 high = np.searchsorted(edges, n * 100 // p.percent, side="right")
                 for band, who in ((low, np.arange(len(n))), (high, np.flatnonzero(high != low))):
                     per = p.chunks * len(flips)
-                    key = variant[who].reshape(len(who), per) | (band[who] << 32)[:, None]
+                    key = lead[who].reshape(len(who), per) | (band[who] << 40)[:, None]
                     row = np.repeat(who, per)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.ravel()), part.column(0).take(pa.array(row))]
-                        + [pa.array(packed[row, i]) for i in range(words)],
-                        names=["bucket", "node", *[f"s{i}" for i in range(words)]])
+                        + [pa.array(packed[row, i]) for i in range(p.words)],
+                        names=["shard", "node", *[f"s{i}" for i in range(p.words)]])
 
     return classes.select("node", "n_shingles", "sign").mapInArrow(run, schema)
 
 
+def _variants(shard: np.ndarray, signs: np.ndarray, p: Plan):
+    """(row, variant): the chunk of each row and those one bit away that lie
+    in the row's shard."""
+    low = p.bits - p.prefix
+    c, lead = shard >> 48, shard & ((1 << p.prefix) - 1)
+    chunk = (signs[np.arange(len(c)), c // p.per_word].view(np.int64) >> (c % p.per_word * p.bits)) & ((1 << p.bits) - 1)
+    home = np.flatnonzero(chunk >> low == lead)
+    near = np.flatnonzero(chunk >> low != lead)
+    flips = np.concatenate([[0], 1 << np.arange(low)]).astype(np.int64)
+    row = np.concatenate([np.repeat(home, len(flips)), near])
+    value = np.concatenate([(chunk[home, None] ^ flips).ravel(), (lead[near] << low) | (chunk[near] & ((1 << low) - 1))])
+    return row, value
+
+
 def near_pairs(signs: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int):
-    """Blocks of (a, b): rows of one group (sorted) within ``radius``; of two
-    sides that are not 0 only pairs across."""
+    """Blocks of (a, b): places of one group (sorted) whose signatures are
+    within ``radius``; of two sides that are not 0 only pairs across."""
     def hits(a, b):
         d = np.bitwise_count(signs[a] ^ signs[b]).sum(axis=-1, dtype=np.int64)
         return (d <= radius) & ((side[a] == 0) | (side[a] != side[b]))
 
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
     size = np.diff(np.concatenate([begin, [len(group)]]))
-    left = np.repeat(begin + size, size) - np.arange(len(group))  # rows from here to the group's end
+    left = np.repeat(begin + size, size) - np.arange(len(group))  # places from here to the group's end
     left[np.repeat(size > 64, size)] = 0
     a, k = np.flatnonzero(left > 1), 1
     while len(a):
@@ -246,7 +286,34 @@ def near_pairs(signs: np.ndarray, group: np.ndarray, side: np.ndarray, radius: i
                     yield x[ok], y[ok]
 
 
-def _whole_groups(batches, keys: list[str], target: int = 400_000):
+def shard_links(shard: np.ndarray, part: np.ndarray, node: np.ndarray, signs: np.ndarray, side: np.ndarray,
+                p: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least node connected with it) found in whole shards, each
+    pair in the first chunk that is within ``ERRORS`` only.  ``part`` numbers
+    the groups to be kept apart."""
+    row, value = _variants(shard, signs, p)
+    key = (part[row] << 32) | value
+    by = np.argsort(key, kind="stable")
+    row, key = row[by], key[by]
+    names, at = np.unique(node, return_inverse=True)
+    parent = np.arange(len(names))
+    chunk = shard >> 48
+    mask = np.uint64((1 << p.bits) - 1)
+    for a, b in near_pairs(signs[row], key, side[row], p.radius):
+        a, b = row[a], row[b]
+        open_ = parent[at[a]] != parent[at[b]]
+        a, b = a[open_], b[open_]
+        apart = signs[a] ^ signs[b]
+        first = np.ones(len(a), bool)
+        for c in range(int(chunk[a].max(initial=0))):
+            d = np.bitwise_count((apart[:, c // p.per_word] >> np.uint64(c % p.per_word * p.bits)) & mask)
+            first &= (d > ERRORS) | (chunk[a] <= c)
+        hook(parent, at[a[first]], at[b[first]])
+    moved = np.flatnonzero(parent != np.arange(len(names)))
+    return names[moved], names[parent[moved]]
+
+
+def _whole_groups(batches, keys: list[str], target: int = 200_000):
     """Tables of whole groups of sorted rows, about ``target`` rows at a
     time, with the group's number; a group that goes on is carried over."""
     held, rows, want = [], 0, target
@@ -273,41 +340,36 @@ def _whole_groups(batches, keys: list[str], target: int = 400_000):
             want = rows * 2  # one group so far: read on
 
 
-def candidate_links(classes: DataFrame, p: Plan, max_members: int = MAX_MEMBERS) -> DataFrame:
+def candidate_links(classes: DataFrame, p: Plan, max_rows: int = MAX_ROWS) -> DataFrame:
     """Links (a, b) whose components are those of ``classes`` (node,
     n_shingles, sign) under "at most ``radius`` differing bits" of sizes that
     the limit allows."""
     some = classes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
-    hot = stage(_buckets(some, p).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-                .filter(F.col("n") * SAMPLE > max_members)
-                .select("bucket", F.ceil(F.col("n") * SAMPLE / max_members).cast("int").alias("trees")))
-    rows = _buckets(classes, p).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+    hot = stage(_shards(some, p).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") * SAMPLE > max_rows)
+                .select("shard", F.ceil(F.col("n") * SAMPLE / max_rows).cast("int").alias("parts")))
+    rows = _shards(classes, p).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
     if not hot.isEmpty():
-        # a hot bucket of m parts: a task for each pair of parts
-        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("trees")).cast("int")
+        # a hot shard of m parts: a task for each pair of parts
+        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
         alone = F.array(F.lit(0))
-        rows = (rows.drop("i", "j", "side").join(hot, "bucket", "left")
+        rows = (rows.drop("i", "j", "side").join(hot, "shard", "left")
                 .withColumn("own", F.coalesce(own, F.lit(0)))
-                .withColumn("other", F.explode(F.when(F.col("trees").isNull(), alone)
-                                               .otherwise(F.sequence(F.lit(0), F.col("trees") - 1))))
+                .withColumn("other", F.explode(F.when(F.col("parts").isNull(), alone)
+                                               .otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
                 .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"),
                               "side": F.when(F.col("own") < F.col("other"), 1)
                               .when(F.col("own") > F.col("other"), 2).otherwise(0)})
-                .drop("trees", "own", "other"))
-    keys = ["bucket", "i", "j"]
+                .drop("parts", "own", "other"))
+    keys = ["shard", "i", "j"]
     parts = rows.repartition(max(shuffle_partitions(classes.sparkSession), 1), *keys).sortWithinPartitions(*keys)
-    words = -(-p.length // 64)
 
     def search(batches):
         for t, group in _whole_groups(batches, keys):
-            node = t.column("node").to_numpy()
-            signs = np.column_stack([t.column(f"s{i}").to_numpy() for i in range(words)]).view(np.uint64)
-            names, at = np.unique(node, return_inverse=True)
-            parent = np.arange(len(names))
-            for a, b in near_pairs(signs, group, t.column("side").to_numpy(), p.radius):
-                hook(parent, at[a], at[b])
-            moved = np.flatnonzero(parent != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[parent[moved]])], names=["a", "b"])
+            signs = np.column_stack([t.column(f"s{i}").to_numpy() for i in range(p.words)]).view(np.uint64)
+            a, b = shard_links(*(t.column(c).to_numpy() if isinstance(c, str) else c for c in (
+                "shard", group, "node", signs, "side")), p)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return parts.mapInArrow(search, "a long, b long").distinct()
 
@@ -350,6 +412,28 @@ def confirmed(texts: list[str], side: np.ndarray, width: int, percent: int) -> n
     return parent
 
 
+def row_filter(members: DataFrame):
+    """A function that tells which row hashes may be among ``members``: a
+    bitmap of a size that is bounded however many they are (with very many it
+    lets more through; the join that follows is exact)."""
+    bits = 1 << 16
+    while bits < MOST_FILTER_BITS and bits < FILTER_BITS * members.count():
+        bits *= 2
+    place = F.pmod(F.col("row"), F.lit(bits)) + 1  # Spark numbers bitmap places from 1
+    maps = members.groupBy(F.bitmap_bucket_number(place).alias("k")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map")).collect()
+    held = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in maps:
+        held[r["k"] - 1] = np.frombuffer(r["map"], np.uint8)
+    flags = members.sparkSession.sparkContext.broadcast(held.ravel())
+
+    def test(rows: np.ndarray) -> np.ndarray:
+        at = rows % bits
+        return (flags.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    return test
+
+
 def confirmed_links(docs: DataFrame, groups: DataFrame, width: int, percent: int,
                     block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) between classes of one group whose sets reach the limit.
@@ -361,6 +445,12 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
     members = stage(groups.join(need, "root").select(
         "row", "node", "root", F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("own"), "m"))
 
+    wanted = row_filter(members)
+
+    def asked(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch.column(0).to_numpy())))
+
     def once(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -372,7 +462,9 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
             if new:
                 yield batch.take(pa.array(new))
 
-    chosen = docs.join(members, "row").select("node", "root", "own", "m", "text") \
+    # rows that cannot be members leave before the texts are shuffled
+    chosen = docs.select("row", "text").mapInArrow(asked, "row long, text string") \
+        .join(members, "row").select("node", "root", "own", "m", "text") \
         .mapInArrow(once, "node long, root long, own int, m int, text string")
     routed = (chosen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
               .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
