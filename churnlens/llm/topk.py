@@ -3,17 +3,19 @@
 Vectors are integers.  In a shard they get one more component so that all
 have the length of the longest; the Euclidean distance to a query then falls
 as the inner product grows.  An M-tree's pages hold routing vectors with
-covering radii and distances to the page's own routing vector.  A query
-takes pages in order of their least possible distance and computes no entry
-whose distance to its parent already shows, by the triangle inequality, that
-it is too far.  Scores are exact integers, bounds get a slack far above
-their rounding, and entries at the k-th distance are still looked at, so
-ties go to the smaller id.
+covering radii and distances to the page's own routing vector.  Every query
+takes leaf pages best first, by the greatest score that their radii allow,
+and stops where that is below its k-th best score.  The queries of a block go
+in rounds: those whose next page is the same evaluate it together, as one
+product of matrices over the page's contiguous rows, without the entries
+whose distances to the routing vector already show, by the triangle
+inequality, that they are too far for all of them.  Scores are exact
+integers, bounds get a slack far above their rounding, and entries at the
+k-th score are still looked at, so ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-import heapq
 import sys
 from operator import mul
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import table
-from churnlens.llm.vectors import Distinct, best_rows, finite, search_shards
+from churnlens.llm.vectors import Distinct, finite, search_shards
 
 K = 20
 SCALE = 64
@@ -66,16 +68,18 @@ class Whole:
 
 
 class MTree:
-    """Pages in lists; every page knows its routing vector.
+    """Pages in lists; every page has a routing vector.
 
-    ``pages[p] = (is leaf, entries, distances to the page's routing vector,
-    covering radii, child pages)``; a leaf's entries are vectors, an inner
-    page's entries the routing vectors of its child pages.
+    An inner page ``(False, routing vectors of its children, covering radii,
+    radii without the added component, child pages)``, a leaf page ``(True,
+    routing vector, leaf number)``; a leaf's entries are in order of their
+    distance to its routing vector.
     """
 
     def __init__(self, x: np.ndarray, page: int = PAGE, fanout: int = FANOUT, seed: int = 5):
         norms = (x * x).sum(axis=1)
         self.x, self.top = x, float(norms.max())
+        self.leaves: list[tuple] = []  # (rows, their vectors, distances to the routing vector)
         self.lifted = np.column_stack([x, np.sqrt(np.maximum(self.top - norms, 0))])
         self.pages: list[tuple] = []
         rng = np.random.default_rng(seed)
@@ -93,14 +97,43 @@ class MTree:
         if len(groups) < 2:
             # all alike (or few): one leaf, nearest to the routing vector first
             by = np.argsort(own, kind="stable")
-            self.pages.append((True, rows[by], own[by], None, None))
+            self.leaves.append((rows[by], np.ascontiguousarray(self.x[rows[by]]), own[by]))
+            self.pages.append((True, centre, len(self.leaves) - 1))
             return len(self.pages) - 1
         centres = np.array([c for c, _ in groups])
         radii = np.array([self._distance(g, c).max() for c, g in groups])
         children = [self._build(g, c, page, fanout, rng) for c, g in groups]
-        self.pages.append((False, centres, self._distance(centres, centre), radii, np.array(children)))
+        flat = np.array([np.sqrt(((self.x[g] - self.x[c]) ** 2).sum(axis=1).max()) for c, g in groups])
+        self.pages.append((False, centres, radii, flat, np.array(children)))
         return len(self.pages) - 1
 
+    def reach(self, q: np.ndarray):
+        """For every query and leaf page: the leaves, the greatest score
+        their covering radii allow, and the distance to the page's routing
+        vector; and the squared lengths that turn scores into distances."""
+        norms = (q * q).sum(axis=1) + self.top
+        length = np.sqrt((q * q).sum(axis=1))
+        pages, bounds, parents = [], [], []
+        todo = [(self.root, np.full(len(q), np.inf), None)]
+        while todo:
+            page, above, d = todo.pop()
+            if self.pages[page][0]:
+                _, centre, leaf = self.pages[page]
+                if d is None:
+                    d = np.sqrt(np.maximum(norms - 2 * (q @ self.x[centre]), 0))
+                pages.append(leaf)
+                bounds.append(above)
+                parents.append(d)
+                continue
+            _, centres, radii, flat, children = self.pages[page]
+            score = q @ self.x[centres].T
+            far = np.sqrt(np.maximum(norms[:, None] - 2 * score, 0))
+            least = np.maximum(far - radii, 0)  # least distance to any entry below
+            most = np.minimum((norms[:, None] - least * least) / 2, score + length[:, None] * flat)
+            for j, child in enumerate(children):
+                todo.append((int(child), np.minimum(above, most[:, j]), far[:, j]))
+        return np.array(pages), np.column_stack(bounds), np.column_stack(parents), norms
+
     def _deal(self, rows, fanout, rng):
         """Routing vectors far from each other, and the rows nearest to each."""
         pool = rng.choice(rows, min(len(rows), 32 * fanout), replace=False)
@@ -129,14 +162,19 @@ class ShardIndex:
         self.computed = 0
         far = long_vectors(q)
         near = Whole(self.rows) if self.rows is not None and far.any() else None
+        short = np.flatnonzero(~far)
+        tree = {}
+        if self.rows is not None and len(short):
+            for j, ids, scores in self._many(query_ids[short], q[short], k):
+                if self.far is None:
+                    yield int(short[j]), ids, scores.astype(np.int64)
+                else:
+                    tree[int(short[j])] = list(zip(map(int, scores), map(int, ids)))
         for i in range(len(q)):
-            own, got = int(query_ids[i]), []
-            if self.rows is not None and not far[i]:
-                ids, scores = self._one(own, q[i], k)
+            own, got = int(query_ids[i]), tree.get(i, [])
+            if not far[i]:
                 if self.far is None:
-                    yield i, ids, scores.astype(np.int64)
                     continue
-                got = list(zip(map(int, scores), map(int, ids)))
             elif near is not None:
                 got = near.best(own, q[i], k)
             if self.far is not None:
@@ -146,40 +184,62 @@ class ShardIndex:
             scores[:] = [s for s, _ in got]
             yield i, np.array([j for _, j in got], np.int64), scores
 
-    def _one(self, own: int, q: np.ndarray, k: int):
-        tree, x = self.tree, self.tree.x
-        norm = float((q * q).sum()) + tree.top
-        slack = 1e-6 * (1 + norm) ** 0.5
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        limit = np.inf  # distance of the k-th best score so far, with slack
-        first = np.sqrt(max(norm - 2 * float(x[tree.root_vector] @ q), 0))
-        queue = [(0.0, tree.root, first)]
-        while queue:
-            least, page, parent = heapq.heappop(queue)
-            if least > limit:
-                break
-            leaf, entries, to_parent, radii, children = tree.pages[page]
-            apart = np.abs(parent - to_parent)
-            near = np.flatnonzero((apart if leaf else apart - radii) <= limit)
-            if not len(near):
-                continue
-            got = x[entries[near]] @ q
-            self.computed += len(near)
-            if leaf:
-                if len(ids) == k:
-                    hit = got >= scores[-1]
-                    near, got = near[hit], got[hit]
-                if len(near):
-                    more_ids, more = self.rows.expand(entries[near], got)
-                    ids, scores = best_rows(np.concatenate([ids, more_ids]), np.concatenate([scores, more]), own, k)
-                    if len(ids) == k:
-                        limit = np.sqrt(max(norm - 2 * scores[-1], 0)) + slack
-                continue
-            d = np.sqrt(np.maximum(norm - 2 * got, 0))
-            low = np.maximum(d - radii[near], 0)
-            for j in np.flatnonzero(low <= limit):
-                heapq.heappush(queue, (max(float(low[j]), least), int(children[near[j]]), float(d[j])))
-        return ids, scores
+    def _many(self, own: np.ndarray, q: np.ndarray, k: int):
+        """(query number, ids, scores) of the k best rows of every query."""
+        tree = self.tree
+        pages, bound, parent, norms = tree.reach(q)
+        self.computed += bound.size
+        slack = 1e-9 * (1 + norms)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        limit = np.full(len(q), -np.inf)  # the k-th best score so far
+        top = np.full((len(q), k), -np.inf)
+        hits: list[tuple] = []
+        open_ = np.arange(len(q))
+        for turn in range(len(pages)):
+            page = order[open_, turn]
+            going = bound[open_, page] + slack[open_] >= limit[open_]  # best first: the others are done
+            open_, page = open_[going], page[going]
+            by = np.argsort(page, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], page[by][1:] != page[by][:-1]])) if len(by) else []
+            for who in np.split(open_[by], cuts[1:]) if len(by) else []:
+                number = order[who[0], turn]
+                rows, x, apart = tree.leaves[pages[number]]
+                # |d(query, routing) - d(entry, routing)| is a least distance
+                far = np.sqrt(np.maximum(norms[who] - 2 * (limit[who] - slack[who]), 0))
+                lo = np.searchsorted(apart, (parent[who, number] - far).min())
+                hi = np.searchsorted(apart, (parent[who, number] + far).max(), side="right")
+                if lo >= hi:
+                    continue
+                score = q[who] @ x[lo:hi].T
+                self.computed += score.size
+                score[self.rows.own(rows[lo:hi], own[who])] = -np.inf
+                new = np.flatnonzero((score >= limit[who, None]).any(axis=1))
+                if not len(new):
+                    continue
+                who, score = who[new], score[new]
+                best = np.concatenate([top[who], score], axis=1)
+                top[who] = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
+                limit[who] = top[who].min(axis=1)
+                at, col = np.nonzero((score >= limit[who, None]) & (score > -np.inf))
+                hits.append((who[at], rows[lo:hi][col], score[at, col]))
+        if hits:
+            who, vector, score = (np.concatenate(h) for h in zip(*hits))
+            last = score >= limit[who]
+            who, vector, score = who[last], vector[last], score[last]
+            n = self.rows.start[vector + 1] - self.rows.start[vector]
+            ids, score = self.rows.expand(vector, score)
+            who = np.repeat(who, n)
+            other = ids != own[who]
+            who, ids, score = who[other], ids[other], score[other]
+            by = np.lexsort((ids, -score, who))
+            who, ids, score = who[by], ids[by], score[by]
+            begin = np.searchsorted(who, np.arange(len(q) + 1))
+            for i in range(len(q)):
+                at = slice(begin[i], min(begin[i] + k, begin[i + 1]))
+                yield i, ids[at], score[at]
+        else:
+            for i in range(len(q)):
+                yield i, np.zeros(0, np.int64), np.zeros(0)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE,
