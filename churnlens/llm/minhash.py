@@ -47,7 +47,7 @@ ERRORS = 2
 #: One class in so many, by hash, is counted to find hot shards.
 SAMPLE = 16
 #: Rows of a shard that one task compares; larger shards are split.
-MAX_ROWS = 32768
+MAX_ROWS = 131_072
 #: Bits of the filter of candidate rows: so many a row, at most so many (8 MB).
 FILTER_BITS = 16
 MOST_FILTER_BITS = 1 << 26
@@ -102,7 +102,7 @@ def plan(n: int, percent: int = PERCENT, miss: float = MISS) -> Plan:
         chunks += 1
         if chunks > 200:
             raise ValueError("similarity limit too low for chunks of this size")
-    prefix = 6
+    prefix = 3
     while prefix < bits - 2 and n * (prefix + 1) >> prefix > 2 * MAX_ROWS:
         prefix += 1
     edges = [1]
