@@ -92,6 +92,20 @@ def matrix(long: DataFrame, value_col: str, row_key: str = "cohort_month", prefi
     return wide(long, value_col, [r["month_index"] for r in seen], row_key, prefix)
 
 
+def cell_lists(long: DataFrame, value_col: str, row_key: str = "cohort_month") -> DataFrame:
+    """The matrix with one schema whatever the data: row key, ``n_months``
+    (largest month index with a cell, plus one) and ``cells``, the values by
+    month index from 0, null where a cell is absent.
+
+    One aggregation of the (small) activity table; a row's cells are at most
+    one per calendar month."""
+    cells = long.filter(F.col("month_index") >= 0).groupBy(row_key).agg(
+        (F.max("month_index") + 1).alias("n_months"),
+        F.map_from_entries(F.collect_list(F.struct("month_index", value_col))).alias("_m"))
+    return cells.select(row_key, "n_months", F.transform(
+        F.sequence(F.lit(0), F.col("n_months") - 1), lambda i: F.try_element_at(F.col("_m"), i)).alias("cells"))
+
+
 def retention_curve(ret: DataFrame, min_size: int = 100, max_index: int = 12,
                     digits: int = 2) -> DataFrame:
     """month_index → unweighted mean retention over cohorts of at least

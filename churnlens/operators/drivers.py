@@ -158,7 +158,8 @@ def spend_buckets(fo: DataFrame, person_col: str, value: str = "price",
     """Repeat rate by quintile of first-item price (right-closed bins)."""
     k = len(labels)
     probs = [i / k for i in range(1, k)]
-    binned = quantile_bin(fo, value, probs, out="bucket", labels=labels,
+    # read twice: only the three columns that are needed are written
+    binned = quantile_bin(fo.select(person_col, "is_repeat", value), value, probs, out="bucket", labels=labels,
                           label_col="spend_bucket")
     rates = rate_by(binned, ["bucket", "spend_bucket"],
                     "is_repeat", person_col,

@@ -14,8 +14,11 @@ produced by a range-partitioned sort instead:
    (lineage is cut: a lost executor cannot re-sample different ranges);
 4. per-partition row counts (one row per partition) give the offsets.
 
-Everything derived from ranks (tiles, exact linear quantiles, quantile
-bins) is then plain column arithmetic or a join against a tiny frame.
+That is what a rank for every row costs.  Quantiles, quantile bins and tiles
+need only a few rows of the order, so they select these
+(:mod:`churnlens.operators.selection`) and never move the rest; the ranking
+remains for unbounded groups, very many tiles and keys without an order
+number.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.operators.selection import Wanted, counts_of, not_before, orderable, select_keys, select_ranks
 from churnlens.session import ensure_checkpoint_dir, materialize
 
 _POS_BITS = 33  # monotonically_increasing_id keeps the in-partition index here
@@ -97,15 +101,40 @@ def tile_of(rank, n, tiles: int) -> Column:
         .otherwise(r + F.ceil((rank - big) / F.when(q > 0, q))).cast("int")
 
 
+#: More tiles than this are taken from a rank for every row.
+MOST_CUTS = 64
+
+
 def ntile_score(df: DataFrame, value_col: str, tiebreak: Sequence[str] | str,
                 tiles: int = 5, out: str = "tile", invert: bool = False,
                 num_partitions: int | None = None, materialized: bool = False) -> DataFrame:
     """Exact ``NTILE(tiles) OVER (ORDER BY value, tiebreak)`` computed in
     parallel; ``invert`` gives ``tiles + 1 - ntile`` (e.g. recency).
-    ``materialized=True``: ``df`` is already a cheap view of a checkpoint.
-    The result is itself a cheap view of a checkpoint."""
-    tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    ranked = global_rank(df, [value_col, *tb], "_rk", num_partitions, materialized=materialized)
+
+    Only the first keys of the tiles are selected and every row is compared
+    with them.  Over ``MOST_CUTS`` tiles, or with keys of a type that has no
+    order number, all rows are ranked instead.  Rows that are equal in value
+    and tiebreak get the same tile.  ``materialized=True``: ``df`` is already
+    a cheap view of a written copy; else it is written once."""
+    keys = [value_col, *([tiebreak] if isinstance(tiebreak, str) else tiebreak)]
+    if tiles > MOST_CUTS or not orderable(df, keys):
+        return _ntile_by_rank(df, keys, tiles, out, invert, num_partitions, materialized)
+    if not materialized:
+        df = materialize(df)
+    n = df.count()
+    q, r = divmod(n, tiles)
+    starts = [i * q + min(i, r) for i in range(1, tiles)]
+    starts = [s for s in starts if s < n]
+    tile = F.lit(1)
+    if starts:
+        for cut in select_keys(df.select(*dict.fromkeys(keys)), keys, starts):
+            tile = tile + not_before(df, keys, cut).cast("int")
+    return df.withColumn(out, (F.lit(tiles + 1) - tile if invert else tile).cast("int"))
+
+
+def _ntile_by_rank(df: DataFrame, keys: list, tiles: int, out: str, invert: bool,
+                   num_partitions: int | None, materialized: bool) -> DataFrame:
+    ranked = global_rank(df, keys, "_rk", num_partitions, materialized=materialized)
     total = ranked.agg(F.count(F.lit(1)).alias("_cnt"))
     tile = tile_of("_rk", "_cnt", tiles)
     if invert:
@@ -119,8 +148,58 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), prefix: str = "q",
                     num_partitions: int | None = None, materialized: bool = False,
                     max_groups: int | None = None) -> DataFrame:
-    return _quantiles(df, value_col, probs, list(by), prefix, num_partitions, materialized,
-                      max_groups)
+    """Linear-interpolated quantiles (``quantile_cont`` / pandas), one row
+    per group of ``by`` with ``{prefix}0..`` and ``n`` (non-null count).
+    Null values and null groups are ignored.
+
+    Without ``by``, or when the caller bounds the number of groups with
+    ``max_groups``, the few ranks are selected; with unbounded groups all
+    rows are ranked."""
+    by = list(by)
+    if by and max_groups is None:
+        return _quantiles(df, value_col, probs, by, prefix, num_partitions, materialized)
+    base = df.select(*by, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    for b in by:
+        base = base.filter(F.col(b).isNotNull())
+    if not materialized:
+        base = materialize(base)
+    groups = [()]
+    if by:
+        groups = [tuple(r) for r in base.select(*by).distinct().limit(max_groups + 1).collect()]
+        if len(groups) > max_groups:
+            return _quantiles(base, "_v", probs, by, prefix, num_partitions, True)
+    filters = []
+    for g in groups:
+        where = None
+        for b, v in zip(by, g):
+            same = F.col(b) == F.lit(v)
+            where = same if where is None else where & same
+        filters.append(where)
+    sizes = [n for _, n in counts_of(base, [("_v", w) for w in filters])] if groups else []
+    wanted: dict[tuple, Wanted] = {}
+    for j, n in enumerate(sizes):
+        for p in probs:
+            low = int((n - 1) * float(p))
+            for rank in {low, min(low + 1, n - 1)} if n else ():
+                wanted[j, rank] = Wanted("_v", rank, filters[j], n)
+    select_ranks(base, list(wanted.values()))
+    rows = []
+    for j, n in enumerate(sizes):
+        if not n and by:
+            continue
+        row = [*groups[j], n]
+        for p in probs:
+            h = (n - 1) * float(p)
+            low = int(h)
+            if not n:
+                row.append(None)
+                continue
+            a, b = wanted[j, low].value, wanted[j, min(low + 1, n - 1)].value
+            row.append(a + (b - a) * (h - low))
+        rows.append(tuple(row))
+    types = [f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by]
+    schema = ", ".join([*types, "n bigint", *[f"{prefix}{i} double" for i in range(len(probs))]])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def approx_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
@@ -216,8 +295,8 @@ def quantile_bins(df: DataFrame, specs: dict[str, str], probs: Sequence[float],
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_var"), F.col(specs[o]).cast("double").alias("_x"))
         for i, o in enumerate(outs)])).alias("_s")).select("_s.*")
-    per_var = _quantiles(long, "_x", probs, ["_var"], "_e", num_partitions, materialized=True,
-                         max_groups=len(outs))
+    per_var = exact_quantiles(long, "_x", probs, ["_var"], "_e", num_partitions, materialized=True,
+                              max_groups=len(outs))
     k = len(probs)
     # one row: edge j of variable i becomes column _e{i}_{j}
     edges = per_var.agg(*[F.max(F.when(F.col("_var") == i, F.col(f"_e{j}"))).alias(f"_e{i}_{j}")

@@ -300,14 +300,21 @@ def q_month_index_distribution(spark, sf_dir):
     return cohort.month_index_distribution(analysis(spark, sf_dir).person_months)
 
 
+def _cells_out(df: DataFrame) -> DataFrame:
+    """Cells as text, ``-`` where absent: comparable as one value."""
+    cell = F.transform("cells", lambda c: F.coalesce(c.cast("string"), F.lit("-")))
+    return df.withColumn("cells", F.array_join(cell, ","))
+
+
 def q_cohort_matrix(spark, sf_dir):
-    return cohort.matrix(cohort.cohort_activity(analysis(spark, sf_dir).person_months), "active_customers")
+    cells = cohort.cell_lists(cohort.cohort_activity(analysis(spark, sf_dir).person_months), "active_customers")
+    return _cells_out(cells)
 
 
 def q_retention_matrix(spark, sf_dir):
     a = analysis(spark, sf_dir)
     long = a.retention.withColumn("retention_pct", F.bround("retention_pct", 2))
-    return cohort.matrix(long, "retention_pct")
+    return _cells_out(cohort.cell_lists(long, "retention_pct"))
 
 
 def q_retention_long(spark, sf_dir):

@@ -349,9 +349,12 @@ def _null_profile() -> str:
   FROM ({missing} UNION ALL {master})"""
 
 
-def _cohort_wide(value: str, src: str) -> str:
-    return (f", b_cells AS (SELECT cohort_month, 'm' || month_index AS cell, {value} AS v FROM {src}) "
-            "PIVOT b_cells ON cell USING max(v) GROUP BY cohort_month")
+def _cohort_cells(value: str, src: str) -> str:
+    return f""", cells AS (SELECT cohort_month, month_index AS i, {value} AS v FROM {src}),
+      spans AS (SELECT cohort_month, CAST(max(i) + 1 AS INTEGER) AS n_months FROM cells GROUP BY 1),
+      places AS (SELECT cohort_month, n_months, unnest(range(n_months)) AS i FROM spans)
+    SELECT p.cohort_month, p.n_months, string_agg(coalesce(CAST(v AS VARCHAR), '-'), ',' ORDER BY p.i) AS cells
+    FROM places p LEFT JOIN cells c ON c.cohort_month = p.cohort_month AND c.i = p.i GROUP BY 1, 2"""
 
 
 def build(P=REGISTERED) -> dict[str, str]:
@@ -433,8 +436,8 @@ def build(P=REGISTERED) -> dict[str, str]:
       FROM {_person_months("b_sql_universe", PERSON, TS, "order_id")} GROUP BY 1, 2"""
     Q["month_index_distribution"] = """SELECT month_index, CAST(sum(n_orders) AS BIGINT) AS n_orders
       FROM b_pm GROUP BY 1"""
-    Q["cohort_matrix"] = _cohort_wide("active_customers", "b_activity")
-    Q["retention_matrix"] = _cohort_wide("round_even(retention_pct, 2)", "b_retention")
+    Q["cohort_matrix"] = _cohort_cells("active_customers", "b_activity")
+    Q["retention_matrix"] = _cohort_cells("round_even(retention_pct, 2)", "b_retention")
     Q["retention_long"] = """SELECT cohort_month, month_index, active_customers, cohort_size,
            round_even(retention_pct, 6) AS retention_pct FROM b_retention"""
     Q["retention_heatmap_data"] = f"""SELECT strftime(cohort_month, '%Y-%m') AS cohort, month_index,

@@ -56,7 +56,8 @@ def type_mismatches(spark_df, description) -> list[str]:
 def compare(spark_df, con, sql: str, check_types: bool = True) -> tuple[bool, str]:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
-    res = con.execute(sql)
+    con.execute("CREATE OR REPLACE VIEW _oracle AS " + sql)  # an oracle must work as a view
+    res = con.execute("SELECT * FROM _oracle")
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):

@@ -71,8 +71,10 @@ def test_first_rows_are_not_sort_aggregated(spark):
 def test_matrix_cells_sum_to_the_activity(spark):
     from churnlens.plans.catalog import QUERIES
     total = QUERIES["cohort_activity"](spark, SF).groupBy().sum("active_customers").first()[0]
-    cells = [v for r in QUERIES["cohort_matrix"](spark, SF).collect() for v in tuple(r)[1:]]
-    assert sum(v or 0 for v in cells) == total
+    rows = QUERIES["cohort_matrix"](spark, SF).collect()
+    cells = [r["cells"].split(",") for r in rows]
+    assert sum(int(v) for row in cells for v in row if v != "-") == total
+    assert [len(row) for row in cells] == [r["n_months"] for r in rows]
 
 
 def test_a_hot_order_is_split(spark):
