@@ -121,13 +121,13 @@ def ntile_score(df: DataFrame, value_col: str, tiebreak: Sequence[str] | str,
         return _ntile_by_rank(df, keys, tiles, out, invert, num_partitions, materialized)
     if not materialized:
         df = materialize(df)
-    n = df.count()
+    (n, known), = counts_of(df, [(value_col, None)])
     q, r = divmod(n, tiles)
     starts = [i * q + min(i, r) for i in range(1, tiles)]
     starts = [s for s in starts if s < n]
     tile = F.lit(1)
     if starts:
-        for cut in select_keys(df.select(*dict.fromkeys(keys)), keys, starts):
+        for cut in select_keys(df.select(*dict.fromkeys(keys)), keys, starts, known):
             tile = tile + not_before(df, keys, cut).cast("int")
     return df.withColumn(out, (F.lit(tiles + 1) - tile if invert else tile).cast("int"))
 

@@ -13,7 +13,7 @@ reaches the driver is one row for each of them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +40,9 @@ class Wanted:
     below: int = 0
     low: float | None = None
     high: float | None = None
-    inside: int = field(default=0)
+    inside: int = 0
+    ties: int = 0  # rows that share the value
+    base: int = 0  # rows below the bracket
 
 
 def order_number(column: str, dtype: DataType) -> Column | None:
@@ -65,17 +67,18 @@ def orderable(df: DataFrame, columns: Sequence[str]) -> bool:
     return all(order_number(c, df.schema[c].dataType) is not None for c in columns)
 
 
-def select_ranks(df: DataFrame, wanted: Sequence[Wanted], inside: int = INSIDE) -> None:
+def select_ranks(df: DataFrame, wanted: Sequence[Wanted], inside: int | None = None) -> None:
     """Fill in ``value`` and ``below`` of every wanted row.  ``n`` must hold
     the exact number of its filter's non-null rows; ranks from ``n`` on are
     nulls.  ``df`` is read once for each narrowing and once at the end."""
+    inside = inside or INSIDE
     todo = []
     for w in wanted:
         if w.rank >= w.n:
             w.value, w.below = None, w.n
         else:
             w.low = w.high = None
-            w.below, w.inside = 0, w.n
+            w.base, w.inside = 0, w.n
             todo.append(w)
     if not todo:
         return
@@ -104,33 +107,36 @@ def select_ranks(df: DataFrame, wanted: Sequence[Wanted], inside: int = INSIDE)
         tries = []
         for w in large:
             points = grids[(w.column, str(w.where), w.low, w.high)]
-            at = (w.rank - w.below) / w.inside * GRID
+            at = (w.rank - w.base) / w.inside * GRID
             tries.append((w, points[max(0, int(at) - 1)], points[min(GRID, int(at) + 2)]))
         counts = df.agg(*[c for i, (w, low, high) in enumerate(tries) for c in (
             F.count_if(F.coalesce(held(w) & (numbers[w.column] < low), F.lit(False))).alias(f"b{i}"),
             F.count_if(F.coalesce(held(w) & numbers[w.column].between(low, high), F.lit(False))).alias(f"i{i}"))]).first()
         moved = False
         for i, (w, low, high) in enumerate(tries):
-            below, n = w.below + counts[f"b{i}"], counts[f"i{i}"]
+            below, n = w.base + counts[f"b{i}"], counts[f"i{i}"]
             if below <= w.rank < below + n and n < w.inside:
-                w.below, w.inside, w.low, w.high = below, n, low, high
+                w.base, w.inside, w.low, w.high = below, n, low, high
                 moved = True
         if not moved:
             break  # nothing left to narrow: one value, or one number for many values
-    places = F.array(*[F.when(F.coalesce(held(w), F.lit(False)), F.lit(i)) for i, w in enumerate(todo)])
-    # wanted rows of one column and bracket share their rows
-    out: dict[int, tuple] = {}
+    # wanted rows of one filter, column and bracket are read off one histogram
+    kinds = {}
+    for w in todo:
+        kinds.setdefault((w.column, str(w.where), w.low, w.high), []).append(w)
     for column in numbers:
-        mine = [i for i, w in enumerate(todo) if w.column == column]
-        rows = (df.select(F.col(column).alias("v"), F.explode(F.array_compact(places)).alias("i"))
-                .filter(F.col("i").isin(mine)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")))
+        mine = [ws for key, ws in kinds.items() if key[0] == column]
+        places = [F.when(F.coalesce(held(ws[0]), F.lit(False)), F.lit(i)) for i, ws in enumerate(mine)]
+        place = places[0] if len(mine) == 1 else F.explode(F.array_compact(F.array(*places)))
+        rows = (df.select(F.col(column).alias("v"), place.alias("i")).filter("i is not null")
+                .groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")))
         upto = F.sum("c").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        rank = F.element_at(F.array(*[F.lit(w.rank - w.below) for w in todo]), F.col("i") + 1)
-        hit = rows.withColumn("u", upto).filter((F.col("u") > rank) & (F.col("u") - F.col("c") <= rank))
-        out |= {r["i"]: (r["v"], r["u"] - r["c"]) for r in hit.select("i", "v", "u", "c").collect()}
-    for i, w in enumerate(todo):
-        value, before = out[i]
-        w.value, w.below = value, w.below + before
+        ranks = F.element_at(F.array(*[F.array(*[F.lit(w.rank - w.base) for w in ws]) for ws in mine]), F.col("i") + 1)
+        hit = rows.withColumn("u", upto).filter(F.exists(ranks, lambda r: (F.col("u") > r) & (F.col("u") - F.col("c") <= r)))
+        for r in hit.select("i", "v", "u", "c").collect():
+            for w in mine[r["i"]]:
+                if r["u"] - r["c"] <= w.rank - w.base < r["u"]:
+                    w.value, w.below, w.ties = r["v"], w.base + r["u"] - r["c"], r["c"]
 
 
 def counts_of(df: DataFrame, pairs: Sequence[tuple[str, Column | None]]) -> list[tuple[int, int]]:
@@ -144,30 +150,39 @@ def counts_of(df: DataFrame, pairs: Sequence[tuple[str, Column | None]]) -> list
     return [(row[f"n{i}"], row[f"v{i}"]) for i in range(len(pairs))]
 
 
-def select_keys(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], inside: int = INSIDE) -> list[tuple]:
+def select_keys(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], known: int | None = None,
+                inside: int | None = None) -> list[tuple]:
     """The key tuples at 0-based ranks of ``df`` ordered by ``keys`` (nulls
     last): the first key's value at a rank, then, only among rows that share
-    it, the next key's."""
+    it, the next key's.  A rank that begins a tie, or has none, needs no
+    further key: its tuple is shorter.  ``known``: non-null rows of the first
+    key."""
     found: list[list] = [[] for _ in ranks]
-    left, where = list(ranks), [None] * len(ranks)
-    for column in keys:
+    left, where, open_ = list(ranks), [None] * len(ranks), list(range(len(ranks)))
+    for level, column in enumerate(keys):
         # cuts inside one tie share its filter
-        names = list(dict.fromkeys(str(w) for w in where))
-        filters = {str(w): w for w in where}
-        n = dict(zip(names, counts_of(df, [(column, filters[s]) for s in names])))
-        wanted = [Wanted(column, left[i], where[i], n[str(where[i])][1]) for i in range(len(ranks))]
-        select_ranks(df, wanted, inside)
+        filters = {str(where[i]): where[i] for i in open_}
+        if level == 0 and known is not None:
+            n = {str(None): (known, known)}
+        else:
+            n = dict(zip(filters, counts_of(df, [(column, w) for w in filters.values()])))
+        wanted = {i: Wanted(column, left[i], where[i], n[str(where[i])][1]) for i in open_}
+        select_ranks(df, list(wanted.values()), inside)
         dtype = df.schema[column].dataType
-        for i, w in enumerate(wanted):
+        for i, w in wanted.items():
             found[i].append(w.value)
             left[i] -= w.below
             same = F.col(column).eqNullSafe(F.lit(w.value).cast(dtype))
             where[i] = same if where[i] is None else where[i] & same
+        open_ = [i for i in open_ if left[i]]
+        if not open_:
+            break
     return [tuple(f) for f in found]
 
 
 def not_before(df: DataFrame, keys: Sequence[str], cut: Sequence) -> Column:
-    """Whether a row's keys are at or after ``cut`` (ascending, nulls last)."""
+    """Whether a row's keys are at or after ``cut`` (ascending, nulls last;
+    a shorter tuple compares its keys only)."""
     after = F.lit(True)
     for column, value in reversed(list(zip(keys, cut))):
         c, v = F.col(column), F.lit(value).cast(df.schema[column].dataType)
