@@ -15,6 +15,7 @@ bigint.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cached_property
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions.rounding import money_avg
-from churnlens.operators import cohort, drivers, master, profile, rates, rfm
+from churnlens.functions.dates import month_start
+from churnlens.operators import cohort, drivers, keys, master, profile, ranksum, rates, rfm, sketches, survival
 from churnlens.operators.ranking import first_row_per_key
 from churnlens.plans.params import REGISTERED
-from churnlens.session import delete_path, materialize, write_stage
+from churnlens.session import delete_path, ensure_checkpoint_dir, materialize, write_stage
 from churnlens.sources.testdata import TestTables
 
 PERSON = "customer_unique_id"
@@ -166,7 +168,13 @@ def q_null_profile(spark, sf_dir):
 
 def q_duplicate_rows(spark, sf_dir):
     t = TestTables(spark, sf_dir)
-    return profile.union_all([profile.duplicate_rows(df, name) for name, df in t.all().items()])
+    return profile.union_all([keys.duplicate_rows_by_hash(df, name) for name, df in t.all().items()])
+
+
+def q_key_report(spark, sf_dir):
+    """Every declared key and reference: rows, nulls, distinct values,
+    repeated keys, orphans."""
+    return keys.key_report(TestTables(spark, sf_dir).all())
 
 
 def q_key_uniqueness(spark, sf_dir):
@@ -287,6 +295,26 @@ def q_orders_per_customer(spark, sf_dir):
         .withColumn("order_value", F.col("order_value").cast("double"))
 
 
+def q_second_purchase_survival(spark, sf_dir):
+    """Product-limit curve of the days from a person's first to the second
+    delivered order, censored a day after the last purchase."""
+    orders = analysis(spark, sf_dir).orders_per_customer
+    if not analysis(spark, sf_dir).share:
+        orders = materialize(orders.select(PERSON, TS, "order_id"))  # read twice: snapshot, events
+    snapshot = rfm.snapshot_after_last(orders, TS)
+    return survival.survival_curve(survival.time_to_kth(orders, PERSON, TS, "order_id", snapshot))
+
+
+def q_monthly_shared_customers(spark, sf_dir):
+    """Customers by month of purchase and those who buy again in the next
+    month, from stored set sketches (exact up to 65,536 a month)."""
+    orders = TestTables(spark, sf_dir).orders().join(
+        TestTables(spark, sf_dir).customers().select("customer_id", PERSON), "customer_id")
+    months = orders.select(month_start(TS).alias("order_month"), PERSON, "order_id")
+    stored = write_stage(sketches.period_sketches(months, "order_month", {"orders": "order_id"}, PERSON))
+    return sketches.shared_with_next(stored, "order_month", lambda m: F.add_months(m, 1))
+
+
 def q_cohort_sizes(spark, sf_dir):
     return cohort.cohort_sizes(analysis(spark, sf_dir).person_months)
 
@@ -500,6 +528,32 @@ def q_spend_bucket_retention(spark, sf_dir):
     return drivers.spend_buckets(analysis(spark, sf_dir).first_orders, PERSON)
 
 
+def q_estimate_rank_sum(spark, sf_dir):
+    """Delivery against the estimate, repeat against one-time customers:
+    rank-sum statistic and the share delivered late."""
+    out = ranksum.rank_sum(analysis(spark, sf_dir).first_orders.select("days_vs_estimate", "is_repeat"),
+                           "days_vs_estimate", "is_repeat")
+    return out.withColumnsRenamed({"n_true": "n_repeat", "n_false": "n_one_time", "positive_pct_true": "late_repeat_pct",
+                                   "positive_pct_false": "late_one_time_pct"})
+
+
+def q_published_outputs(spark, sf_dir):
+    """All hand-over files of a run, written, published and read back: rows
+    and the sum of one measure of each file."""
+    from churnlens.plans import outputs
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/published-{uuid.uuid4().hex}"
+    outputs.run_outputs(spark, sf_dir, path)
+    manifest = outputs.published(spark, path)
+    measure = {"master_delivered": "price", "rfm_segmentation": "monetary", "segment_summary": "total_monetary",
+               "first_orders_analysis": "price"}
+    return profile.union_all([
+        outputs.read_output(spark, path, name, fmt, manifest).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.col(measure.get(name, "total_customers")).cast("decimal(18,2)")).cast("double").alias("total"))
+        .select(F.lit(name).alias("output"), F.lit(fmt).alias("format"), "n_rows", "total")
+        for name, table in manifest["tables"].items() for fmt in table["formats"]])
+
+
 def q_spend_extremes(spark, sf_dir):
     buckets = drivers.spend_buckets(analysis(spark, sf_dir).first_orders, PERSON)
     return rates.extremes(buckets, "bucket", 1, 5, low_name="lowest_bucket_pct",
@@ -544,6 +598,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_profile": q_null_profile,
     "duplicate_rows": q_duplicate_rows,
     "key_uniqueness": q_key_uniqueness,
+    "key_report": q_key_report,
     "status_breakdown": q_status_breakdown,
     "missing_price_status": q_missing_price_status,
     "purchase_distribution": q_purchase_distribution,
@@ -558,6 +613,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "master_delivered": q_master_delivered,
     "master_drop_report": q_master_drop_report,
     "orders_per_customer": q_orders_per_customer,
+    "second_purchase_survival": q_second_purchase_survival,
+    "monthly_shared_customers": q_monthly_shared_customers,
     "cohort_sizes": q_cohort_sizes,
     "cohort_activity": q_cohort_activity,
     "cohort_activity_sql": q_cohort_activity_sql,
@@ -592,6 +649,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_top_bottom": q_category_top_bottom,
     "spend_bucket_retention": q_spend_bucket_retention,
     "spend_extremes": q_spend_extremes,
+    "estimate_rank_sum": q_estimate_rank_sum,
+    "published_outputs": q_published_outputs,
     "events_repeat_rate": q_events_repeat_rate,
     "events_cohort_activity": q_events_cohort_activity,
     "events_cohort_activity_stream": q_events_cohort_activity_stream,

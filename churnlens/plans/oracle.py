@@ -357,6 +357,29 @@ def _cohort_cells(value: str, src: str) -> str:
     FROM places p LEFT JOIN cells c ON c.cohort_month = p.cohort_month AND c.i = p.i GROUP BY 1, 2"""
 
 
+# (table, column, referenced table, its key); no reference: a primary key
+DECLARED = [
+    ("customers", "customer_id", None, None), ("orders", "order_id", None, None),
+    ("products", "product_id", None, None), ("sellers", "seller_id", None, None),
+    ("category_translation", "product_category_name", None, None),
+    ("orders", "customer_id", "customers", "customer_id"), ("order_items", "order_id", "orders", "order_id"),
+    ("order_items", "product_id", "products", "product_id"), ("order_items", "seller_id", "sellers", "seller_id"),
+    ("order_payments", "order_id", "orders", "order_id"), ("order_reviews", "order_id", "orders", "order_id"),
+    ("products", "product_category_name", "category_translation", "product_category_name"),
+]
+
+
+def _key_row(table: str, key: str, parent: str | None, parent_key: str | None) -> str:
+    src = _logical(table)
+    orphans = (f"(SELECT count(*) FROM {src} c WHERE {key} IS NOT NULL AND NOT EXISTS "
+               f"(SELECT 1 FROM {_logical(parent)} p WHERE p.{parent_key} = c.{key}))" if parent else "CAST(NULL AS BIGINT)")
+    return f"""SELECT '{table}' AS table_name, '{key}' AS key_column,
+           {f"'{parent}'" if parent else "CAST(NULL AS VARCHAR)"} AS refers_to, count(*) AS n_rows,
+           count(*) - count({key}) AS n_null, count(DISTINCT {key}) AS n_distinct,
+           (SELECT count(*) FROM (SELECT {key} FROM {src} WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1))
+             AS n_duplicate_keys, {orphans} AS n_orphans FROM {src}"""
+
+
 def build(P=REGISTERED) -> dict[str, str]:
     """All oracle queries for one set of thresholds."""
     Q: dict[str, str] = {}
@@ -372,6 +395,36 @@ def build(P=REGISTERED) -> dict[str, str]:
     Q["key_uniqueness"] = """SELECT count(*) AS n_rows, count(DISTINCT customer_id) AS n_ids,
            count(DISTINCT customer_unique_id) AS n_persons,
            count(*) - count(DISTINCT customer_unique_id) AS rows_minus_persons FROM b_customers"""
+    Q["key_report"] = "\nUNION ALL\n".join(_key_row(*k) for k in DECLARED)
+    Q["second_purchase_survival"] = """, placed AS (
+        SELECT customer_unique_id, order_purchase_timestamp AS ts,
+               row_number() OVER (PARTITION BY customer_unique_id ORDER BY order_purchase_timestamp, order_id) AS r
+        FROM b_opc),
+      ends AS (SELECT max(ts) + INTERVAL 1 DAY AS snap FROM placed),
+      per AS (SELECT min(ts) AS t1, max(ts) FILTER (WHERE r = 2) AS t2 FROM placed WHERE r <= 2
+              GROUP BY customer_unique_id),
+      days AS (SELECT CAST(floor(date_diff('microsecond', t1, coalesce(t2, snap)) / 86400000000.0) AS BIGINT) AS day,
+                      count(t2) AS events, count(*) - count(t2) AS censored FROM per, ends GROUP BY 1),
+      risk AS (SELECT *, CAST(sum(events + censored) OVER (ORDER BY day DESC) AS BIGINT) AS at_risk FROM days)
+    SELECT day, at_risk, events, censored,
+           round(product(1.0 - events / at_risk) OVER (ORDER BY day), 6) AS survival FROM risk"""
+    Q["monthly_shared_customers"] = """, m AS (
+        SELECT DISTINCT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS order_month, customer_unique_id
+        FROM b_orders JOIN b_customers USING (customer_id))
+    SELECT a.order_month, count(*) AS persons, count(b.customer_unique_id) AS shared_with_next
+    FROM m a LEFT JOIN m b ON b.customer_unique_id = a.customer_unique_id
+                          AND b.order_month = CAST(a.order_month + INTERVAL 1 MONTH AS DATE) GROUP BY 1"""
+    Q["estimate_rank_sum"] = """, v AS (
+        SELECT days_vs_estimate AS v, is_repeat AS f,
+               rank() OVER (ORDER BY days_vs_estimate) + (count(*) OVER (PARTITION BY days_vs_estimate) - 1) / 2.0 AS r
+        FROM b_fo WHERE days_vs_estimate IS NOT NULL AND is_repeat IS NOT NULL),
+      s AS (SELECT count(*) FILTER (WHERE f) AS a, count(*) FILTER (WHERE NOT f) AS b, sum(r) FILTER (WHERE f) AS ra,
+                   count(*) FILTER (WHERE f AND v > 0) AS la, count(*) FILTER (WHERE NOT f AND v > 0) AS lb FROM v),
+      t AS (SELECT sum(CAST(n AS DOUBLE) * n * n - n) AS ties FROM (SELECT count(*) AS n FROM v GROUP BY v.v))
+    SELECT a AS n_repeat, b AS n_one_time, CAST(ra - a * (a + 1) / 2.0 AS DOUBLE) AS u,
+           round((ra - a * (a + 1) / 2.0 - a * b / 2.0)
+                 / sqrt(CAST(a AS DOUBLE) * b / 12 * (a + b + 1 - ties / (CAST(a + b AS DOUBLE) * (a + b - 1)))), 6) AS z,
+           round(la * 100.0 / a, 6) AS late_repeat_pct, round(lb * 100.0 / b, 6) AS late_one_time_pct FROM s, t"""
     Q["status_breakdown"] = _value_counts("b_master", "order_status")
     Q["missing_price_status"] = _value_counts("b_master", "order_status", "price IS NULL")
     Q["purchase_distribution"] = f"""SELECT order_count, n_customers,
@@ -568,6 +621,17 @@ def build(P=REGISTERED) -> dict[str, str]:
                 "half_up")} AS repeat_rate_pct
       FROM flagged GROUP BY category HAVING count(customer_unique_id) >= {P.category_min_customers}"""
     Q["spend_bucket_retention"] = "SELECT * FROM b_spend"
+    measures = {"master_delivered": ("master_delivered", "price", "parquet csv"),
+                "rfm_segmentation": ("rfm_scores_qcut", "monetary", "parquet csv"),
+                "segment_summary": ("rfm_segments_qcut", "total_monetary", "csv"),
+                "first_orders_analysis": ("first_orders", "price", "parquet"),
+                "review_retention": ("review_retention", "total_customers", "csv"),
+                "category_retention": ("category_retention_nb", "total_customers", "csv"),
+                "spend_retention": ("spend_bucket_retention", "total_customers", "csv")}
+    Q["published_outputs"] = "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS output, '{fmt}' AS format, count(*) AS n_rows, "
+        f"CAST(sum(CAST({col} AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM ({Q[key]})"
+        for name, (key, col, formats) in measures.items() for fmt in formats.split())
     Q["spend_extremes"] = """SELECT lowest_bucket_pct, highest_bucket_pct,
            round_even(highest_bucket_pct / NULLIF(lowest_bucket_pct, 0), 2) AS high_over_low
       FROM (SELECT max(CASE WHEN bucket = 1 THEN repeat_rate_pct END) AS lowest_bucket_pct,
