@@ -98,6 +98,16 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict], schema: str,
     return base.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 
 
+def keep_texts(docs: DataFrame, test: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts pass ``test`` (a list of texts to
+    booleans), with all columns as they were: columns go by place, so that
+    no name clashes with the mark."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    marked = map_texts(docs.toDF(*names), lambda texts: {"pass": pa.array(np.asarray(test(texts), bool))},
+                       "pass boolean", names, names[docs.columns.index(text)])
+    return marked.filter("pass").select(*names).toDF(*docs.columns)
+
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 SLAB_CHARS = 1 << 20
 

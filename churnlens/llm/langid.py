@@ -7,13 +7,14 @@ averaged over the whole text and a linear softmax gives the language.  The
 model also has a class "none", learned from the same texts with their letters
 shuffled, so that a text like none of the languages gets a low score even
 where one language is known.  It is trained by stochastic gradient descent
-in numpy on a bounded sample of labelled texts (``per_lang`` rows of each language, the first
-``train_chars`` characters of each row).  Every language is learned; where
+in numpy on a bounded sample of labelled texts (``per_lang`` rows of each language,
+``train_chars`` characters of each row from a place drawn by hash).  Every language is learned; where
 ``per_lang`` rows of each are more than ``max_rows``, fewer rows of each are
 taken, but one at least.  A temperature and the rejection threshold come from a part of the
 sample that training does not see: ``ACCEPT`` of its rightly named windows
 (whole texts and parts of 16 to 119 characters) stay, a text that scores
-lower is rejected.
+lower is rejected.  Of four or fewer texts none can be held out: temperature
+and threshold then come from the training windows.
 
 Since the average is linear, embedding and output layer are folded into one
 table (bucket -> language logits) before it is sent to the tasks.
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import id_crc, map_texts, table
+from churnlens.llm.common import id_crc, keep_texts, map_texts, stage, table
 
 UNDETERMINED = "und"
 #: Share of the rightly named held-out windows whose score is not rejected.
@@ -196,21 +197,36 @@ def training_sample(docs: DataFrame, eligible: Column, per_lang: int, max_rows:
                     train_chars: int, key: str = "doc_id") -> DataFrame:
     """Labelled texts of every language, chosen by the hash of their id: at
     most ``per_lang`` of each, fewer where all languages' together would be
-    more than ``max_rows``, one of each at least."""
-    rows = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()
-                       & F.col(key).isNotNull())
-    langs = rows.select("lang").distinct().count()
+    more than ``max_rows``, one of each at least; of each ``train_chars``
+    characters from a place drawn by hash anywhere in the text.
+
+    A language's rows are first thinned by a hash limit that leaves about
+    four times as many as are taken, so a language's task ranks few rows
+    however many it has.  Where the limit leaves too few (repeated ids, null
+    texts), all rows of that language are ranked.
+    """
+    rows = docs.filter(eligible & F.col("lang").isNotNull() & F.col(key).isNotNull())
+    counts = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_all")))
+    langs = counts.count()
     take = max(1, min(per_lang, max_rows // max(langs, 1)))
-    first = Window.partitionBy("lang").orderBy("_h", key)
-    ids = (rows.select("lang", key, F.xxhash64(F.col(key)).alias("_h"))
-           .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= take)
-           .select("lang", key).distinct())
-    # ids: at most take rows a language; repeated ids of it are cut once more
-    again = Window.partitionBy("lang").orderBy("_h", key, "text")
-    return (rows.join(F.broadcast(ids), ["lang", key], "left_semi")
-            .select(key, "lang", F.substring("text", 1, train_chars).alias("text"), F.xxhash64(key, "text").alias("_h"))
-            .withColumn("_n", F.row_number().over(again)).filter(F.col("_n") <= take)
-            .orderBy("_h", key, "lang").drop("_h", "_n"))
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40))
+    share = F.least(F.lit(1.0), (4 * take + 40) / F.col("_all"))
+    first = Window.partitionBy("lang").orderBy("_h", key, "text")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return (some.filter(F.col("text").isNotNull()).select("lang", key, F.col("text").cast("string").alias("text"),
+                                                               place.alias("_h"))
+                .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= take))
+
+    thin = stage(ranked(rows.join(counts, "lang").filter(place < share * (1 << 40))))
+    got = thin.groupBy("lang").agg(F.count(F.lit(1)).alias("_got"))
+    short = stage(counts.join(got, "lang", "left")
+                  .filter(F.coalesce("_got", F.lit(0)) < F.least(F.lit(take), F.col("_all"))).select("lang"))
+    if not short.isEmpty():
+        thin = thin.join(short, "lang", "left_anti").unionByName(ranked(rows.join(short, "lang", "left_semi")))
+    begin = 1 + F.pmod(F.xxhash64(key, "text"), F.greatest(F.length("text") - (train_chars - 1), F.lit(1)))
+    return (thin.select(key, "lang", F.col("text").substr(begin.cast("int"), F.lit(train_chars)).alias("text"))
+            .orderBy(F.xxhash64(key, "text"), key, "lang"))
 
 
 def fit_language_model(docs: DataFrame, eligible: Column | None = None, per_lang: int = 800,
@@ -226,7 +242,9 @@ def identify_language(docs: DataFrame, model: LangModel, keep: list[str]) -> Dat
     """Add lang_pred, score and rejected to the ``keep`` columns.
 
     Null text, empty text or text without a letter: `und`, score 0,
-    rejected.  With no training rows every text is `und`.
+    rejected.  With no training rows every text is `und`.  Repeated rows are
+    judged each, texts of any length whole; an empty table gives no rows;
+    ``keep`` columns that have a new column's name are left out.
     """
     return map_texts(docs, model.predict, "lang_pred string, score double, rejected boolean", keep)
 
@@ -242,8 +260,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: keep the documents whose language is recognised."""
+    """Pipeline stage: keep the documents whose language is recognised.
+    Null, empty and letterless texts go; repeated rows are kept or go
+    together; all columns, whatever their names, come back as they were; an
+    empty table gives no rows."""
     model = fit_language_model(docs)
-    marked = map_texts(docs, lambda texts: {"_rejected": model.predict(texts)["rejected"]},
-                       "_rejected boolean", docs.columns)
-    return marked.filter("not _rejected").select(*docs.columns)
+    return keep_texts(docs, lambda texts: ~np.asarray(model.predict(texts)["rejected"], bool))

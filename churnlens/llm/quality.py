@@ -8,8 +8,11 @@ document may hold good lines).  A document's quality is the length-weighted
 mean of its lines' forward-backward marginals, mapped to a probability by a
 logistic curve fitted on the training documents.
 
-The training sample is bounded by ``max_docs`` documents and
-``max_lines`` lines of each.
+The training sample is bounded by ``max_docs`` documents, half of them of
+each label where there are as many (scores weigh both labels alike, so a rare
+label counts), and by ``max_lines`` lines of each: a run of lines that begins
+at a place drawn by the text's hash, with the features they have in the whole
+text.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import id_crc, map_texts, slices, table
+from churnlens.llm.common import id_crc, keep_texts, map_texts, slices, table
 
 THRESHOLD = 0.3
 
@@ -98,12 +101,14 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
 
 
-def forward_backward(unary: np.ndarray, pair: np.ndarray, n_lines: np.ndarray, edges: bool = False):
+def forward_backward(unary: np.ndarray, pair: np.ndarray, n_lines: np.ndarray, edges: bool = False,
+                     weight: np.ndarray | None = None):
     """Line marginals of two-state chains of different lengths.
 
     ``unary`` (all lines, 2) holds the chains one after another, ``pair``
     (2, 2) the transition weights; the chains advance together, a step a
-    line.  With ``edges`` also the expected transition counts.
+    line.  With ``edges`` also the expected transition counts (a transition
+    counts with the ``weight`` of its first line) and those first lines.
     """
     start = np.cumsum(n_lines) - n_lines
     order = np.argsort(-n_lines, kind="stable")
@@ -129,7 +134,8 @@ def forward_backward(unary: np.ndarray, pair: np.ndarray, n_lines: np.ndarray, e
     inner[start + n_lines - 1] = False
     a = np.flatnonzero(inner)
     joint = fwd[a][:, :, None] + pair[None] + (unary[a + 1] + bwd[a + 1])[:, None, :] - norm[a][:, None, None]
-    return marginal, np.exp(joint).sum(axis=0), a
+    joint = np.exp(joint) if weight is None else np.exp(joint) * weight[a][:, None, None]
+    return marginal, joint.sum(axis=0), a
 
 
 @dataclass
@@ -161,19 +167,24 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def chain_gradient(theta, x, y, weight, n_lines, ridge: float):
+    """Gradient of the chains' log-likelihoods, each weighted alike in all
+    its terms (``weight`` is constant within a chain), over the weights' sum,
+    less a ridge of ``ridge / 2`` times the squared parameters."""
+    w, pair = theta[:-4], theta[-4:].reshape(2, 2)
+    marginal, joint, a = forward_backward(
+        np.column_stack([np.zeros(len(x)), x @ w]), pair, n_lines, edges=True, weight=weight)
+    target = np.column_stack([1 - y, y])
+    seen = np.einsum("n,ni,nj->ij", weight[a], target[a], target[a + 1])
+    return np.concatenate([x.T @ (weight * (y - marginal[:, 1])), (seen - joint).ravel()]) / weight.sum() - ridge * theta
+
+
 def _fit_chain(x, y, weight, n_lines, rounds: int, ridge: float):
     """Gradient ascent (Adam) on the weighted conditional likelihood."""
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    target = np.column_stack([1 - y, y])
-    total = weight.sum()
     for step in range(1, rounds + 1):
-        w, pair = theta[:-4], theta[-4:].reshape(2, 2)
-        marginal, joint, a = forward_backward(
-            np.column_stack([np.zeros(len(x)), x @ w]), pair, n_lines, edges=True)
-        seen = np.einsum("ni,nj->ij", target[a], target[a + 1])
-        grad = np.concatenate([x.T @ (weight * (y - marginal[:, 1])) / total,
-                               (seen - joint).ravel() / len(x)]) - ridge * theta
+        grad = chain_gradient(theta, x, y, weight, n_lines, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return theta[:-4], theta[-4:].reshape(2, 2)
@@ -212,31 +223,46 @@ def _fit_curve(mean: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 1e-3)), float(b[1])
 
 
+def training_labels(labels: DataFrame, eligible: Column | None, max_docs: int) -> DataFrame:
+    """(doc_id, quality) of at most ``max_docs`` documents, chosen by the
+    hash of their id, half of each label (fewer where a label has fewer).
+    Repeated labels of one id count as their rounded mean."""
+    known = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+             .filter(F.lit(True) if eligible is None else eligible)
+             .groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality")))
+    half = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
+            for q in (0, 1)]
+    return half[0].union(half[1])
+
+
 def fit_quality_model(docs: DataFrame, labels: DataFrame, eligible: Column | None = None,
                       max_docs: int = 2000, max_lines: int = 256, **options) -> QualityModel:
-    """Train on at most ``max_docs`` labelled documents (by the hash of their
-    id), the first ``max_lines`` lines of each.  Repeated labels of one id
-    count as their rounded mean."""
-    chosen = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-              .filter(F.lit(True) if eligible is None else eligible)
-              .groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+    """Train on at most ``max_docs`` labelled documents and ``max_lines``
+    lines of each (see the module's text).  Of rows with one id the one of
+    the least text hash is taken.  Without rows of both labels every score is
+    the share of good ones."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = (docs.select("doc_id", body.alias("text")).join(F.broadcast(chosen), "doc_id")
-            .select("quality", F.array_join(F.slice(F.split("text", "\n"), 1, max_lines), "\n").alias("text")))
+    one = Window.partitionBy("doc_id").orderBy("h", "text")
+    # at most max_docs ids: bounded broadcast
+    rows = (docs.select("doc_id", body.alias("text"))
+            .join(F.broadcast(training_labels(labels, eligible, max_docs)), "doc_id")
+            .withColumn("h", F.xxhash64("text")).withColumn("r", F.row_number().over(one)).filter("r = 1")
+            .select("quality", "h", "text"))
 
     def features(batches):
         for batch in batches:
             for part, texts in slices(batch):
                 x, size, n = line_features(texts)
-                cut = np.concatenate([[0], np.cumsum(n)])
+                begin = np.cumsum(n) - n
+                begin = begin + part.column(1).to_numpy() % np.maximum(n - max_lines + 1, 1)
+                end = begin + np.minimum(n, max_lines)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0),
-                    pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
-                    pa.array([size[i:j].astype(np.int64).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                    pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(begin, end)], pa.binary()),
+                    pa.array([size[i:j].astype(np.int64).tobytes() for i, j in zip(begin, end)], pa.binary()),
                 ], names=["quality", "x", "size"])
 
-    got = rows.mapInArrow(features, "quality int, x binary, size binary").limit(max_docs).collect()
+    got = rows.mapInArrow(features, "quality int, x binary, size binary").collect()
     got.sort(key=lambda r: (r["quality"], bytes(r["x"])))
     size = [np.frombuffer(r["size"], np.int64) for r in got]
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in got]
@@ -249,7 +275,10 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, eligible: Column | Non
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str],
                   threshold: float = THRESHOLD) -> DataFrame:
     """Add score (0 to 1) and predicted (1 where score >= threshold) to the
-    ``keep`` columns.  A null or empty text is one empty line."""
+    ``keep`` columns.  A null or empty text is one empty line; repeated rows
+    are scored each; an empty table gives no rows; texts of any length are
+    scored whole, a slice of texts at a time.  ``keep`` columns that have a
+    new column's name are left out."""
     def run(texts):
         s = model.score(texts)
         return {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= threshold).astype(np.int32))}
@@ -268,8 +297,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: keep the documents that the chain predicts as good."""
+    """Pipeline stage: keep the documents that the chain predicts as good.
+    Null and empty texts are judged as one empty line; repeated rows are kept
+    or go together; all columns, whatever their names, come back as they
+    were; an empty table gives no rows."""
     model = fit_quality_model(docs, table(spark, sf_dir, "labels"))
-    marked = map_texts(docs, lambda texts: {"_good": pa.array(model.score(texts) >= THRESHOLD)},
-                       "_good boolean", docs.columns)
-    return marked.filter("_good").select(*docs.columns)
+    return keep_texts(docs, lambda texts: model.score(texts) >= THRESHOLD)
