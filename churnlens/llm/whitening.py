@@ -239,8 +239,9 @@ def whitened(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     """
     spark = rows.sparkSession
     entry = F.col(vector).cast("array<double>")
+    # (non-finite entries are null here: the optimizer may compute this before the filter)
     whole = F.transform(entry, lambda c: F.when(F.abs(c) < F.lit(2.0 ** 56), F.floor(c * SCALE) + SHIFT)
-                        .otherwise(F.raise_error(F.lit("an entry is beyond a long")).cast("long")))
+                        .when(F.abs(c) < F.lit(float("inf")), F.raise_error(F.lit("an entry is beyond a long")).cast("long")))
     base = rows.filter(finite(vector)).select(F.col(id_col).alias("id"), whole.alias("x"))
     lengths = base.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     usual = lengths.orderBy(F.desc("n"), F.desc("d")).first()

@@ -29,7 +29,7 @@ def test_stages_on_edge_cases(spark, edge, nothing):
 def test_registered(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op") and "_" in n and n[2].isdigit()]
-    assert len(names) == 10 and "pipeline" in entry.queries()
+    assert len(names) == 13 and "pipeline" in entry.queries()
 
 
 def test_the_rest_does_not_import_this_subpackage():
