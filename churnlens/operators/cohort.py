@@ -16,28 +16,42 @@ from pyspark.sql import functions as F
 from churnlens.functions.dates import month_diff, month_start
 
 
-def person_months(orders: DataFrame, person_col: str, ts_col: str,
-                  order_col: str | None = None, grain: str = "month") -> DataFrame:
-    """person, order_month, n_orders, cohort_month, month_index.
-
-    ``n_orders`` counts distinct ``order_col`` values (or rows).  With
-    ``grain="week"`` the periods are weeks that begin on Mondays (the column
-    names stay)."""
+def person_periods(orders: DataFrame, person_col: str, ts_col: str, order_col: str | None = None,
+                   value_col: str | None = None, grain: str = "month") -> DataFrame:
+    """One row per (person, period): person, order_month, ``n_orders``
+    (distinct ``order_col`` values, or rows) and, with ``value_col``, the
+    period's last_purchase and order_value.  Rows with a null person or time
+    take no part.
+
+    With ``grain="week"`` the periods are weeks that begin on Mondays (the
+    column names stay)."""
     if grain not in ("month", "week"):
         raise ValueError(grain)
     start = month_start(ts_col) if grain == "month" else F.to_date(F.date_trunc("week", F.col(ts_col)))
     src = orders.filter(F.col(person_col).isNotNull() & F.col(ts_col).isNotNull()) \
-        .select(person_col, start.alias("order_month"),
-                *([order_col] if order_col else []))
+        .select(person_col, start.alias("order_month"), *([order_col] if order_col else []),
+                *([ts_col, value_col] if value_col else []))
     cnt = F.count_distinct(order_col) if order_col else F.count(F.lit(1))
-    pm = src.groupBy(person_col, "order_month").agg(cnt.alias("n_orders"))
-    # at most one row per month for each person: a bounded window partition
+    more = [F.max(ts_col).alias("last_purchase"), F.sum(value_col).alias("order_value")] if value_col else []
+    return src.groupBy(person_col, "order_month").agg(cnt.alias("n_orders"), *more)
+
+
+def with_cohorts(periods: DataFrame, person_col: str, grain: str = "month") -> DataFrame:
+    """The rows of :func:`person_periods` with cohort_month and month_index."""
+    # at most one row per period for each person: a bounded window partition
     first = F.min("order_month").over(Window.partitionBy(person_col))
-    return (pm.withColumn("cohort_month", first)
+    return (periods.select(person_col, "order_month", "n_orders").withColumn("cohort_month", first)
             .withColumn("month_index", month_diff("order_month", "cohort_month") if grain == "month"
                         else (F.datediff("order_month", "cohort_month") / 7).cast("int")))
 
 
+def person_months(orders: DataFrame, person_col: str, ts_col: str,
+                  order_col: str | None = None, grain: str = "month") -> DataFrame:
+    """person, order_month, n_orders, cohort_month, month_index (see
+    :func:`person_periods`)."""
+    return with_cohorts(person_periods(orders, person_col, ts_col, order_col, grain=grain), person_col, grain)
+
+
 def cohort_activity(pm: DataFrame) -> DataFrame:
     """(cohort_month, month_index) → active_customers (distinct persons)."""
     return pm.groupBy("cohort_month", "month_index") \

@@ -44,6 +44,27 @@ def rfm_base(orders: DataFrame, person_col: str = "customer_unique_id",
         # upstream plan for the second pass
         per = materialize(per)
         snapshot = snapshot_after_last(per, "last_purchase", calendar=(mode == "calendar"))
+    return _with_recency(per, person_col, snapshot, mode)
+
+
+def person_totals(periods: DataFrame, person_col: str = "customer_unique_id") -> DataFrame:
+    """person → last_purchase, frequency, monetary from the rows of
+    ``cohort.person_periods`` (an order lies in one period: order ids are a
+    key of the orders).  Over a table bucketed by person nothing moves."""
+    value = periods.schema["order_value"].dataType
+    return periods.groupBy(person_col).agg(
+        F.max("last_purchase").alias("last_purchase"), F.sum("n_orders").cast("long").alias("frequency"),
+        F.sum("order_value").cast(value).alias("monetary"))
+
+
+def rfm_from_periods(periods: DataFrame, person_col: str = "customer_unique_id", mode: str = "elapsed") -> DataFrame:
+    """:func:`rfm_base` over ``cohort.person_periods``, with the default
+    snapshot."""
+    per = materialize(person_totals(periods, person_col))
+    return _with_recency(per, person_col, snapshot_after_last(per, "last_purchase", calendar=(mode == "calendar")), mode)
+
+
+def _with_recency(per: DataFrame, person_col: str, snapshot: DataFrame, mode: str) -> DataFrame:
     if mode == "elapsed":
         rec = elapsed_days("last_purchase", "snapshot")
     elif mode == "calendar":

@@ -28,7 +28,7 @@ from churnlens.functions.dates import month_start
 from churnlens.operators import cohort, drivers, keys, master, profile, ranksum, rates, rfm, sketches, survival
 from churnlens.operators.ranking import first_row_per_key
 from churnlens.plans.params import REGISTERED
-from churnlens.session import delete_path, ensure_checkpoint_dir, materialize, write_stage
+from churnlens.session import delete_path, ensure_checkpoint_dir, materialize, write_bucketed, write_stage
 from churnlens.sources.testdata import TestTables
 
 PERSON = "customer_unique_id"
@@ -67,7 +67,8 @@ def analysis(spark: SparkSession, sf_dir: str) -> "Analysis":
 class Analysis:
     """The analysis pipeline of one folder: master → delivered → orders,
     cohorts, RFM → first orders.  ``share=True`` writes the master and
-    first-orders stages once (see :func:`suite`)."""
+    first-orders stages once, and the order months of every person as a table
+    bucketed by person, which cohorts and RFM read in place (see :func:`suite`)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, share: bool = False):
         self.spark = spark
@@ -75,6 +76,7 @@ class Analysis:
         self.p = REGISTERED
         self.share = share
         self.stage_paths: list[str] = []
+        self.stage_tables: list[str] = []
 
     def _stage(self, df: DataFrame) -> DataFrame:
         if not self.share:
@@ -87,6 +89,9 @@ class Analysis:
 
     def release(self) -> None:
         """Delete the stage tables this analysis wrote."""
+        for name in self.stage_tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.stage_tables.clear()
         for path in self.stage_paths:
             delete_path(self.spark, path)
         self.stage_paths.clear()
@@ -111,8 +116,21 @@ class Analysis:
     def orders_per_customer(self) -> DataFrame:
         return master.collapse_orders(self.delivered)
 
+    @cached_property
+    def person_periods(self) -> DataFrame:
+        """Person and month with orders, last purchase and value, bucketed by
+        person.  Rows of a person are bounded by the months, so one who holds
+        a third of all orders makes no large bucket (order-level rows would)."""
+        dated = self.delivered.filter(F.col("order_id").isNotNull())
+        out = write_bucketed(cohort.person_periods(dated, PERSON, TS, "order_id", "price"), PERSON)
+        self.stage_paths.append(out._churnlens_stage_path)
+        self.stage_tables.append(out._churnlens_stage_table)
+        return out
+
     @cached_property
     def person_months(self) -> DataFrame:
+        if self.share:
+            return cohort.with_cohorts(self.person_periods, PERSON)
         return cohort.person_months(self.orders_per_customer, PERSON, TS, "order_id")
 
     @cached_property
@@ -121,6 +139,8 @@ class Analysis:
 
     @cached_property
     def rfm(self) -> DataFrame:
+        if self.share:
+            return rfm.rfm_from_periods(self.person_periods, PERSON)
         # straight from the item rows: distinct orders, spend and last
         # purchase per person equal those of the order-level collapse, one
         # shuffle fewer

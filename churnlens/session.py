@@ -130,6 +130,30 @@ def write_stage(df, partition_by=None):
     return out
 
 
+def write_bucketed(df, key: str, buckets: int | None = None):
+    """Like :func:`write_stage`, but hashed into ``buckets`` (default: the
+    shuffle partitions) by ``key`` and sorted by it: a later grouping, window
+    or join by ``key`` reads the buckets in place, without an exchange.
+
+    All rows of a key are one bucket, so reduce hot keys before.  The table
+    is external; its name and path are attributes for the caller to drop."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("no shared checkpoint folder to write the stage to")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"churnlens_{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/stages/{name}"
+    # the exchange uses the buckets' own hash: one file a bucket
+    df.repartition(n, key).write.format("parquet").option("path", path) \
+        .bucketBy(n, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name).select(*df.columns)
+    out._churnlens_stage_path, out._churnlens_stage_table = path, name
+    return out
+
+
 def delete_path(spark, path: str) -> bool:
     """Recursively delete ``path`` on whatever file system it lives on
     (HDFS, object store, local) through Hadoop's FileSystem API."""

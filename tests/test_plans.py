@@ -49,15 +49,69 @@ def test_shared_stage_is_read_not_recomputed(spark):
     from churnlens.plans.catalog import QUERIES, suite
     with suite(spark, SF):
         QUERIES["master_delivered"](spark, SF)  # builds the shared master once
-        plan = _plan(QUERIES["cohort_activity"](spark, SF))
-    assert "lineitem" not in plan and "orders.parquet" not in plan
-    # only the columns the cohort needs are read from the stage table
+        plan = _plan(QUERIES["orders_per_customer"](spark, SF))
+        cohorts = _plan(QUERIES["cohort_activity"](spark, SF))
+    for p in (plan, cohorts):
+        assert "lineitem" not in p and "orders.parquet" not in p
+    # cohorts read two columns of the table bucketed by person
+    assert re.search(r"ReadSchema: struct<customer_unique_id:\w+,order_month:date>", cohorts)
+    # only the columns the orders need are read from the stage table
     # (plan text truncates long schemas, so match the prefix)
     assert re.search(r"ReadSchema: struct<order_id:bigint,order_status:string,"
                      r"order_purchase_timestamp:timestamp_ntz,customer_unique", plan)
     assert "customer_city" not in plan.split("ReadSchema")[1]
 
 
+# every analysis of a suite that reads cohorts or RFM
+BY_PERSON = ["cohort_sizes", "cohort_activity", "month_index_distribution", "cohort_matrix", "retention_matrix",
+             "retention_long", "retention_heatmap_data", "retention_curve", "month1_cliff", "rfm_base",
+             "rfm_describe", "rfm_scores_qcut", "rfm_segments_qcut", "segment_shares", "one_time_revenue_share",
+             "repeat_flag_summary"]
+
+
+def test_a_suite_exchanges_nothing_by_person(spark):
+    """Cohorts and RFM read a table bucketed by person: no exchange by person,
+    and the same rows as from the files."""
+    from churnlens.operators import rfm
+    from churnlens.plans.catalog import PERSON, QUERIES, suite
+    alone = {name: sorted(map(str, QUERIES[name](spark, SF).collect())) for name in BY_PERSON}
+    with suite(spark, SF) as a:
+        a.master  # noqa: B018 - written before
+        plans = {"person_totals": _plan(rfm.person_totals(a.person_periods, PERSON))}
+        for name in BY_PERSON:
+            df = QUERIES[name](spark, SF)
+            plans[name] = _plan(df)
+            assert sorted(map(str, df.collect())) == alone[name], name
+        table = a.stage_tables[0]
+        assert spark.catalog.tableExists(table)
+    assert not spark.catalog.tableExists(table)
+    for name, plan in plans.items():
+        assert not re.search(r"hashpartitioning\([^)]*customer_unique_id", plan), name
+    assert "Bucketed: true" in plans["cohort_activity"] and "Bucketed: true" in plans["person_totals"]
+
+
+def test_a_hot_person_makes_no_large_bucket(spark):
+    from pyspark.sql import functions as F
+    from churnlens.operators import cohort, rfm
+    from churnlens.session import delete_path, write_bucketed
+    n = 30000
+    rows = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("guest")).otherwise(F.concat(F.lit("p"), F.col("id") % 9000)).alias("who"),
+        F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(id % 400)").alias("ts"), F.col("id").alias("order_id"),
+        (F.col("id") % 50).cast("decimal(10,2)").alias("price"))
+    periods = cohort.person_periods(rows, "who", "ts", "order_id", "price")
+    kept = write_bucketed(periods, "who", 4)
+    try:
+        assert kept.filter("who = 'guest'").count() == 14  # months, not orders
+        got = rfm.person_totals(kept, "who")
+        want = rows.groupBy("who").agg(F.max("ts"), F.count_distinct("order_id"), F.sum("price"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert kept.rdd.getNumPartitions() <= 4
+    finally:
+        spark.sql(f"DROP TABLE {kept._churnlens_stage_table}")
+        delete_path(spark, kept._churnlens_stage_path)
+
+
 def test_first_rows_are_not_sort_aggregated(spark):
     from churnlens.plans.catalog import QUERIES
     for name in ("first_orders", "category_retention_sql"):
