@@ -330,15 +330,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the
     least doc_id (of equal ids the one of the least fingerprint, then of the
-    least text; a null id only where the group has no other)."""
+    least text hash; a null id only where the group has no other).
+
+    Null and empty texts are one group; repeated rows leave one; an empty
+    table gives no rows; long texts are read whole; all columns come back as
+    they were, whatever their names.
+
+    Whole rows are written once, with fingerprint and place; representatives
+    are chosen on narrow rows, and the places of the rows that go are a table
+    of their own, which Spark broadcasts where it is small by its size on
+    disk: then no text is shuffled.
+    """
     # columns by place, so that none clashes with fp or root
     names = [f"_{i}" for i in range(len(docs.columns))]
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    prints = map_texts(docs.toDF(*names), _print_column(SHINGLE_WORDS), "fp long", names, text)
+    printed = stage(map_texts(docs.toDF(*names), _print_column(SHINGLE_WORDS), "fp long", names, text)
+                    .withColumn("text_hash", F.xxhash64(F.col(text)))
+                    .withColumn("place", F.monotonically_increasing_id()))
     # a group is named by its root, never by an id: ids may repeat or be null
-    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    nodes = stage(prints.groupBy("fp").agg(F.min_by(F.struct(*names), order).alias("_r")).select("fp", "_r.*"))
-    first = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("fp"))
-    kept = (with_roots(nodes.select("fp", doc_id)).groupBy("root")
-            .agg(F.min_by("fp", first).alias("fp")).select("fp"))
-    return nodes.join(kept, "fp", "left_semi").select(*names).toDF(*docs.columns)
+    low = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "text_hash", "place")
+    nodes = stage(printed.groupBy("fp").agg(F.min(low).alias("low")))
+    first = F.struct("low.no_id", "low.id", "fp")
+    kept = with_roots(nodes).groupBy("root").agg(F.min_by("low.place", first).alias("place"))
+    gone = stage(printed.select("place").join(kept, "place", "left_anti"))
+    return printed.join(gone, "place", "left_anti").select(*names).toDF(*docs.columns)
