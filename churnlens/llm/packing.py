@@ -147,8 +147,9 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", path: str | None = None
     # a row a shard: its sequences before those of the next shard
     sizes = packed.groupBy("_shard").agg((F.max("_local") + 1).alias("_n"))
     before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    out = (packed.join(F.broadcast(first), "_shard")
+    # a table of its own: Spark broadcasts it by its size on disk, or not
+    first = stage(sizes.select("_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    out = (packed.join(first, "_shard")
            .withColumn("sequence_id", F.col("_first") + F.col("_local")))
     if keep_ids:
         out = out.join(pieces.select("_piece", "ids"), "_piece")
