@@ -196,6 +196,20 @@ def test_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
         [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (5, texts[5])], key=repr)
 
 
+def test_stage_shuffles_no_text(spark):
+    rows = [(i % 50, f"w{i % 40} b c d e f", "x") for i in range(400)]
+    # one id, one fingerprint, two texts: the least text hash stays, whatever the order
+    rows += [(1000, "One two three four FIVE", "x"), (1000, "one two three four five", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    kept = simhash.simhash_stage(spark, df, SF)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+    assert "Exchange hashpartitioning" not in plan and "SortAggregate" not in plan
+    again = simhash.simhash_stage(spark, df.repartition(5), SF)
+    pick = [sorted(r.text for r in k.filter("doc_id = 1000").collect()) for k in (kept, again)]
+    assert len(pick[0]) == 1 and pick[0] == pick[1]
+
+
 def test_connected_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (500, 500)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected_components(links).collect()}
