@@ -125,7 +125,9 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = K, factor:
                        id_col: str = "vec_id", vector: str = "embedding", **sizes) -> DataFrame:
     """Each query's ``k`` nearest rows but its own: query_id, rank, vec_id,
     score.  Null, zero, empty and non-finite vectors and null ids take no
-    part; an empty table gives no rows."""
+    part; an empty table gives no rows; equal scores go to the smaller id;
+    of a repeated query id the least vector asks, and no row of that id is
+    its candidate."""
     usable = finite(vector) & F.exists(F.col(vector), lambda x: x != 0)
     return search_shards(
         rows.filter(usable), queries.filter(usable), id_col, vector, k,

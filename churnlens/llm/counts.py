@@ -264,7 +264,9 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str | None = None, limi
     which any truncation or budget question is answered).
 
     Null and empty texts have no bytes and no tokens; repeated rows keep
-    their own row; other columns are not read.
+    their own row; an empty table gives no rows; texts are read whole,
+    however long; a kept column named like a new one is replaced; other
+    columns are not read.
     """
     path = path or tokenizer_path(TOKENIZER)
 

@@ -67,7 +67,8 @@ def encode_documents(docs: DataFrame, keep: list[str], path: str | None = None,
                      with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256 (and ``ids``, ``decoded``)
     to the ``keep`` columns.  Null and empty texts have no tokens; repeated
-    rows keep their own row."""
+    rows keep their own row; an empty table gives no rows; texts are read
+    whole, however long; a kept column named like a new one is replaced."""
     path = path or tokenizer_path(TOKENIZER)
 
     def run(texts):
