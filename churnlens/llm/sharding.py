@@ -54,9 +54,10 @@ def _with_slots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     counts = ranged.groupBy("shard", "_pid").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("shard").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_pid",
-                            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), ["shard", "_pid"])
+    # a table of its own, which Spark broadcasts where it is small by its size on disk
+    offsets = stage(counts.select(
+        "shard", "_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off")))
+    return (ranged.join(offsets, ["shard", "_pid"])
             .withColumn("slot", F.col("_off") + F.col("_at"))
             .drop("_pid", "_at", "_off", "_row"))
 
