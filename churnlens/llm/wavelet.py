@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,19 @@ _BLOCK = 512  # bits a counted block
 class WaveletMatrix:
     """A sequence of small unsigned integers as bit planes."""
 
-    def __init__(self, size: int, alphabet: np.ndarray, zeros: np.ndarray, planes: np.ndarray,
-                 blocks: np.ndarray):
-        self.size, self.alphabet, self.zeros, self.planes, self.blocks = size, alphabet, zeros, planes, blocks
+    def __init__(self, size: int, alphabet: np.ndarray, zeros: np.ndarray,
+                 planes: np.ndarray | Callable[[], np.ndarray], blocks: np.ndarray):
+        self.size, self.alphabet, self.zeros, self.blocks = size, alphabet, zeros, blocks
         self.bits = len(zeros)
+        self._planes = planes
+
+    @property
+    def planes(self) -> np.ndarray:
+        """The bit planes; a function that unpacks them is called at first
+        use, so a question about an id outside the alphabet unpacks none."""
+        if callable(self._planes):
+            self._planes = self._planes()
+        return self._planes
 
     @classmethod
     def build(cls, values: np.ndarray) -> WaveletMatrix:
@@ -128,6 +138,35 @@ class WaveletMatrix:
             i = self._select(p, one, i - int(self.zeros[p]) if one else i)
         return i
 
+    def places(self, value: int) -> np.ndarray:
+        """All places of a value in ascending order: the value's rows of the
+        last plane, taken up plane by plane."""
+        found = self._range(value, 0, self.size)
+        if not found:
+            return np.zeros(0, np.int64)
+        code, i, j = found
+        at = np.arange(i, j)
+        for p in range(self.bits - 1, -1, -1):
+            one = code >> (self.bits - 1 - p) & 1
+            bits = np.unpackbits(self.planes[p], count=self.size, bitorder="little")
+            at = np.flatnonzero(bits == one)[at - int(self.zeros[p]) if one else at]
+        return at
+
+    def slice(self, i: int, j: int) -> np.ndarray:
+        """The values of the places i to j (without j): the places go down
+        the planes together."""
+        at = np.arange(i, j)
+        code = np.zeros(len(at), np.int64)
+        for p in range(self.bits):
+            lead = self.blocks[p].astype(np.int64)[at // _BLOCK]
+            one = np.unpackbits(self.planes[p], bitorder="little").astype(np.int64)
+            before = np.cumsum(one.reshape(-1, _BLOCK), axis=1).reshape(-1) - one
+            ones = lead + before[at]
+            bit = one[at]
+            code = code << 1 | bit
+            at = np.where(bit == 1, int(self.zeros[p]) + ones, at - ones)
+        return self.alphabet[code]
+
     def _select(self, p: int, bit: int, k: int) -> int:
         """Place of the k-th one or zero of a plane."""
         held = self.blocks[p].astype(np.int64)
@@ -179,14 +218,21 @@ class ShardFile:
         magic, bits, size, _ = _HEAD.unpack_from(data)
         if magic != _MAGIC:
             raise ValueError("not a shard file")
-        at, parts, codec = _HEAD.size, [], pa.Codec("zstd")
+        at, packs, codec = _HEAD.size, [], pa.Codec("zstd")
         for _ in range(7):
             raw, packed = struct.unpack_from("<QQ", data, at)
             at += 16
-            parts.append(codec.decompress(data[at:at + packed], raw, asbytes=True) if raw else b"")
+            packs.append((data[at:at + packed], raw))
             at += packed
+
+        def unpack(pack: tuple[bytes, int]) -> bytes:
+            return codec.decompress(pack[0], pack[1], asbytes=True) if pack[1] else b""
+
+        def planes() -> np.ndarray:
+            return np.frombuffer(unpack(packs[6]), np.uint8).reshape(bits, -1) if bits else np.zeros((0, 0), np.uint8)
+
+        parts = [unpack(pack) for pack in packs[:6]]
         null, keys = np.frombuffer(parts[0], np.uint8), np.frombuffer(parts[1], "<i8")
-        planes = np.frombuffer(parts[6], np.uint8).reshape(bits, -1) if bits else np.zeros((0, 0), np.uint8)
         blocks = np.frombuffer(parts[5], "<u4").reshape(bits, -1) if bits else np.zeros((0, 1), np.uint32)
         matrix = WaveletMatrix(size, np.frombuffer(parts[3], "<u4"), np.frombuffer(parts[4], "<i8"), planes, blocks)
         return cls([None if n else int(k) for n, k in zip(null, keys)], np.frombuffer(parts[2], "<i8"), matrix)
@@ -196,8 +242,10 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", path: str | None = N
                       shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
     """Write the ids of all documents in ascending key order.
 
-    The texts are range partitioned by (key, text hash); a task encodes its
-    range in order and closes a file at the first document end past
+    The texts are range partitioned by (key, text hash, row number), so that
+    the copies of one row are split too (the number is its place in the table
+    read: stage ``docs`` before if they are computed); a task encodes its range
+    in order and closes a file at the first document end past
     ``shard_tokens`` ids, so a file holds whole documents and one that is
     longer has a file of its own.  Returns the table of files: part, seq
     (order in the part), before (ids of the part's files before it), tokens
@@ -205,10 +253,11 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", path: str | None = N
     repeated rows are documents of their own; an empty table has no file.
     """
     path = path or tokenizer_path(TOKENIZER)
-    base = docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
     n = partitions or shuffle_partitions(docs.sparkSession)
-    ranged = (base.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    ranged = (base.repartitionByRange(n, *order[:2], "row").drop("row").sortWithinPartitions(*order)
               .withColumn("part", F.spark_partition_id()))
 
     def run(batches):
@@ -243,16 +292,19 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", path: str | None = N
     return stage(ranged.mapInArrow(run, "part int, seq int, before long, tokens long, file binary"))
 
 
-def read_token_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents of a table of files: key, start (ids of all documents
-    before it), n_tokens and ids_crc32, decoded from the files."""
-    # a row a part: its ids before those of the next part
+def _placed(files: DataFrame) -> DataFrame:
+    """start (ids of all files before), file and tokens of every file."""
+    # a row a part: its ids before those of the next part; a table of its
+    # own, which Spark broadcasts where it is small by its size on disk
     sizes = files.groupBy("part").agg(F.sum("tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    placed = files.join(F.broadcast(first), "part").select(
-        (F.col("_first") + F.col("before")).alias("start"), "file")
+    first = stage(sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    return files.join(first, "part").select((F.col("_first") + F.col("before")).alias("start"), "file", "tokens")
+
 
+def read_token_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents of a table of files: key, start (ids of all documents
+    before it), n_tokens and ids_crc32, decoded from the files."""
     def run(batches):
         for batch in batches:
             for begin, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -265,7 +317,78 @@ def read_token_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
                     "n_tokens": pa.array(file.lengths),
                     "ids_crc32": pa.array([zlib.crc32(ids[i:j]) for i, j in zip(starts, ends)], pa.int64())})
 
-    return placed.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return _placed(files).mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+
+
+def _each_file(batches) -> Iterator[tuple[int, ShardFile]]:
+    for batch in batches:
+        for begin, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield begin, ShardFile.from_bytes(data.as_buffer().to_pybytes())
+
+
+def count_ids(files: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """How often each of ``ids`` occurs in a table of files: id, n (zero
+    where it does not occur; a repeated id is one row).  Every file answers by
+    rank, unpacking its planes only if its alphabet has one of the ids; a row
+    a file and id is summed."""
+    wanted = sorted({int(i) for i in ids})
+    spark = files.sparkSession
+
+    def run(batches):
+        for _, file in _each_file(batches):
+            n = [file.matrix.count(i) for i in wanted]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(wanted, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    asked = spark.createDataFrame([(i, 0) for i in wanted], "id long, n long")
+    found = files.select("before", "file").mapInArrow(run, "id long, n long")
+    return found.union(asked).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def find_ids(files: DataFrame, ids: Sequence[int], key: str = "doc_id") -> DataFrame:
+    """Every occurrence of ``ids`` in a table of files: id, place (among the
+    ids of all documents), key and offset in the document.  No file is decoded:
+    the places come from the id's rows of the planes, at most a file's ids at
+    a time; no ids or files: no rows."""
+    wanted = sorted({int(i) for i in ids})
+
+    def run(batches):
+        for begin, file in _each_file(batches):
+            ends = np.cumsum(file.lengths)
+            for i in wanted:
+                at = file.matrix.places(i)
+                if len(at):
+                    doc = np.searchsorted(ends, at, side="right")
+                    keys = pa.array(file.keys, pa.int64()).take(pa.array(doc))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), i)), pa.array(at + begin), keys,
+                         pa.array(at - (ends - file.lengths)[doc])], names=["id", "place", key, "offset"])
+
+    return _placed(files).mapInArrow(run, f"id long, place long, `{key}` long, offset long")
+
+
+def read_ranges(files: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """The ids of places ``begin`` to ``end`` (without it) among the ids of
+    all documents: begin, end, place (of the first id of the row) and ids, a
+    row a file that meets the range.  Files outside all ranges are left out by
+    their places and not unpacked; an empty range, or one past the last id,
+    has no row."""
+    asked = sorted({(int(a), int(b)) for a, b in ranges if a < b})
+    meets = F.lit(False)
+    for a, b in asked:
+        meets |= (F.col("start") < b) & (F.col("start") + F.col("tokens") > a)
+
+    def run(batches):
+        for begin, file in _each_file(batches):
+            for a, b in asked:
+                i, j = max(a - begin, 0), min(b - begin, file.matrix.size)
+                if i < j:
+                    ids = pa.array([file.matrix.slice(i, j).astype(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([a]), pa.array([b]), pa.array([i + begin]), ids],
+                        names=["begin", "end", "place", "ids"])
+
+    return _placed(files).filter(meets).mapInArrow(
+        run, "begin long, end long, place long, ids array<long>")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,7 @@ def test_wavelet_matrix_by_brute_force(n, top):
         assert m.access(i) == v and m.rank(v, i) == int((places < i).sum())
         assert m.count(v, i // 2, i) == int(((places >= i // 2) & (places < i)).sum())
         assert m.select(v, int((places < i).sum())) == i
+        assert np.array_equal(m.places(v), places)
     with pytest.raises(IndexError):
         m.access(n)
 
@@ -180,3 +181,41 @@ def test_token_files_edge_cases(edge, nothing):
         at += r.n_tokens
     assert at == sum(len(d) for _, d in docs)
     assert wavelet.read_token_files(wavelet.write_token_files(nothing)).count() == 0
+
+
+def test_token_files_answer_without_decoding(spark, edge, nothing):
+    files = wavelet.write_token_files(edge, shard_tokens=50, partitions=3)
+    docs = [(r.doc_id, library(BYTE, [r.text or ""])[0] + [2]) for r in edge.collect()]
+    flat = [i for _, ids in docs for i in ids]
+    ask = [2, 2, flat[0], flat[len(flat) // 2], 50_001, 1 << 40]
+    assert {r.id: r.n for r in wavelet.count_ids(files, ask).collect()} == {i: flat.count(i) for i in ask}
+
+    found = wavelet.find_ids(files, ask).collect()
+    order = {(r.doc_id, r.start): r.n_tokens for r in wavelet.read_token_files(files).collect()}
+    assert len(found) == sum(flat.count(i) for i in set(ask))
+    assert len({(r.id, r.place) for r in found}) == len(found)
+    assert all(r.offset < order[(r.doc_id, r.place - r.offset)] for r in found)
+
+    n = len(flat)
+    whole = sorted(wavelet.read_ranges(files, [(0, n)]).collect(), key=lambda r: r.place)
+    stored = [i for r in whole for i in r.ids]
+    assert sorted(stored) == sorted(flat) and [r.place for r in whole][0] == 0
+    assert all(stored[r.place] == r.id for r in found)
+    parts = wavelet.read_ranges(files, [(3, 9), (40, 200), (7, 7), (n - 2, n + 50), (n + 1, n + 9)]).collect()
+    for r in parts:
+        assert r.ids == stored[r.place:r.place + len(r.ids)] and r.begin <= r.place
+    assert {(r.begin, r.end): sum(len(x.ids) for x in parts if x.begin == r.begin) for r in parts} == {
+        (3, 9): 6, (40, 200): 160, (n - 2, n + 50): 2}
+
+    none = wavelet.write_token_files(nothing)
+    assert [(r.id, r.n) for r in wavelet.count_ids(none, [2]).collect()] == [(2, 0)]
+    assert wavelet.find_ids(none, [2]).count() == wavelet.read_ranges(none, [(0, 5)]).count() == 0
+    assert wavelet.count_ids(files, []).count() == wavelet.find_ids(files, []).count() == 0
+
+
+def test_copies_of_one_row_are_split(spark):
+    files = wavelet.write_token_files(spark.range(3000).selectExpr("7L AS doc_id", "'one and the same' AS text"),
+                                      shard_tokens=50, partitions=4)
+    assert files.select("part").distinct().count() == 4
+    got = wavelet.read_token_files(files).collect()
+    assert len(got) == 3000 and sorted(r.start for r in got) == [i * got[0].n_tokens for i in range(3000)]
