@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from churnlens.session import write_stage
+from churnlens.session import delete_path, write_stage
 
 #: Rows and text characters that a task holds as Python objects at once.
 SLICE_ROWS = 2048
@@ -29,6 +29,11 @@ def stage(df: DataFrame) -> DataFrame:
     return write_stage(df)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete the table of a staged frame that nothing reads any more."""
+    delete_path(df.sparkSession, df._churnlens_stage_path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,8 @@
    ``blocks - radius`` of ``blocks`` bit blocks.  Every distinct fingerprint
    is therefore sent, once for each choice of that many blocks, to the shard
    named by the choice and the bits in them; each pair to be linked meets in
-   some shard.
+   some shard.  The number of blocks grows with the number of fingerprints,
+   so that shards stay small (``choose_blocks``).
 3. In a shard a BK-tree (children keyed by their integer Hamming distance to
    the parent) is searched with every member, following only edges within
    the radius of the distance at hand.  A shard with more members than
@@ -29,11 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import map_texts, shuffle_partitions, stage, table
+from churnlens.llm.common import drop_stage, map_texts, shuffle_partitions, stage, table
 
 SHINGLE_WORDS = 4
 RADIUS = 4
+#: The fewest bit blocks; more are taken where the shards would be too large.
 BLOCKS = 6
+#: Fingerprints that a shard should hold on the average, at most.
+SHARD_MEMBERS = 512
 #: Members of one BK-tree; larger shards are split.
 MAX_MEMBERS = 2048
 #: Pairs of (query, tree node) held at once in a search.
@@ -182,6 +186,16 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(parts, blocks - radius)]
 
 
+def choose_blocks(prints: int, radius: int = RADIUS, least: int = BLOCKS, members: int = SHARD_MEMBERS) -> int:
+    """The fewest blocks for which evenly spread fingerprints make shards of
+    ``members`` on the average: more blocks name a shard by more bits, at the
+    price of more copies of every fingerprint.  The links are the same."""
+    blocks = max(least, radius + 1)
+    while blocks < 16 and prints >> (64 * (blocks - radius) // blocks) > members:
+        blocks += 1
+    return blocks
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -193,10 +207,12 @@ def _shards(prints: DataFrame, masks: list[int]) -> DataFrame:
     return prints.select("fp", F.explode(keys).alias("s")).select("s.t", "s.k", "fp")
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
+def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None,
                max_members: int = MAX_MEMBERS) -> DataFrame:
     """Links (a, b) whose components are those of the distinct fingerprints
-    ``prints`` under "at most ``radius`` differing bits"."""
+    ``prints`` under "at most ``radius`` differing bits"; ``blocks`` is
+    chosen from their number if it is not given."""
+    blocks = blocks or choose_blocks(prints.count(), radius)
     rows = _shards(prints, block_masks(blocks, radius))
     large = stage(rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_members)
                   .select("t", "k", F.ceil(F.col("n") / max_members).cast("int").alias("trees")))
@@ -263,7 +279,8 @@ def _whole_groups(batches, target: int = 50_000):
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the least
     node of its component.  Alternating large-star and small-star steps;
-    every round is a staged table, so lineage does not grow."""
+    every round is a staged table, so lineage does not grow, and the tables of
+    the round before are deleted."""
     edges = stage(links.filter("a != b"))
     state = (0, None)  # no links: nothing to settle
     for _ in range(max_rounds):
@@ -279,7 +296,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = (down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b")))
                  .filter("a != b").distinct())
-        edges = stage(small)
+        before, edges = edges, stage(small)
+        for done in (before, least):  # the new table holds all that is needed
+            drop_stage(done)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -289,7 +308,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def with_roots(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
+def with_roots(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None,
                max_members: int = MAX_MEMBERS) -> DataFrame:
     """``nodes`` (one row a fingerprint ``fp``) and ``root``, the least
     fingerprint of its component."""
@@ -299,13 +318,16 @@ def with_roots(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], key: str = "doc_id", words: int = SHINGLE_WORDS,
-                    radius: int = RADIUS, blocks: int = BLOCKS, max_members: int = MAX_MEMBERS) -> DataFrame:
+                    radius: int = RADIUS, blocks: int | None = None, max_members: int = MAX_MEMBERS) -> DataFrame:
     """``keep`` columns, ``fp`` and ``component_id`` (the least ``key`` among
     all rows whose fingerprints are linked, directly or over others).
 
     Null and empty texts have fingerprint zero and are linked like any
-    other; repeated rows keep their own output row; a null key takes no part
-    in the minimum (a component of null keys only has a null id).
+    other; very long texts are read whole; repeated rows keep their own output
+    row; a null key takes no part in the minimum (a component of null keys only
+    has a null id), equal keys share it; an empty table gives no rows.  Columns
+    outside ``keep`` are not read; one in ``keep`` that is named ``fp`` gives
+    way to the fingerprint, and ``root`` and ``component_id`` must not be in it.
     """
     prints = stage(fingerprints(docs.select(*keep, *([key] if key not in keep else []), "text"),
                                 list(dict.fromkeys([*keep, key])), words))

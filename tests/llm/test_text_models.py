@@ -148,8 +148,8 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
-@pytest.mark.parametrize("max_members", [3, 2048])
-def test_links_by_brute_force(spark, max_members):
+@pytest.mark.parametrize("max_members,blocks", [(3, None), (2048, None), (2048, 8)])
+def test_links_by_brute_force(spark, max_members, blocks):
     rng = np.random.default_rng(4)
     prints = {int(x) for x in rng.integers(0, 2**63, 12)}
     for x in list(prints):
@@ -160,7 +160,7 @@ def test_links_by_brute_force(spark, max_members):
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    comps = simhash.connected_components(simhash.near_links(df, max_members=max_members)).collect()
+    comps = simhash.connected_components(simhash.near_links(df, blocks=blocks, max_members=max_members)).collect()
     root = {s: s for s in signed} | {r.node: r.root for r in comps}
     want, groups = plain_components(prints), {}
     for s, w in zip(signed, want):
@@ -168,6 +168,12 @@ def test_links_by_brute_force(spark, max_members):
     assert all(len(g) == 1 for g in groups.values()) and len(set(root.values())) == len(groups)
 
 
+def test_blocks_grow_with_the_fingerprints():
+    chosen = [simhash.choose_blocks(n) for n in (0, 1, 10**6, 10**9, 5 * 10**10, 10**13)]
+    assert chosen[:4] == [6, 6, 6, 6] and chosen == sorted(chosen) and chosen[4] == 7
+    assert all(n >> (64 * (b - 4) // b) <= 512 for n, b in zip((10**9, 5 * 10**10, 10**13), chosen[3:]))
+
+
 def test_near_duplicates_edge_cases(edge, nothing):
     got = simhash.near_duplicates(edge, ["doc_id"]).collect()
     rows = edge.collect()
