@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.dates import fractional_days
-from churnlens.functions.rounding import money_avg
+from churnlens.functions.rounding import money_avg, ratio_round
 from churnlens.operators.ranking import exact_quantiles, first_row_per_key, quantile_bin
 from churnlens.operators.rates import rate_by
 from churnlens.session import materialize
@@ -135,6 +135,24 @@ def category_retention(fo: DataFrame, person_col: str, min_customers: int = 500,
     return rate_by(fo, cat_col, "is_repeat", person_col, min_n=min_customers)
 
 
+def category_against_overall(fo: DataFrame, person_col: str, min_customers: int = 500,
+                             cat_col: str = "product_category_name_english") -> DataFrame:
+    """Repeat rate by first-order category beside that of all first orders
+    (uncategorised persons and small categories included): the difference in
+    percentage points and the ratio.  One pass: the overall counts are sums
+    over the aggregated categories."""
+    from pyspark.sql import Window
+    every = Window.partitionBy()
+    counted = rate_by(fo, cat_col, "is_repeat", person_col, drop_null_dims=False)
+    overall = counted.withColumn("_t", F.sum("total_customers").over(every)) \
+        .withColumn("_r", F.sum("repeat_customers").over(every)) \
+        .withColumn("overall_rate_pct", ratio_round("_r", "_t", scale=100, digits=2))
+    return overall.filter(F.col(cat_col).isNotNull() & (F.col("total_customers") >= min_customers)).select(
+        cat_col, "total_customers", "repeat_customers", "repeat_rate_pct", "overall_rate_pct",
+        F.bround(F.col("repeat_rate_pct") - F.col("overall_rate_pct"), 2).alias("points_above"),
+        F.bround(F.try_divide(F.col("repeat_rate_pct"), F.col("overall_rate_pct")), 4).alias("ratio_to_overall"))
+
+
 def category_rankings(rates: DataFrame, cat_col: str = "product_category_name_english",
                       top: int = 10, bottom: int = 10, chart: int = 15) -> DataFrame:
     """Each qualifying category with its rank (best first), top / bottom

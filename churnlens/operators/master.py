@@ -42,19 +42,11 @@ def master_table(orders: DataFrame, customers: DataFrame, items: DataFrame,
     split by AQE's skew-join handling.
     """
     cust = customers.select("customer_id", *CUSTOMER_COLS)
-    # Lookups keyed by their primary key are stated as one row per key, so
-    # the optimizer drops these left joins from every plan that reads no
-    # category column (cohorts, RFM, rates): the item rows are then not
-    # shuffled by product at all.
-    prod = unique_by(products, "product_id", ["product_category_name"])
-    trans = unique_by(translation, "product_category_name", ["product_category_name_english"])
     # Items get their category first (product-keyed joins), and the result
     # stays partitioned by order_id for the order collapse.
     # (Left joins re-associate here: the category joins only test item
     # columns, which are null for an order without items either way.)
-    item = (items.select("order_id", *ITEM_COLS)
-            .join(prod, "product_id", "left")
-            .join(trans, "product_category_name", "left"))
+    item = categorised_items(items, products, translation)
     # Customers come last here: the base then is hashed by customer_id, so
     # both sides of the item join are exchanged by order_id and AQE can split
     # an order that holds very many items on either side.
@@ -64,6 +56,46 @@ def master_table(orders: DataFrame, customers: DataFrame, items: DataFrame,
     return left_join_skew_safe(base, item, "order_id").select(*MASTER_COLS)
 
 
+def categorised_items(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
+    """Item rows with their category and its label.
+
+    Lookups keyed by their primary key are stated as one row per key, so the
+    optimizer drops these left joins from every plan that reads no category
+    column (cohorts, RFM, rates): the item rows are then not shuffled by
+    product at all."""
+    prod = unique_by(products, "product_id", ["product_category_name"])
+    trans = unique_by(translation, "product_category_name", ["product_category_name_english"])
+    return (items.select("order_id", *ITEM_COLS)
+            .join(prod, "product_id", "left")
+            .join(trans, "product_category_name", "left"))
+
+
+def master_nulls(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame,
+                 translation: DataFrame, reviews: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row: the master table's rows (``n_rows``) and the null cells of
+    ``cols`` (named as they are), without building its item rows.
+
+    Items are reduced to one row an order, map-side first, before they meet
+    the orders: no order fans out, a hot order is one row, and the join's anti
+    branch is not needed.  An order without items is one row whose item
+    columns are null."""
+    order_cols = [c for c in cols if c in (*ORDER_COLS, *CUSTOMER_COLS, "review_score", "has_review")]
+    item_cols = [c for c in cols if c not in order_cols]
+    per_order = (categorised_items(items, products, translation).filter(F.col("order_id").isNotNull())
+                 .groupBy("order_id")
+                 .agg(F.count(F.lit(1)).alias("_rows"),
+                      *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in item_cols]))
+    base = (orders.select(*ORDER_COLS)
+            .join(review_summary(reviews), "order_id", "left")
+            .join(per_order, "order_id", "left")
+            .join(customers.select("customer_id", *CUSTOMER_COLS), "customer_id", "left"))
+    rows = F.coalesce("_rows", F.lit(1))
+    nulls = {**{c: F.when(F.col(c).isNull(), rows).otherwise(0) for c in order_cols},
+             **{c: F.coalesce(F.col(f"_null_{c}"), F.lit(1)) for c in item_cols}}
+    return base.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n_rows"),
+                    *[F.coalesce(F.sum(nulls[c]), F.lit(0)).alias(c) for c in cols])
+
+
 def unique_by(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """A lookup table with one row per ``key`` (its primary key), written as
     an aggregate so that Catalyst knows the key is unique.  With a unique

@@ -36,6 +36,13 @@ def null_profile(df: DataFrame, table: str, cols: Sequence[str] | None = None,
     cols = list(cols or df.columns)
     wide = df.agg(F.count(F.lit(1)).alias("__rows"),
                   *[F.count_if(F.col(c).isNull()).alias(f"__n{i}") for i, c in enumerate(cols)])
+    return null_rows(wide, table, cols, only_missing)
+
+
+def null_rows(wide: DataFrame, table: str, cols: Sequence[str], only_missing: bool = True) -> DataFrame:
+    """The rows of :func:`null_profile` from one row of counts: the number of
+    rows, then the null cells of each of ``cols`` (columns by place)."""
+    wide = wide.toDF("__rows", *[f"__n{i}" for i in range(len(cols))])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                          F.col(f"__n{i}").alias("n_null"))
                                 for i, c in enumerate(cols)]))

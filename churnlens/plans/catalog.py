@@ -29,6 +29,7 @@ from churnlens.operators import cohort, drivers, keys, master, profile, ranksum,
 from churnlens.operators.ranking import first_row_per_key
 from churnlens.plans.params import REGISTERED
 from churnlens.session import delete_path, ensure_checkpoint_dir, materialize, write_bucketed, write_stage
+from churnlens.sources import files
 from churnlens.sources.testdata import TestTables
 
 PERSON = "customer_unique_id"
@@ -182,7 +183,13 @@ def q_null_profile(spark, sf_dir):
     a = analysis(spark, sf_dir)
     frames = [profile.null_profile(df, name) for name, df in a.t.all().items()]
     key_cols = [PERSON, TS, "price", "review_score", "product_category_name_english"]
-    frames.append(profile.null_profile(a.master, "master", key_cols, only_missing=False))
+    if a.share:  # the master is a table already
+        frames.append(profile.null_profile(a.master, "master", key_cols, only_missing=False))
+    else:
+        t = a.t
+        counts = master.master_nulls(t.orders(), t.customers(), t.order_items(), t.products(),
+                                     t.category_translation(), t.order_reviews(), key_cols)
+        frames.append(profile.null_rows(counts, "master", key_cols, only_missing=False))
     return profile.union_all(frames)
 
 
@@ -517,6 +524,12 @@ def q_category_retention_nb(spark, sf_dir):
         .orderBy(F.col("repeat_rate_pct").desc(), "product_category_name_english")
 
 
+def q_category_against_overall(spark, sf_dir):
+    """Category rates beside the rate of the whole first-order universe."""
+    a = analysis(spark, sf_dir)
+    return drivers.category_against_overall(a.first_orders, PERSON, a.p.category_min_customers)
+
+
 def q_category_top_bottom(spark, sf_dir):
     a = analysis(spark, sf_dir)
     return drivers.category_rankings(
@@ -574,6 +587,23 @@ def q_published_outputs(spark, sf_dir):
         for name, table in manifest["tables"].items() for fmt in table["formats"]])
 
 
+def q_csv_monthly_revenue(spark, sf_dir):
+    """Delivered revenue by month, starting from CSV: the source tables are
+    written as CSV files, read with their declared schemas and joined to the
+    master table."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/csv-{uuid.uuid4().hex}"
+    files.write_source_csvs(TestTables(spark, sf_dir).all(), path)
+    t = files.read_source_csvs(spark, path)
+    rows = master.delivered(master.master_table(t["orders"], t["customers"], t["order_items"], t["products"],
+                                                t["category_translation"], t["order_reviews"]))
+    return rows.groupBy(month_start(TS).alias("order_month")).agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_distinct("order_id").alias("n_orders"),
+        F.count_distinct(PERSON).alias("n_customers"),
+        F.count("product_category_name_english").alias("categorised_items"),
+        F.count_if(F.col("has_review") > 0).alias("reviewed_items"),
+        F.sum("price").cast("double").alias("revenue"), F.sum("freight_value").cast("double").alias("freight"))
+
+
 def q_spend_extremes(spark, sf_dir):
     buckets = drivers.spend_buckets(analysis(spark, sf_dir).first_orders, PERSON)
     return rates.extremes(buckets, "bucket", 1, 5, low_name="lowest_bucket_pct",
@@ -666,11 +696,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "review_extremes": q_review_extremes,
     "category_retention_sql": q_category_retention_sql,
     "category_retention_nb": q_category_retention_nb,
+    "category_against_overall": q_category_against_overall,
     "category_top_bottom": q_category_top_bottom,
     "spend_bucket_retention": q_spend_bucket_retention,
     "spend_extremes": q_spend_extremes,
     "estimate_rank_sum": q_estimate_rank_sum,
     "published_outputs": q_published_outputs,
+    "csv_monthly_revenue": q_csv_monthly_revenue,
     "events_repeat_rate": q_events_repeat_rate,
     "events_cohort_activity": q_events_cohort_activity,
     "events_cohort_activity_stream": q_events_cohort_activity_stream,

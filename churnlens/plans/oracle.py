@@ -590,6 +590,12 @@ def build(P=REGISTERED) -> dict[str, str]:
             FROM ({_rate_by("b_fo", "review_score")}))"""
     _CAT = "product_category_name_english"
     Q["category_retention_nb"] = _rate_by("b_fo", _CAT, P.category_min_customers)
+    Q["category_against_overall"] = f"""SELECT {_CAT}, total_customers, repeat_customers, repeat_rate_pct,
+           overall_rate_pct, round_even(repeat_rate_pct - overall_rate_pct, 2) AS points_above,
+           round_even(repeat_rate_pct / NULLIF(overall_rate_pct, 0), 4) AS ratio_to_overall
+      FROM ({_rate_by("b_fo", _CAT, P.category_min_customers)})
+      CROSS JOIN (SELECT {pct("count(*) FILTER (WHERE is_repeat)", "count(customer_unique_id)")} AS overall_rate_pct
+                  FROM b_fo)"""
     Q["category_top_bottom"] = f"""SELECT {_CAT}, total_customers, repeat_customers, repeat_rate_pct,
            rank_desc, rank_desc <= 10 AS in_top, rank_desc > n - 10 AS in_bottom,
            rank_desc <= 15 AS in_chart,
@@ -632,6 +638,13 @@ def build(P=REGISTERED) -> dict[str, str]:
         f"SELECT '{name}' AS output, '{fmt}' AS format, count(*) AS n_rows, "
         f"CAST(sum(CAST({col} AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM ({Q[key]})"
         for name, (key, col, formats) in measures.items() for fmt in formats.split())
+    Q["csv_monthly_revenue"] = """SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS order_month,
+           count(*) AS n_items, count(DISTINCT order_id) AS n_orders,
+           count(DISTINCT customer_unique_id) AS n_customers,
+           count(product_category_name_english) AS categorised_items,
+           count(*) FILTER (WHERE has_review > 0) AS reviewed_items,
+           CAST(sum(price) AS DOUBLE) AS revenue, CAST(sum(freight_value) AS DOUBLE) AS freight
+      FROM b_delivered GROUP BY 1"""
     Q["spend_extremes"] = """SELECT lowest_bucket_pct, highest_bucket_pct,
            round_even(highest_bucket_pct / NULLIF(lowest_bucket_pct, 0), 2) AS high_over_low
       FROM (SELECT max(CASE WHEN bucket = 1 THEN repeat_rate_pct END) AS lowest_bucket_pct,

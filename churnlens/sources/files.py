@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.functions.dates import parse_timestamp
+from churnlens.functions.dates import TIMESTAMP_FORMAT, parse_timestamp
 from churnlens.sources.schemas import SCHEMAS, TIMESTAMP_COLUMNS
 
 
@@ -43,9 +45,26 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, timestamp_format: str | None = None) -> None:
     """Overwrite a CSV dataset with a header row; group labels are plain
     columns.  Quotes in text are doubled; an empty text is written as ``""``
-    and a null as nothing, so that both come back."""
-    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("escapeQuotes", True).option("emptyValue", '""').option("nullValue", "").csv(path))
+    and a null as nothing, so that both come back.  ``timestamp_format``
+    replaces Spark's own form of zone-free timestamps."""
+    w = (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+         .option("escapeQuotes", True).option("emptyValue", '""').option("nullValue", ""))
+    if timestamp_format:
+        w = w.option("timestampNTZFormat", timestamp_format)
+    w.csv(path)
+
+
+def write_source_csvs(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Write source tables as CSV folders ``path/<table>.csv`` in the form that
+    :func:`read_source_csvs` declares: its columns in its order, timestamps as
+    source text."""
+    for name, df in tables.items():
+        write_csv(df.select(*SCHEMAS[name].names), f"{path}/{name}.csv", TIMESTAMP_FORMAT)
+
+
+def read_source_csvs(spark: SparkSession, path: str, names: Iterable[str] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
+    """The source tables of a folder of CSV files, each with its declared schema."""
+    return {name: read_csv_table(spark, f"{path}/{name}.csv", name) for name in names}

@@ -130,3 +130,52 @@ print("works")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "works" in got.stdout, got.stderr[-2000:]
+
+
+def test_master_nulls_equal_those_of_the_master_table(spark):
+    from churnlens.operators import master
+    stamp = "timestamp_ntz'2020-01-01 00:00:00'"
+    orders = spark.sql("SELECT * FROM VALUES (1L, 'a', 'delivered'), (2L, 'b', 'shipped'), (3L, 'c', NULL), (NULL, 'd', 'x') "
+                       "AS t(order_id, customer_id, order_status)")
+    for c in master.ORDER_COLS[3:]:
+        orders = orders.selectExpr("*", f"IF(order_id = 2, NULL, {stamp}) AS {c}")
+    customers = spark.sql("SELECT *, 1 AS customer_zip_code_prefix, 'x' AS customer_city, 'y' AS customer_state FROM VALUES "
+                          "('a', 7L), ('c', NULL), ('c', 8L) AS t(customer_id, customer_unique_id)")
+    items = spark.sql(f"SELECT *, 5L AS seller_id, {stamp} AS shipping_limit_date, 1.0 AS freight_value FROM VALUES "
+                      "(1L, 1, 10L, 2.5), (1L, 2, 11L, NULL), (3L, 1, NULL, 1.0), (3L, 2, 12L, 1.0), (NULL, 1, 10L, NULL), (9L, 1, 10L, 1.0) "
+                      "AS t(order_id, order_item_id, product_id, price)")
+    products = spark.sql("SELECT * FROM VALUES (10L, 'p'), (11L, NULL), (12L, 'q') AS t(product_id, product_category_name)")
+    labels = spark.sql("SELECT * FROM VALUES ('p', 'P') AS t(product_category_name, product_category_name_english)")
+    reviews = spark.sql("SELECT * FROM VALUES ('r', 1L, 4), ('s', 1L, NULL), ('t', NULL, 1) AS t(review_id, order_id, review_score)")
+    tables = (orders, customers, items, products, labels, reviews)
+    cols = list(master.MASTER_COLS)
+    got = master.master_nulls(*tables, cols).first().asDict()
+    rows = [r.asDict() for r in master.master_table(*tables).collect()]
+    assert got == {"n_rows": len(rows), **{c: sum(r[c] is None for r in rows) for c in cols}}
+    none = [t.limit(0) for t in tables]
+    assert set(master.master_nulls(*none, cols).first()) == {0}
+
+
+def test_categories_against_the_rate_of_all(spark):
+    from churnlens.operators.drivers import category_against_overall
+    rows = [("a", i < 3) for i in range(10)] + [("b", i < 1) for i in range(4)] + [(None, True)] * 2
+    fo = spark.createDataFrame([(i, c, f) for i, (c, f) in enumerate(rows)],
+                               "person long, product_category_name_english string, is_repeat boolean")
+    got = category_against_overall(fo, "person", 5).collect()
+    assert [tuple(r) for r in got] == [("a", 10, 3, 30.0, 37.5, -7.5, 0.8)]
+    assert category_against_overall(fo.limit(0), "person", 0).count() == 0
+
+
+def test_source_csvs_come_back(spark, tmp_path):
+    from churnlens.sources.files import read_source_csvs, write_source_csvs
+    from churnlens.sources.schemas import SCHEMAS, TIMESTAMP_COLUMNS
+    from churnlens.sources.testdata import TestTables
+    tables = TestTables(spark, "/root/testdata/sf0.001").all()
+    write_source_csvs(tables, str(tmp_path))
+    back = read_source_csvs(spark, str(tmp_path))
+    for name, df in tables.items():
+        want = df.select([F.col(f.name) if f.name in TIMESTAMP_COLUMNS.get(name, ()) else F.col(f.name).cast(f.dataType)
+                          for f in SCHEMAS[name]])
+        got = back[name]
+        assert got.columns == SCHEMAS[name].names
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0, name
