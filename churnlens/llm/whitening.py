@@ -181,7 +181,9 @@ def feast(a: np.ndarray, low: float, high: float, count: int, points: int = POIN
     node, weight = np.polynomial.legendre.leggauss(points)
     angle = -np.pi / 2 * (node - 1)
     turn = np.exp(1j * angle)
-    block = min(width, count + max(4, count // 2))
+    # all that lies in the circle of twice that radius, so that the rest fades fast
+    near = inertia(a, centre + 2 * radius) - inertia(a, centre - 2 * radius)
+    block = min(width, max(count, near) + max(4, count // 2))
     y = np.random.default_rng(seed).normal(size=(width, block))
     for _ in range(rounds):
         q = np.zeros((width, y.shape[1]))
@@ -195,11 +197,14 @@ def feast(a: np.ndarray, low: float, high: float, count: int, points: int = POIN
             u = np.linalg.qr(np.column_stack([u, more]))[0]
         value, vector = np.linalg.eigh(u.T @ a @ u)
         y = u @ vector
-        # the count of the interval, nearest to its centre
-        mine = np.sort(np.argsort(np.abs(value - centre), kind="stable")[:count])
-        residual = np.abs(a @ y[:, mine] - y[:, mine] * value[mine]).max()
+        # the count of the interval: of those that settled, the nearest to its
+        # centre (what the block holds of both sides of the circle may mix to
+        # a value inside that belongs to no eigenvector and never settles)
+        residual = np.abs(a @ y - y * value).max(axis=0)
+        settled = np.flatnonzero(residual <= 1e-13 * size * width ** 0.5)
+        mine = np.sort(settled[np.argsort(np.abs(value[settled] - centre), kind="stable")[:count]])
         slack = 1e-10 * size
-        if residual <= 1e-13 * size * width ** 0.5 and low - slack <= value[mine].min() and value[mine].max() <= high + slack:
+        if len(mine) == count and low - slack <= value[mine].min() and value[mine].max() <= high + slack:
             return value[mine], y[:, mine]
     raise RuntimeError(f"contour integration between {low} and {high} did not settle")
 

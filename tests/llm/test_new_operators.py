@@ -166,6 +166,15 @@ def test_components_and_inertia():
             assert whitening.inertia(a, shift) == (want < shift).sum()
 
 
+def test_components_among_close_neighbours():
+    # eigenvalues next to both ends of an interval mix to values inside it
+    for seed in (11, 12, 29, 75):
+        a = np.cov(np.random.default_rng(seed).normal(size=(10_000, 64)).round(1).T, bias=True)
+        got, vectors = whitening.components(a, 32)
+        assert np.allclose(got, np.linalg.eigvalsh(a)[::-1][:32], atol=1e-12)
+        assert np.allclose(a @ vectors, vectors * got, atol=1e-11)
+
+
 # -- 13 ----------------------------------------------------------------------------
 
 def test_terms():
