@@ -139,7 +139,52 @@ class PieceTable:
 MARKS = ".,;:!?"
 #: Words that the library is given in one string.
 JOINED = 64
+#: Words that an encoder keeps.
+MAX_WORDS = 1_000_000
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Letters in every version of Unicode's tables (Latin, Greek, Cyrillic, kana, Han, Hangul).
+_LETTERS = (r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{391}-\x{3a1}\x{3a3}-\x{3a9}\x{3b1}-\x{3c9}"
+            r"\x{400}-\x{481}\x{48a}-\x{52f}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]+")
+
+
+class WordTable:
+    """Values (arrays of numbers) of words in Arrow arrays: ``compute`` gets an
+    array of new words and returns (all values one after another, values per
+    word).  Past ``MAX_WORDS`` only the words of the last question stay."""
+
+    def __init__(self, compute, dtype=np.uint16):
+        self.compute = compute
+        self.words = pa.array([], pa.string())
+        self.pool, self.length = np.zeros(0, dtype), np.zeros(0, np.int64)
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Table rows of words (repeated ones may be among them)."""
+        coded = words.dictionary_encode()
+        asked, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.words) > MAX_WORDS:
+            self._keep(np.flatnonzero(self._held(asked) >= 0))
+        # the table's words are looked up among those asked for, which are fewer
+        held = self._held(asked)
+        known = np.flatnonzero(held >= 0)
+        row = np.full(len(asked), -1, np.int64)
+        row[held[known]] = known
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            row[new] = len(self.words) + np.arange(len(new))
+            words = asked.take(pa.array(new))
+            values, lengths = self.compute(words)
+            self.words = pa.concat_arrays([self.words, words])
+            self.length = np.concatenate([self.length, lengths])
+            self.pool = np.concatenate([self.pool, np.asarray(values, self.pool.dtype)])
+        return row[place]
+
+    def _held(self, asked: pa.Array) -> np.ndarray:
+        """Place of each word of the table in ``asked``, or -1."""
+        return pc.index_in(self.words, value_set=asked).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def _keep(self, rows: np.ndarray) -> None:
+        self.pool, _ = gather(self.pool, self.length, rows, np.ones(len(rows), np.int64))
+        self.words, self.length = self.words.take(pa.array(rows)), self.length[rows]
 
 
 class LibraryEncoder:
@@ -167,24 +212,38 @@ class LibraryEncoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.token_bytes[i] = len(token)  # a letter a byte
-        self.words = PieceTable(None, self._word_ids)
-        marks = [e.ids for e in self.tokenizer.encode_batch_fast(list(MARKS), add_special_tokens=False)]
-        self.marks = {m: ids[0] for m, ids in zip(MARKS, marks) if len(ids) == 1}
+        self.words = WordTable(self._part_ids)
+        ids, lengths = self._ids(list(MARKS))
+        if lengths.tolist() != [1] * len(MARKS):
+            raise ValueError("a mark of this tokenizer has several ids")
+        self.marks, self.mark_ids = pa.array(list(MARKS)), ids
+        self.marked = f"^[ \\n]{_LETTERS}[{MARKS}]$"
+        self.pair = f"^{_LETTERS}[{MARKS}]?\\n{_LETTERS}[{MARKS}]?$"
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(lengths.sum())), lengths
 
-    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, each after a space."""
-        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
-        flat, _ = self._ids([" " + " ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)])
-        ends = np.cumsum(sizes + 1)
+    def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, each of which begins with a space or a line break."""
+        broken = pc.starts_with(parts, "\n")
+        kinds = [self._joined_ids(parts.filter(kind)) for kind in (pc.invert(broken), broken)]
+        rows = np.empty(len(parts), np.int64)
+        at = broken.to_numpy(zero_copy_only=False)
+        rows[np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)])] = np.arange(len(parts))
+        return gather(*(np.concatenate(both) for both in zip(*kinds)), rows, np.ones(len(rows), np.int64))
+
+    def _joined_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that all begin with the same character, where the
+        pattern begins a piece."""
+        texts = parts.to_pylist()
+        flat, _ = self._ids(["".join(texts[i:i + JOINED]) for i in range(0, len(texts), JOINED)])
+        ends = np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)
         after = np.cumsum(self.token_bytes[flat])
         last = np.searchsorted(after, ends)
-        if len(words) and not np.array_equal(after[np.minimum(last, len(after) - 1)], ends):
-            return self._ids([" " + w for w in words])  # a token across two words
+        if texts and not np.array_equal(after[np.minimum(last, len(after) - 1)], ends):
+            return self._ids(texts)  # a token across two parts
         return flat, np.diff(np.concatenate([[-1], last]))
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +259,8 @@ class LibraryEncoder:
         counts[cut] = lists.value_lengths().to_numpy(zero_copy_only=False)
         # a text's first word has no space before it, and a whole text is a word of its own
         first = (np.cumsum(counts) - counts)[cut]
-        alone = [known[i].as_py() for i in rows[first].tolist()] + texts.filter(pa.array(whole)).to_pylist()
-        ids, lengths = self._known_ids(known.to_pylist())
+        alone = known.take(pa.array(rows[first])).to_pylist() + texts.filter(pa.array(whole)).to_pylist()
+        ids, lengths = self._known_ids(known)
         more, more_lengths = self._ids(alone)
         rows[first] = len(known) + np.arange(len(cut))
         at_whole = np.flatnonzero(whole)
@@ -209,15 +268,30 @@ class LibraryEncoder:
         counts[at_whole] = 1
         return gather(np.concatenate([ids, more]), np.concatenate([lengths, more_lengths]), rows, counts)
 
-    def _known_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, each after a space.  A mark after a word of
-        letters is a piece of its own, so it is added to the word's ids."""
-        tails = [self.marks.get(w[-1], -1) if w[:-1].isalpha() else -1 for w in words]
-        rows = self.words.look_up([w if t < 0 else w[:-1] for w, t in zip(words, tails)])
-        ids, lengths = gather(self.words.pool, self.words.length, rows, np.ones(len(rows), np.int64))
-        tails = np.array(tails, np.int64)
-        marked = tails >= 0
-        return (np.insert(ids, np.cumsum(lengths)[marked], tails[marked].astype(ids.dtype)), lengths + marked)
+    def _known_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each after a space.  The pattern begins a
+        piece at a line break between a word and a letter, so such a word is
+        two parts; a mark after the letters of a part is a piece of its own,
+        so its id is added to the part's ids."""
+        pair = pc.match_substring_regex(words, self.pair)
+        at = np.flatnonzero(pair.to_numpy(zero_copy_only=False))
+        halves = pc.split_pattern(words.filter(pair), "\n").flatten()
+        lead = pc.replace_with_mask(words, pair, halves.take(pa.array(np.arange(len(at)) * 2)))
+        rest = halves.take(pa.array(np.arange(len(at)) * 2 + 1))
+        parts = pa.concat_arrays([pc.binary_join_element_wise(" ", lead, ""), pc.binary_join_element_wise("\n", rest, "")])
+        marked = pc.match_substring_regex(parts, self.marked)
+        ends, own = np.flatnonzero(marked.to_numpy(zero_copy_only=False)), parts.filter(marked)
+        rows = self.words.rows(pc.replace_with_mask(parts, marked, pc.utf8_slice_codeunits(own, 0, -1)))
+        tails = np.full(len(parts), -1, np.int64)  # the marks' ids come after the table's
+        tails[ends] = len(self.words.length) + pc.index_in(
+            pc.utf8_slice_codeunits(own, -1), value_set=self.marks).to_numpy(zero_copy_only=False)
+        # word, its mark, what follows the line break, its mark; -1: none
+        grid = np.full((len(words), 4), -1, np.int64)
+        grid[:, 0], grid[:, 1] = rows[:len(words)], tails[:len(words)]
+        grid[at, 2], grid[at, 3] = rows[len(words):], tails[len(words):]
+        return gather(np.concatenate([self.words.pool, self.mark_ids]),
+                      np.concatenate([self.words.length, np.ones(len(self.marks), np.int64)]),
+                      grid[grid >= 0], (grid >= 0).sum(axis=1))
 
 
 def gather(pool: np.ndarray, lengths: np.ndarray, rows: np.ndarray, counts: np.ndarray):

@@ -61,6 +61,24 @@ def test_piece_table_starts_anew_when_full(monkeypatch):
         assert enc.encode([text])[0].tolist() == library(BYTE, [text])[0]
 
 
+def test_word_table_encodes_the_parts_of_a_line_break_once(monkeypatch):
+    rng = random.Random(7)
+    ends = ["", ".", ",", "\n", "!!", "é", "'s", " 1", "\n\n", "漢", "ʰ"]
+    half = [w + e for w in ("and", "Éte", "x", "слово") for e in ends]
+    texts = ["\n".join(rng.choices(half, k=rng.randint(1, 3))) + " " + " ".join(
+        a + "\n" + b for a, b in zip(rng.choices(half, k=9), rng.choices(half, k=9))) for _ in range(300)]
+    enc = tokens.LibraryEncoder(BYTE)
+    assert split_ids(*enc.encode(texts)) == library(BYTE, texts)
+    asked, compute = [], enc.words.compute
+    enc.words.compute = lambda parts: (asked.extend(parts.to_pylist()), compute(parts))[1]
+    assert split_ids(*enc.encode(["a onea.\nTwo, onea! twob.\nTwo onea"])) == library(BYTE, ["a onea.\nTwo, onea! twob.\nTwo onea"])
+    assert sorted(asked) == ["\nTwo", " a", " onea", " twob"]
+    monkeypatch.setattr(tokens, "MAX_WORDS", 3)
+    for i in range(0, 40, 2):
+        assert split_ids(*enc.encode(texts[i:i + 2])) == library(BYTE, texts[i:i + 2])
+    assert len(enc.words.words) == len(enc.words.length) < 300 and enc.encode([])[0].size == 0
+
+
 def test_slabs_keep_the_text_and_its_pieces():
     text = " ".join(odd_texts(200))
     parts = list(slabs(text, 100))
