@@ -43,11 +43,14 @@ _SUITES: list["Analysis"] = []
 
 
 @contextmanager
-def suite(spark: SparkSession, sf_dir: str) -> Iterator["Analysis"]:
+def suite(spark: SparkSession, sf_dir: str, stage_master: bool = True) -> Iterator["Analysis"]:
     """Share the stage tables of one folder between the analyses run inside,
     the way the analysed notebooks hand over persisted files.  The files must
-    not change meanwhile; the tables are deleted at the end."""
-    a = Analysis(spark, sf_dir, share=True)
+    not change meanwhile; the tables are deleted at the end.
+    ``stage_master=False``, where few analyses read more than the delivered
+    rows: these are a table of their own, planned from the files, and the
+    master is written only if it is asked for."""
+    a = Analysis(spark, sf_dir, share=True, stage_master=stage_master)
     _SUITES.append(a)
     try:
         yield a
@@ -71,11 +74,12 @@ class Analysis:
     first-orders stages once, and the order months of every person as a table
     bucketed by person, which cohorts and RFM read in place (see :func:`suite`)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, share: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, share: bool = False, stage_master: bool = True):
         self.spark = spark
         self.t = TestTables(spark, sf_dir)
         self.p = REGISTERED
         self.share = share
+        self.stage_master = stage_master
         self.stage_paths: list[str] = []
         self.stage_tables: list[str] = []
 
@@ -98,19 +102,25 @@ class Analysis:
         self.stage_paths.clear()
 
     # -- stage 1: master table ---------------------------------------------
+    def _master_rows(self) -> DataFrame:
+        t = self.t
+        return master.master_table(t.orders(), t.customers(), t.order_items(), t.products(),
+                                   t.category_translation(), t.order_reviews())
+
     @cached_property
     def master(self) -> DataFrame:
-        t = self.t
         # a flat Parquet table: readers prune columns and push the status
         # test down (partitioning by status cost more to write than it saves
         # when nearly every order is delivered)
-        return self._stage(master.master_table(
-            t.orders(), t.customers(), t.order_items(), t.products(),
-            t.category_translation(), t.order_reviews()))
+        return self._stage(self._master_rows())
 
     @cached_property
     def delivered(self) -> DataFrame:
-        return master.delivered(self.master)
+        if self.stage_master:
+            return master.delivered(self.master)
+        # from the files the status test reaches the order scan, and no row
+        # of another order is joined or written
+        return self._stage(master.delivered(self._master_rows()))
 
     # -- stage 2: orders, cohorts, RFM ---------------------------------------
     @cached_property

@@ -179,3 +179,32 @@ def test_source_csvs_come_back(spark, tmp_path):
         got = back[name]
         assert got.columns == SCHEMAS[name].names
         assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0, name
+
+
+def test_published_run_stages_delivered_rows_only(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from churnlens.plans import catalog, outputs
+    from churnlens.sources.testdata import RAW_SCHEMAS
+    day = datetime(2020, 1, 1)
+    rows = {"region": [(0, "R")], "nation": [(0, "N", 0)], "customer": [(i, "c", 0, 1.0, "m") for i in range(6)],
+            "supplier": [(0, "s", 0, 1.0)], "part": [(0, "p", "b", "SMALL", 2, 1.0)],
+            "orders": [(i, i % 6, "FOP"[i % 3], 9.0, day, "1-X") for i in range(30)] + [(99, 0, "F", 9.0, day, "1-X")],
+            "lineitem": [(i, 0, 0, 1, 5.0, 10.0 + i, 0.0, 0.1, "R", "F", day) for i in range(30)]}
+    for name, values in rows.items():
+        spark.createDataFrame(values, RAW_SCHEMAS[name]).write.parquet(f"{tmp_path}/in/{name}.parquet")
+    seen, real = [], catalog.write_stage
+
+    def staged(df):
+        out = real(df)
+        if "order_status" in df.columns:
+            seen.extend(r[0] for r in out.select("order_status").collect())
+        return out
+
+    monkeypatch.setattr(catalog, "write_stage", staged)
+    chosen = {k: outputs.OUTPUTS[k] for k in ("master_delivered", "first_orders_analysis")}
+    outputs.run_outputs(spark, f"{tmp_path}/in", f"{tmp_path}/out", chosen)
+    assert seen == ["delivered"] * 10  # the other orders' rows are neither joined nor written
+    assert outputs.read_output(spark, f"{tmp_path}/out", "master_delivered").count() == 10
+    with catalog.suite(spark, f"{tmp_path}/in", stage_master=False) as a:
+        assert a.delivered.count() == 10 and a.master.count() == 31
